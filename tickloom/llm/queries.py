@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, sharding, simhash
+from . import decontam, langid, sharding, simhash, spwfst, suffixdedup
 from .common import table
 
+#: A public BPE model with byte fallback; read where it lies, by the driver.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(TOKENIZER, "rb") as f:
+        return spwfst.encode(table(spark, sf_dir, "documents"), f.read(), round_trip=True)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.find(table(spark, sf_dir, "documents"))
+
 
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(sharding.assign(table(spark, sf_dir, "documents")))
