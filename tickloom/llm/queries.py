@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, sharding, simhash, spwfst, suffixdedup
+from . import decontam, langid, sharding, simhash, spwfst, suffixdedup, toxicity
 from .common import table
 
 #: A public BPE model with byte fallback; read where it lies, by the driver.
@@ -19,6 +19,14 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spwfst.encode(table(spark, sf_dir, "documents"), f.read(), round_trip=True)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = langid.held_out("doc_id", 4, 2)
+    net = toxicity.fit(docs, labels.where(~out))
+    found = toxicity.score(docs, net)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.find(table(spark, sf_dir, "documents"))
 
