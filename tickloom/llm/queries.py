@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, sharding, simhash, spwfst, suffixdedup, toxicity
+from . import ann, decontam, langid, licenses, sharding, simhash, spwfst, suffixdedup, toxicity
 from .common import table
 
 #: A public BPE model with byte fallback; read where it lies, by the driver.
@@ -40,6 +40,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False)
     return decontam.digest(found)
