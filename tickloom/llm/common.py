@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z over UTF-8 bytes; every other byte stays.
@@ -48,23 +51,31 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def empty_like(names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], schema=schema)
-
-
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose texts hold about ``limit`` bytes together (one row at least)."""
-    sizes = np.asarray(texts.cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-    start = total = 0
-    for i, x in enumerate(sizes):
-        if i > start and total + len(x) > limit:
-            yield start, i
-            start, total = i, 0
-        total += len(x)
-    if start < len(sizes):
-        yield start, len(sizes)
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield start, stop
+        start = stop
 
 
 def raw(texts: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for null."""
-    return texts.cast(pa.large_binary()).to_pylist()
+    return texts.cast(pa.binary()).to_pylist()
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A batch function that hands memory back when it ends: Python workers live on between tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .common import raw
+from .common import lean, raw
 
 #: Bytes that separate words: \x00-\x2F \x3A-\x60 \x7B-\x7F once A-Z are lower-cased.
 _FOLD = bytes(
@@ -135,18 +135,21 @@ def _char_spans(text: bytes, inside: np.ndarray) -> list[dict]:
 def scan(
     docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, keep: list[str] | None = None,
-    spans: bool = True,
+    spans: bool = True, keep_text: bool = False,
 ) -> DataFrame:
-    """One row per document: id (and the ``keep`` columns), n_words, n_hit, item_ids sorted, spans of the original."""
-    kept = [doc_id, *(keep or [])]
-    df = docs.select(*[F.col(c) for c in kept], F.col(text).alias("__text")).withColumn("__hits", F.array().cast(_HITS))
+    """One row per document: id (and the ``keep`` columns), n_words, n_hit, item_ids sorted, spans of the original.
+
+    With ``keep_text`` the text comes along as __text.
+    """
+    kept = [doc_id, *(keep or []), *(["__text"] if keep_text else [])]
+    df = docs.select(F.col(doc_id), *(keep or []), F.col(text).alias("__text")).withColumn("__hits", F.array().cast(_HITS))
     for block in _blocks(items, item_id, item_text, block_bytes, window):
-        df = df.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), window), df.schema)
+        df = df.mapInArrow(lean(_scan(docs.sparkSession.sparkContext.broadcast(block), window)), df.schema)
     span = StructType().add("start", "integer").add("end", "integer")
     out = StructType([f for f in df.schema if f.name in kept]).add("n_words", "long").add("n_hit", "long")
     out = out.add("item_ids", ArrayType(StringType())).add("spans", ArrayType(span))
     arrow = to_arrow_schema(out)
-    return df.mapInArrow(lambda batches: _summary(batches, arrow, spans), out)
+    return df.mapInArrow(lean(lambda batches: _summary(batches, arrow, spans)), out)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -159,9 +162,10 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a hit word, all columns kept."""
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__words"), F.struct("*").alias("__row"))
-    found = scan(rows, items, window, "__id", "__words", keep=["__row"], spans=False)
-    return found.where("n_hit = 0").select("__row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__row")
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__words"), others)
+    found = scan(rows, items, window, "__id", "__words", keep=["__row"], spans=False, keep_text=True).where("n_hit = 0")
+    return found.select(*[F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def brute_force(texts: dict, items: dict, window: int = 10) -> dict:

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import lean, slices
+
 CHUNK = 256
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -161,9 +163,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id (and the ``keep`` columns), lang_pred and score: how far the runner-up's rate lies above the best, 0 to 1."""
-    kept = [doc_id, *(keep or [])]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id (and the ``keep`` columns, which may hold the text), lang_pred and score.
+
+    The score tells how far the runner-up's rate lies above the best one, from 0 to 1.
+    """
+    kept = list(dict.fromkeys([doc_id, *(keep or [])]))
+    columns = list(dict.fromkeys([*kept, text]))
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), columns.index(text)
 
     def labels(texts: list[str | None]) -> tuple[list[str], list[float]]:
         m, clean = shared.value, [normalise(x) for x in texts]
@@ -179,23 +185,15 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score, at = [], [], 0
-            texts = batch.column(len(kept))
-            while at < len(texts):  # about 1 MB of text at a time
-                part, size = [], 0
-                while at < len(texts) and (not part or size < 1 << 20):
-                    part.append(texts[at].as_py())
-                    size += len(part[-1] or "")
-                    at += 1
-                a, b = labels(part)
-                lang += a
-                score += b
-            columns = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
-
-    rows = docs.select(*kept, F.col(text).alias("__text"))
+            for a, b in slices(batch.column(at_text)):
+                part = batch.slice(a, b - a)
+                lang, score = labels(part.column(at_text).to_pylist())
+                found = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *found], names=[*kept, "lang_pred", "score"])
+
+    rows = docs.select(*columns)
     schema = StructType([rows.schema[c] for c in kept]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def held_out(doc_id: str, parts: int, part: int):

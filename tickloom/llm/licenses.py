@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import raw, slices
+from .common import lean, raw, slices
 from .wordhash import words
 
 # Public license notices and license texts, as their authors give them.
@@ -194,4 +194,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage:
                     names=schema.names,
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import LOWER, Scratch, raw
+from .common import LOWER, Scratch, lean, raw
 from .components import components
 
 _FIVES = 0x5555555555555555
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[doc_id].dataType
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, StructType().add("doc_id", kind).add("fp", LongType()))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), StructType().add("doc_id", kind).add("fp", LongType()))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def links(points: DataFrame, scratch: Scratch, bits: int = 4, cell_rows: int = 4
         keyed = points.select(F.explode(F.array(*cells)).alias("key"), "fp")
         keyed = keyed.repartition("key").sortWithinPartitions("key")
         last = level == 2
-        made = scratch.keep(keyed.mapInArrow(_join(bits, 1 << 62 if last else cell_rows), "link boolean, a long, b long"))
+        made = scratch.keep(keyed.mapInArrow(lean(_join(bits, 1 << 62 if last else cell_rows)), "link boolean, a long, b long"))
         found = made.where("link").select("a", "b")
         out = found if out is None else out.unionByName(found)
         points = made.where("not link").select(F.col("a").alias("fp")).distinct()
@@ -196,8 +196,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents whose id names their component, with all columns: one per group. Rows that repeat that id stay."""
     chosen = classes(docs, doc_id, text, words, bits, seed).select("doc_id", "component_id").where("doc_id <=> component_id")
     chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]), "left_semi")
-    return kept
+    return docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]), "left_semi")
 
 
 def brute_force(texts: dict, words: int = 4, bits: int = 4, seed: int = 42) -> dict:

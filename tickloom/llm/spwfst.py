@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from .common import lean
+
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -363,7 +365,7 @@ def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "t
                 columns = [ids.slice(first, at - first), lists, pa.array([None if x is None else len(x) for x in found], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(same, pa.bool_())] if round_trip else [])], names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, model: bytes, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -378,7 +380,7 @@ def decode(rows: DataFrame, model: bytes, doc_id: str = "doc_id", ids: str = "id
             texts = [m.decode(x.values.fill_null(-1).to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
-    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, schema)
+    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(lean(run), schema)
 
 
 def compose_and_search(model: Model, text: str) -> tuple[float, list[str]]:

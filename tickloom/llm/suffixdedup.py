@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Scratch, raw, slices
+from .common import Scratch, lean, raw, slices
 from .wordhash import grams, sliding, words
 
 GRAM = 8
@@ -145,33 +145,41 @@ def _chains(prefix: int):
 
 
 def _contexts(side: int):
-    """Hashes of the ``side`` words before and after each asked range of a text; positions beyond it are null."""
-    kind = pa.list_(pa.int64())
+    """Hashes of the ``side`` words before (from the nearest) and after each asked range; zeros beyond the text."""
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) // side + 1, dtype=np.int32) * side), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = np.arange(side)
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("rid", "start", "stop", "before", "after")}
-            for rid, text, asked in zip(batch.column(0).to_pylist(), raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                h = words(text or b"")[2].view(np.int64)
-                for r in asked:
-                    out["rid"].append(rid)
-                    out["start"].append(r["start"])
-                    out["stop"].append(r["stop"])
-                    out["before"].append(h[max(r["start"] - side, 0) : r["start"]][::-1])
-                    out["after"].append(h[r["stop"] : r["stop"] + side])
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], kind if k in ("before", "after") else pa.int64()) for k in out], names=list(out))
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                before, after = [], []
+                asked = part.column(2)
+                ranges = asked.flatten()
+                start, stop = (ranges.field(k).to_numpy() for k in ("start", "stop"))
+                count = asked.value_lengths().to_numpy()
+                ends = np.cumsum(count)
+                for text, lo, hi in zip(raw(part.column(1)), ends - count, ends, strict=True):
+                    h = np.concatenate((np.zeros(side, np.uint64), words(text)[2], np.zeros(side, np.uint64))).view(np.int64)
+                    before.append(h[start[lo:hi, None] + (side - 1 - step)].ravel())
+                    after.append(h[stop[lo:hi, None] + (side + step)].ravel())
+                rid = part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                columns = [rid, pa.array(start), pa.array(stop), lists(before), lists(after)]
+                yield pa.RecordBatch.from_arrays(columns, names=["rid", "start", "stop", "before", "after"])
 
     return run
 
 
 def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Length of the common prefix of two list columns, row by row."""
-    out = np.zeros(len(a), dtype=np.int64)
-    for i, (x, y) in enumerate(zip(a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False), strict=True)):
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        out[i] = differ[0] if len(differ) else n
-    return out
+    """Length of the common prefix of two columns of equally long lists, row by row; zeros are no words."""
+    if not len(a):
+        return np.zeros(0, dtype=np.int64)
+    x, y = (c.flatten().to_numpy().reshape(len(a), -1) for c in (a, b))
+    differ = (x != y) | (x == 0)
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
 
 
 def _extend(min_words: int):
@@ -217,9 +225,9 @@ def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select("rid", "text")
-    suffixes = texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(_suffixes(window, prefix), "h long, rid long, p int")
+    suffixes = texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(lean(_suffixes(window, prefix)), "h long, rid long, p int")
     array = suffixes.repartitionByRange(parts, "h", "rid", "p").sortWithinPartitions("h", "rid", "p")
-    found = scratch.keep(array.mapInArrow(_neighbours, "kind int, part int, h long, x long, xp int, z long, zp int"))
+    found = scratch.keep(array.mapInArrow(lean(_neighbours), "kind int, part int, h long, x long, xp int, z long, zp int"))
     # Two rows a task: its first row, next to the last row of the task with rows before it.
     seam = Window.orderBy("part", "kind")
     edges = found.where("kind > 0")
@@ -230,19 +238,19 @@ def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     # A repeated passage next to itself may come in either order; the later place is the one to report.
     keyed = pairs.select("x", "z", (F.col("xp") - F.col("zp")).alias("lag"), "xp")
     chained = keyed.repartition("x").sortWithinPartitions("x", "z", "lag", "xp")
-    chains = scratch.keep(chained.mapInArrow(_chains(prefix), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
+    chains = scratch.keep(chained.mapInArrow(lean(_chains(prefix)), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
     asked = chains.select(F.col("x").alias("rid"), F.col("x_start").alias("start"), F.col("x_end").alias("stop")).unionByName(
         chains.select(F.col("z").alias("rid"), F.col("z_start").alias("start"), F.col("z_end").alias("stop"))
     ).distinct()
     asked = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("asked"))
-    contexts = texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(_contexts(side), "rid long, start long, stop long, before array<long>, after array<long>")
+    contexts = texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(lean(_contexts(side)), "rid long, start long, stop long, before array<long>, after array<long>")
     contexts = scratch.keep(contexts)
     of_x = contexts.select(F.col("rid").alias("x"), F.col("start").alias("x_start"), F.col("stop").alias("x_end"), F.col("before").alias("xb"), F.col("after").alias("xa"))
     of_z = contexts.select(F.col("rid").alias("z"), F.col("start").alias("z_start"), F.col("stop").alias("z_end"), F.col("before").alias("zb"), F.col("after").alias("za"))
     sides = chains.join(of_x, ["x", "x_start", "x_end"]).join(of_z, ["z", "z_start", "z_end"])
-    long = sides.mapInArrow(_extend(min_words), "rid long, start long, stop long, ref long, ref_start long")
+    long = sides.mapInArrow(lean(_extend(min_words)), "rid long, start long, stop long, ref long, ref_start long")
     ordered = long.repartition("rid").sortWithinPartitions("rid", "start", F.desc("stop"), "ref", "ref_start")
-    return ordered.mapInArrow(_merge, "rid long, start long, stop long, ref long, ref_start long")
+    return ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
@@ -278,15 +286,17 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(0).to_pylist(), []
-            for i, spans in enumerate(batch.column(1).to_pylist()):
-                if spans:
-                    texts[i] = cut(texts[i], [(s["start"], s["stop"]) for s in spans])
-                keep.append(not spans or bool(texts[i].strip()))
-            out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], names=["text", "row"])
-            yield out.filter(pa.array(keep))
-
-    left = joined.mapInArrow(run, joined.select("text", "row").schema)
+            for a, b in slices(batch.column(0), 1 << 22):
+                part = batch.slice(a, b - a)
+                texts, keep = part.column(0).to_pylist(), []
+                for i, spans in enumerate(part.column(1).to_pylist()):
+                    if spans:
+                        texts[i] = cut(texts[i], [(s["start"], s["stop"]) for s in spans])
+                    keep.append(not spans or bool(texts[i].strip()))
+                out = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), part.column(2)], names=["text", "row"])
+                yield out.filter(pa.array(keep, pa.bool_()))
+
+    left = joined.mapInArrow(lean(run), joined.select("text", "row").schema)
     return left.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

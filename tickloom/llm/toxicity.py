@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import lean
 from .wordhash import words
 
 WINDOW, STRIDE = 24, 12
@@ -316,4 +317,4 @@ def score(docs: DataFrame, net: Network | None, doc_id: str = "doc_id", text: st
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
     schema = StructType().add("doc_id", docs.schema[doc_id].dataType).add("score", "double")
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), schema)

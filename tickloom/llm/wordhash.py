@@ -29,7 +29,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) mod 2**64; tables grow by doubling."""
-    return _powers(base, max(1 << 20, 1 << max(n - 1, 1).bit_length()))[:n]
+    return _powers(base, max(1 << 18, 1 << max(n - 1, 1).bit_length()))[:n]
 
 
 def _spans(values: np.ndarray, first: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
@@ -39,8 +39,8 @@ def _spans(values: np.ndarray, first: np.ndarray, stop: np.ndarray, base: int) -
     return (sums[stop] - sums[first]) * powers(pow(base, -1, 1 << 64), len(values) + 1)[first]
 
 
-def words(text: bytes | np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end byte and hash of every word: runs of bytes but space and \\x09-\\x0D, A-Z lower-cased."""
+def words(text: bytes | np.ndarray, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and hash (never 0) of every word: runs of bytes but space and \\x09-\\x0D, A-Z lower-cased."""
     data = np.frombuffer(text, dtype=np.uint8) if isinstance(text, bytes) else text
     solid = np.zeros(len(data) + 2, dtype=np.int8)
     solid[1:-1] = ~_SPACE[data]
@@ -53,7 +53,7 @@ def words(text: bytes | np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, n
         part = _LOWER[data[low:high]].astype(np.uint64) + np.uint64(1)
         hashes[at:to] = mix(_spans(part, first[at:to] - low, stop[at:to] - low, _BYTE) + (stop[at:to] - first[at:to]).astype(np.uint64))
         at = to
-    return first, stop, hashes
+    return first, stop, np.maximum(hashes, np.uint64(1))
 
 
 def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
