@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, licenses, sharding, simhash, spwfst, suffixdedup, toxicity
+from . import ann, decontam, langid, licenses, sharding, simhash, spwfst, sql, suffixdedup, toxicity, warc
 from .common import table
 
 #: A public BPE model with byte fallback; read where it lies, by the driver.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), keep=["page_id"])
+    names = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "refers_to_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "target_uri": "WARC-Target-URI", "content_type": "Content-Type", "content_length": "Content-Length", "block_digest": "WARC-Block-Digest"}
+    columns = [warc.header(h).alias(c) for c, h in names.items()]
+    return made.select("page_id", "record_type", *columns, F.col("block").cast("string").alias("body"), "source_block_digest", "source_payload_digest")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(TOKENIZER, "rb") as f:
         return spwfst.encode(table(spark, sf_dir, "documents"), f.read(), round_trip=True)
@@ -64,29 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
-_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-
-OP8_SQL = f"""
-WITH dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
-iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-win AS (
-  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
-  FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
-sizes AS (SELECT DISTINCT n FROM win),
-dg AS (
-  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
-  FROM dw CROSS JOIN sizes, unnest(range(1, len(w) - n + 2)) AS t(i) WHERE len(w) >= n),
-hits AS (SELECT doc_id, i, n, item_id FROM dg JOIN win USING (n, g)),
-covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-found AS (
-  SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
-SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": OP8_SQL}
+    return {"op1_warc": sql.WARC, "op8_decontaminate": sql.DECONTAMINATE}
