@@ -186,7 +186,7 @@ def fit(
 def search(
     rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding",
     tables: int = 4, per_bucket: float = 24.0, width: float = 2.5, sample: int = 2_000, trial: int = 100,
-    aim: float = 0.95, most_probes: int = 512, part_bytes: int = 16 << 20, block: int = 256,
+    aim: float = 0.95, most_probes: int = 512, part_bytes: int = 24 << 20, block: int = 256,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest found; ``queries`` are rows of the same kind."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ann")
@@ -210,7 +210,7 @@ def search(
 
     # Buckets of more than a quarter part; there are at most four for each part.
     part_rows = max(part_bytes // point_bytes, 16)
-    visits = n_queries * tables * (16 * (index.probe_count + 1) + point_bytes)
+    visits = n_queries * (16 * tables * (index.probe_count + 1) + point_bytes)
     parts = max(1, -(-(n_points * point_bytes * tables + visits) // part_bytes))
     indexed = points.select("p", "v").mapInArrow(hashed, "key long, p long, v array<double>")
     crowded = indexed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part_rows // 4).collect()
@@ -230,18 +230,18 @@ def search(
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 rows = batch.slice(i, block)
-                for keys in shared.value.probes(_matrix(rows.column(1), dim), shared.value.probe_count):
-                    owner, flat = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel()
-                    times = np.array([splits.value.get(x, 1) for x in flat.tolist()], dtype=np.int64)
-                    owner, flat = np.repeat(owner, times), np.repeat(flat, times)
-                    split = np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times)
-                    part = dealt(flat, split)
-                    order = np.lexsort((flat, part, owner))
-                    owner, part, flat = owner[order], part[order], flat[order]
-                    new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))))
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)), pa.int32()), pa.array(flat))
-                    taken = rows.take(pa.array(owner[new]))
-                    yield pa.RecordBatch.from_arrays([pa.array(part[new]), *taken.columns, lists], names=names)
+                # All tables' visits of a query together: it meets a part once.
+                keys = np.concatenate(list(shared.value.probes(_matrix(rows.column(1), dim), shared.value.probe_count)), axis=1)
+                owner, flat = np.repeat(np.arange(len(keys)), keys.shape[1]), keys.ravel()
+                times = np.array([splits.value.get(x, 1) for x in flat.tolist()], dtype=np.int64)
+                owner, flat = np.repeat(owner, times), np.repeat(flat, times)
+                part = dealt(flat, np.arange(len(flat)) - np.repeat(np.cumsum(times) - times, times))
+                order = np.lexsort((flat, part, owner))
+                owner, part, flat = owner[order], part[order], flat[order]
+                new = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]))))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(flat)), pa.int32()), pa.array(flat))
+                taken = rows.take(pa.array(owner[new]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[new]), *taken.columns, lists], names=names)
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         """One part: its points (part, key, p, v) and the queries that visit it (part, q, v, keys)."""
