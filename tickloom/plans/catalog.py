@@ -1,6 +1,511 @@
-def queries():
-    return {}
+"""One query per operator over the driver's tables, and DuckDB SQL that gives the same rows.
 
+The event table plays the tape (see ``sources.trades.from_events``); it is also read as order events. Dates of
+orders and line items serve as timelines for counts and splits.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import timeaxis, values
+from ..operators import bars, book, bootstrap, chunks, features, frames, horizons, kv, ridge, targets
+from ..sources import trades as source
+
+L, H, RISE_H = 300_000, 4_000, 5_000
+START_MS, END_MS = 28_401_600_000, 28_420_000_000
+GAP_US, N_CHUNKS = 600_000_000, 7
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.from_events(spark, sf_dir)
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _rs(*names: str) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def _store(spark: SparkSession, sf_dir: str, names: list[str], momentum: bool = False) -> DataFrame:
+    return kv.unpivot(features.rolling(tape(spark, sf_dir), L, momentum=momentum), names)
+
+
+TAPE = """
+tape AS (
+  SELECT 'S' || (user_id % 2) AS symbol, CAST(epoch_us(ts) // 60000000 * 1000 AS BIGINT) AS ms, event_id AS trade_id, value AS price,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS quantity,
+    CASE WHEN event_type IN ('purchase', 'signup') THEN 'Buy' WHEN event_type IN ('view', 'error') THEN 'sell' ELSE 'other' END AS side
+  FROM events)"""
+_FRAME = f"(PARTITION BY symbol ORDER BY ms RANGE BETWEEN {L} PRECEDING AND 1 PRECEDING)"
+_BUY, _SELL = "FILTER (WHERE upper(side) = 'BUY')", "FILTER (WHERE upper(side) = 'SELL')"
+_METRICS = {
+    "trade_count_buy": f"count(*) {_BUY} OVER w", "trade_count_sell": f"count(*) {_SELL} OVER w",
+    "cvd_buy": f"coalesce(sum(quantity) {_BUY} OVER w, 0)", "cvd_sell": f"coalesce(sum(quantity) {_SELL} OVER w, 0)",
+    "mean_price_buy": f"avg(price) {_BUY} OVER w", "mean_price_sell": f"avg(price) {_SELL} OVER w",
+    "mean_volume_buy": f"avg(quantity) {_BUY} OVER w", "mean_volume_sell": f"avg(quantity) {_SELL} OVER w",
+    "trade_spread_signed": f"avg(price) {_BUY} OVER w - avg(price) {_SELL} OVER w",
+    "volume_balance": f"coalesce(sum(quantity) {_BUY} OVER w, 0) - coalesce(sum(quantity) {_SELL} OVER w, 0)",
+}
+ROLLED = f"rolled AS (SELECT symbol, ms, trade_id, {', '.join(f'{v} AS {k}' for k, v in _METRICS.items())} FROM tape WINDOW w AS {_FRAME})"
+
+
+# Scans, bounds, counts.
+
+
+@query(f"WITH {TAPE} SELECT trade_id, ms, price, quantity FROM tape WHERE symbol = 'S0' AND ms >= {START_MS} AND ms < {END_MS}")
+def scan_symbol_range(spark, sf_dir):
+    rows = tape(spark, sf_dir).where((F.col("symbol") == "S0") & F.col("ms").between(START_MS, END_MS - 1))
+    return rows.select("trade_id", "ms", "price", "quantity")
+
+
+@query(f"WITH {TAPE} SELECT symbol, min(ms) AS first_ms, max(ms) AS last_ms, count(*) AS n_rows FROM tape GROUP BY symbol")
+def table_bounds(spark, sf_dir):
+    return tape(spark, sf_dir).groupBy("symbol").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {TAPE} SELECT count(*) AS n_rows FROM tape WHERE symbol = 'S1' AND ms >= {START_MS} AND ms <= {END_MS}")
+def count_range(spark, sf_dir):
+    rows = tape(spark, sf_dir).withColumn("exchange_ts", timeaxis.from_ms(F.col("ms")))
+    start, end = (datetime.fromtimestamp(x / 1000, UTC) for x in (START_MS, END_MS))
+    return rows.where(source.in_range("S1", start, end, end_inclusive=True)).agg(F.count("*").alias("n_rows"))
+
+
+@query(f"WITH {TAPE} SELECT DISTINCT symbol, ms FROM tape")
+def distinct_timeline(spark, sf_dir):
+    return chunks.timeline(tape(spark, sf_dir), F.col("ms"), ["symbol"]).withColumnRenamed("us", "ms")
+
+
+@query(f"WITH {TAPE}, d AS (SELECT DISTINCT symbol, ms FROM tape) SELECT symbol, ms, min(ms) OVER (PARTITION BY symbol ORDER BY ms ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS next_ms FROM d QUALIFY next_ms IS NOT NULL")
+def next_instant(spark, sf_dir):
+    """The next distinct instant, from the segments of the timeline (the last instant has none)."""
+    instants = chunks.timeline(tape(spark, sf_dir), F.col("ms"), ["symbol"])
+    segs = chunks.segments(instants, None, ["symbol"], bucket_us=3_600_000)
+    return segs.select("symbol", F.col("seg_start").alias("ms"), F.col("seg_end").alias("next_ms"))
+
+
+# Rolling features.
+
+
+def _feature_query(name: str) -> None:
+    @query(f"WITH {TAPE}, {ROLLED} SELECT symbol, ms, trade_id, round(CAST({name} AS DOUBLE), 6) AS feature_value FROM rolled WHERE {name} IS NOT NULL", f"roll_{name}")
+    def run(spark, sf_dir):
+        return _store(spark, sf_dir, [name]).select("symbol", "ms", "trade_id", F.round("feature_value", 6).alias("feature_value"))
+
+
+for _name in [*features.ROLLING, "volume_balance"]:
+    _feature_query(_name)
+
+_ALL = " UNION ALL ".join(f"SELECT symbol, ms, trade_id, '{n}' AS feature_name, round(CAST({n} AS DOUBLE), 6) AS feature_value FROM rolled WHERE {n} IS NOT NULL" for n in features.ROLLING)
+
+
+@query(f"WITH {TAPE}, {ROLLED} {_ALL}")
+def roll_features(spark, sf_dir):
+    """All nine rolling features from one window, as key-value rows."""
+    return _store(spark, sf_dir, features.ROLLING).withColumn("feature_value", F.round("feature_value", 6))
+
+
+_MOMENTUM = f"SELECT symbol, ms, trade_id, arg_max(price, (ms, trade_id)) OVER w - arg_min(price, (ms, trade_id)) OVER w AS v FROM tape WINDOW w AS {_FRAME}"
+
+
+@query(f"WITH {TAPE}, m AS ({_MOMENTUM}) SELECT symbol, ms, trade_id, round(v, 6) AS feature_value FROM m WHERE v IS NOT NULL")
+def price_momentum(spark, sf_dir):
+    return _store(spark, sf_dir, ["price_momentum"], momentum=True).select("symbol", "ms", "trade_id", F.round("feature_value", 6).alias("feature_value"))
+
+
+# Targets.
+
+_AHEAD = f"""
+ahead AS (
+  SELECT *, arg_min(price, trade_id) OVER (PARTITION BY symbol ORDER BY ms RANGE BETWEEN {H} FOLLOWING AND {H} FOLLOWING) AS nxt,
+    max(price) {_SELL} OVER (PARTITION BY symbol ORDER BY ms RANGE BETWEEN 1 FOLLOWING AND {RISE_H} FOLLOWING) AS high
+  FROM tape)"""
+
+
+def _delta_sql(ratio: float, price: str = "price", ahead: str = "nxt") -> str:
+    return f"CASE WHEN abs({ahead} - {price}) < abs({price}) * {ratio} THEN 0.0 ELSE {ahead} - {price} END"
+
+
+def _target_queries(label: str, ratio: float) -> None:
+    @query(f"WITH {TAPE}, {_AHEAD} SELECT symbol, ms, trade_id, round({_delta_sql(ratio)}, 6) AS price_delta FROM ahead WHERE nxt IS NOT NULL", f"target_delta_trade_time{label}")
+    def delta(spark, sf_dir):
+        return targets.forward(tape(spark, sf_dir), deadband=ratio).where("price_delta is not null").select("symbol", "ms", "trade_id", *_r("price_delta"))
+
+    @query(
+        f"WITH {TAPE}, {_AHEAD} SELECT symbol, ms, trade_id, CASE WHEN nxt - price > price * {ratio} THEN 1.0 WHEN nxt - price < -(price * {ratio}) THEN -1.0 ELSE 0.0 END AS price_direction FROM ahead WHERE nxt IS NOT NULL",
+        f"target_direction{label}",
+    )
+    def direction(spark, sf_dir):
+        return targets.forward(tape(spark, sf_dir), direction=ratio).where("price_direction is not null").select("symbol", "ms", "trade_id", "price_direction")
+
+
+_target_queries("", 0.0045)
+_target_queries("_wide", 0.5)
+
+
+@query(f"WITH {TAPE}, {_AHEAD}, z AS (SELECT symbol, ms, trade_id, price, coalesce(nxt, 0.0) AS nxt FROM ahead) SELECT symbol, ms, trade_id, round({_delta_sql(0.0045)}, 6) AS price_delta FROM z")
+def target_delta_missing_zero(spark, sf_dir):
+    return targets.forward(tape(spark, sf_dir), missing="zero").select("symbol", "ms", "trade_id", *_r("price_delta"))
+
+
+@query(f"WITH {TAPE}, {_AHEAD} SELECT symbol, ms, trade_id, CAST(coalesce(high, -1.0) > price * (1 + 0.0055) AS DOUBLE) AS sell_rise FROM ahead")
+def target_sell_rise(spark, sf_dir):
+    return targets.forward(tape(spark, sf_dir), rise_ms=RISE_H).select("symbol", "ms", "trade_id", "sell_rise")
+
+
+@query(f"""WITH {TAPE}, b AS (SELECT symbol, ms // 1000 * 1000 AS bin_ms, arg_max(price, (ms, trade_id)) AS price_last FROM tape GROUP BY ALL)
+SELECT a.symbol, a.bin_ms, round({_delta_sql(0.0045, 'a.price_last', 'z.price_last')}, 6) AS price_delta FROM b a JOIN b z ON z.symbol = a.symbol AND z.bin_ms = a.bin_ms + {H}""")
+def target_delta_binned(spark, sf_dir):
+    return targets.binned_delta(tape(spark, sf_dir), H).select("symbol", "bin_ms", *_r("price_delta"))
+
+
+@query(f"WITH {TAPE} SELECT greatest(min(ms), {START_MS}) AS emit_start_ms, max(ms) - {H} + 1 AS emit_end_ms FROM tape")
+def emit_range(spark, sf_dir):
+    return targets.emit_range(tape(spark, sf_dir), H, start_ms=START_MS)
+
+
+# The key-value store.
+
+_KEPT = ["mean_price_buy", "mean_price_sell", "cvd_buy"]
+_WIDE = f"""
+wide AS (
+  SELECT symbol, ms, {', '.join(f'max(CAST({n} AS DOUBLE)) AS {n}' for n in _KEPT)} FROM rolled
+  GROUP BY symbol, ms HAVING {' OR '.join(f'max({n}) IS NOT NULL' for n in _KEPT)})"""
+
+
+@query(f"WITH {TAPE}, {ROLLED}, {_WIDE} SELECT symbol, ms, {_rs(*_KEPT)} FROM wide")
+def kv_pivot(spark, sf_dir):
+    return kv.pivot(_store(spark, sf_dir, _KEPT), _KEPT).select("symbol", "ms", *_r(*_KEPT))
+
+
+@query(f"WITH {TAPE}, {ROLLED} SELECT 'cvd_buy' AS feature_name WHERE EXISTS (SELECT 1 FROM rolled WHERE cvd_buy IS NOT NULL) UNION ALL SELECT 'mean_price_sell' WHERE EXISTS (SELECT 1 FROM rolled WHERE mean_price_sell IS NOT NULL)")
+def present_features(spark, sf_dir):
+    return kv.present(_store(spark, sf_dir, ["cvd_buy", "mean_price_sell"]), ["cvd_buy", "mean_price_sell", "no_such_feature"])
+
+
+def _matrix(spark, sf_dir):
+    made = features.rolling(tape(spark, sf_dir), L)
+    aims = targets.forward(tape(spark, sf_dir), deadband=0.5).withColumn("aim", F.col("price_delta"))
+    store = kv.unpivot(made, _KEPT).unionByName(kv.unpivot(aims, ["aim"]))
+    return kv.matrix(store, "aim", _KEPT, order=["trade_id"])
+
+
+_MATRIX = f"""
+aim AS (SELECT symbol, ms, trade_id, {_delta_sql(0.5)} AS target FROM ahead WHERE nxt IS NOT NULL),
+matrix AS (SELECT aim.*, {', '.join(_KEPT)} FROM aim LEFT JOIN wide USING (symbol, ms))"""
+
+
+@query(f"WITH {TAPE}, {ROLLED}, {_WIDE}, {_AHEAD}, {_MATRIX} SELECT symbol, ms, trade_id, {_rs('target', *_KEPT)} FROM matrix")
+def kv_matrix(spark, sf_dir):
+    return _matrix(spark, sf_dir).select("symbol", "ms", "trade_id", *_r("target", *_KEPT))
+
+
+@query(f"WITH {TAPE}, {_AHEAD} SELECT trade_id, CAST(nxt IS NULL AS INTEGER) AS nxt_invalid, coalesce(nxt, -1.0) AS nxt FROM ahead")
+def fill_invalid(spark, sf_dir):
+    spread = frames.bucketed(tape(spark, sf_dir), ahead_ms=H)
+    rows = frames.owned(spread.withColumn("nxt", frames.at_offset(F.col("price"), F.col("trade_id"), H)))
+    return kv.model_columns(rows, {"nxt": {"special_value": -1, "onehot": True}}).select("trade_id", "nxt_invalid", "nxt")
+
+
+@query("SELECT o_orderkey, CAST(TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) IS NULL AS INTEGER) AS priority_invalid, coalesce(TRY_CAST(o_orderstatus AS DOUBLE), 7.5) AS status_filled FROM orders")
+def fill_text(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    priority = values.invalid_flag(F.substring("o_orderpriority", 1, 1))
+    return orders.select("o_orderkey", priority.alias("priority_invalid"), values.fill_invalid(F.col("o_orderstatus"), "7.5").alias("status_filled"))
+
+
+# Bars.
+
+_Q = {"price_q25": 0.25, "price_q75": 0.75, "q01": 0.01, "q99": 0.99}
+
+
+@query(f"""WITH {TAPE} SELECT symbol, ms // 60000 * 60000 AS bin_ms, count(*) AS trade_count, count(*) {_BUY} AS trade_count_buy,
+count(*) {_SELL} AS trade_count_sell, CAST(coalesce(sum(quantity) {_BUY}, 0) AS DOUBLE) AS volume_buy, CAST(coalesce(sum(quantity) {_SELL}, 0) AS DOUBLE) AS volume_sell,
+CAST(sum(quantity) AS DOUBLE) AS volume_total, round(coalesce(sum(price * quantity) {_BUY}, 0), 4) AS notional_buy,
+round(coalesce(sum(price * quantity) {_SELL}, 0), 4) AS notional_sell, round(sum(price * quantity), 4) AS notional_total,
+arg_max(price, (ms, trade_id)) AS price_last, arg_min(price, (ms, trade_id)) AS price_first, min(price) AS price_min, max(price) AS price_max,
+round(avg(price), 6) AS price_mean, round(stddev_samp(price), 6) AS price_std,
+{', '.join(f'round(quantile_cont(price, {q}), 6) AS {n}' for n, q in _Q.items())} FROM tape GROUP BY ALL""")
+def bars_minute(spark, sf_dir):
+    made = bars.bars(tape(spark, sf_dir), 60_000)
+    rounded = {n: F.round(n, 6) for n in ("price_mean", "price_std", *_Q)} | {n: F.round(n, 4) for n in ("notional_buy", "notional_sell", "notional_total")}
+    return made.withColumns(rounded)
+
+
+# Chunks.
+
+_EVENTS = "i AS (SELECT DISTINCT epoch_us(ts) AS us FROM events)"
+_SEGS = f"""
+s0 AS (SELECT lag(us) OVER (ORDER BY us) AS seg_start, us AS seg_end FROM i),
+s1 AS (SELECT *, seg_end - seg_start AS real_us, CASE WHEN seg_end - seg_start > {GAP_US} THEN 0 ELSE seg_end - seg_start END AS eff_us FROM s0 WHERE seg_start IS NOT NULL),
+segs AS (SELECT *, CAST(sum(eff_us) OVER (ORDER BY seg_end) AS BIGINT) AS cum_us FROM s1),
+tot AS (SELECT CAST(sum(eff_us) AS BIGINT) AS total FROM segs)"""
+_BOUNDS = f"""
+b AS (
+  SELECT CAST(idx AS INTEGER) AS idx, seg_start + total * idx // {N_CHUNKS} - (cum_us - eff_us) AS boundary_us
+  FROM range(1, {N_CHUNKS}) AS t(idx), tot JOIN segs ON eff_us > 0 AND cum_us - eff_us < total * idx // {N_CHUNKS} AND total * idx // {N_CHUNKS} <= cum_us)"""
+_GLOBAL = f"""
+p AS (SELECT idx, boundary_us AS point FROM b UNION ALL SELECT 0, min(us) FROM i UNION ALL SELECT {N_CHUNKS}, max(us) FROM i),
+g0 AS (SELECT idx, point, lead(point) OVER (ORDER BY idx) AS nxt FROM p),
+g AS (SELECT CAST(idx AS INTEGER) AS chunk_idx, point AS start_us, CASE WHEN idx = {N_CHUNKS} - 1 THEN nxt ELSE nxt - 1000000 END AS end_us FROM g0 WHERE nxt IS NOT NULL)"""
+_THIRDS = f"""
+ci AS (SELECT chunk_idx, us FROM i JOIN g ON us BETWEEN start_us AND end_us),
+c0 AS (SELECT chunk_idx, lag(us) OVER (PARTITION BY chunk_idx ORDER BY us) AS seg_start, us AS seg_end FROM ci),
+c1 AS (SELECT *, CASE WHEN seg_end - seg_start > {GAP_US} THEN 0 ELSE seg_end - seg_start END AS eff_us FROM c0 WHERE seg_start IS NOT NULL),
+cs AS (SELECT *, CAST(sum(eff_us) OVER (PARTITION BY chunk_idx ORDER BY seg_end) AS BIGINT) AS cum_us FROM c1),
+ct AS (SELECT chunk_idx, CAST(sum(eff_us) AS BIGINT) AS total FROM c1 GROUP BY 1),
+cb AS (
+  SELECT chunk_idx, k, seg_start + total * k // 3 - (cum_us - eff_us) AS point FROM ct JOIN cs USING (chunk_idx), (VALUES (1), (2)) AS t(k)
+  WHERE eff_us > 0 AND cum_us - eff_us < total * k // 3 AND total * k // 3 <= cum_us),
+cp AS (SELECT * FROM cb UNION ALL SELECT chunk_idx, 0, start_us FROM g UNION ALL SELECT chunk_idx, 3, end_us FROM g),
+cq AS (SELECT chunk_idx, k, point, lead(point) OVER (PARTITION BY chunk_idx ORDER BY k) AS nxt FROM cp),
+parts AS (
+  SELECT chunk_idx, CAST(k AS INTEGER) AS part_idx, CASE k WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS part,
+    point AS part_start_us, CASE WHEN k = 2 THEN nxt ELSE nxt - 1000000 END AS part_end_us FROM cq WHERE nxt IS NOT NULL)"""
+_ISO = "strftime(make_timestamp({0} // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_SIGNED = f"signed AS (SELECT *, sha256('EVT|' || {_ISO.format('part_start_us')} || '|' || {_ISO.format('part_end_us')} || '|' || part || '|v1') AS signature FROM parts)"
+
+
+def _instants(spark, sf_dir):
+    return chunks.timeline(spark.read.parquet(f"{sf_dir}/events.parquet"), timeaxis.to_us(F.col("ts")))
+
+
+def _global(spark, sf_dir):
+    return chunks.global_chunks(_instants(spark, sf_dir), N_CHUNKS, GAP_US).drop("collapsed")
+
+
+@query(f"WITH {_EVENTS}, {_SEGS} SELECT seg_start, seg_end, real_us, eff_us, cum_us FROM segs")
+def eff_segments(spark, sf_dir):
+    return chunks.segments(_instants(spark, sf_dir), GAP_US)
+
+
+@query(f"WITH {_EVENTS}, {_SEGS} SELECT CAST(sum(real_us) AS BIGINT) AS total_real_us, CAST(sum(eff_us) AS BIGINT) AS total_eff_us FROM segs")
+def eff_span(spark, sf_dir):
+    return chunks.span(chunks.segments(_instants(spark, sf_dir), GAP_US))
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS} SELECT idx, boundary_us FROM b")
+def eff_boundaries(spark, sf_dir):
+    return chunks.boundaries(chunks.segments(_instants(spark, sf_dir), GAP_US), N_CHUNKS)
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL} SELECT * FROM g")
+def global_chunks(spark, sf_dir):
+    return _global(spark, sf_dir)
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL}, {_THIRDS} SELECT * FROM parts")
+def tvt_chunks(spark, sf_dir):
+    return chunks.effective_thirds(_instants(spark, sf_dir), _global(spark, sf_dir), GAP_US).drop("collapsed")
+
+
+@query(f"""WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL}, w AS (SELECT chunk_idx, start_us AS s, end_us AS e, (end_us - start_us) // 3 AS a, (end_us - start_us) * 2 // 3 AS z FROM g)
+SELECT chunk_idx, 0 AS part_idx, 'train' AS part, s AS part_start_us, s + a - 1000000 AS part_end_us FROM w
+UNION ALL SELECT chunk_idx, 1, 'validation', s + a, s + z - 1000000 FROM w UNION ALL SELECT chunk_idx, 2, 'test', s + z, e FROM w""")
+def tvt_wall(spark, sf_dir):
+    return chunks.thirds(_global(spark, sf_dir)).drop("collapsed")
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL} SELECT chunk_idx, start_us, end_us, (SELECT count(*) FROM events WHERE epoch_us(ts) BETWEEN start_us AND end_us) AS n_rows FROM g")
+def chunk_counts(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(timeaxis.to_us(F.col("ts")).alias("us"))
+    return chunks.counted(rows, _global(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL}, {_THIRDS}, {_SIGNED} SELECT * FROM signed")
+def chunk_signatures(spark, sf_dir):
+    return chunks.signatures(tvt_chunks(spark, sf_dir), "EVT", "v1")
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL}, {_THIRDS}, {_SIGNED} SELECT len(list(signature)) AS n_parts, sha256(string_agg(signature, '|' ORDER BY chunk_idx, part_idx)) AS chunks_list_hash FROM signed")
+def chunk_session(spark, sf_dir):
+    made = chunks.session(chunk_signatures(spark, sf_dir))
+    return made.select(F.size("chunks_list").cast("long").alias("n_parts"), "chunks_list_hash")
+
+
+_YEARS = [(f"{y}-01-01", f"{y}-12-31") for y in range(1995, 2003)]
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS idx, count(*) AS n_rows FROM lineitem WHERE l_shipdate BETWEEN '{a}' AND '{b}'" for i, (a, b) in enumerate(_YEARS)))
+def many_range_counts(spark, sf_dir):
+    day = lambda x: int(timeaxis.parse_instant(x).timestamp() * 1_000_000)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return chunks.counts(rows, timeaxis.to_us(F.col("l_shipdate")), [(day(a), day(b)) for a, b in _YEARS])
+
+
+_STATS = "SELECT CAST(min(n) AS DOUBLE) AS min, CAST(max(n) AS DOUBLE) AS max, round(avg(n), 6) AS mean, CAST(median(n) AS DOUBLE) AS median, round(stddev_samp(n), 6) AS std"
+
+
+@query(f"WITH d AS (SELECT o_orderdate, count(*) AS n FROM orders GROUP BY 1) {_STATS} FROM d")
+def chunk_stats(spark, sf_dir):
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderdate").agg(F.count("*").alias("n"))
+    return chunks.stats(days, "n").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("SELECT o_orderkey, o_orderdate AS created_at FROM orders WHERE o_custkey % 7 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def latest_rows(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"symbol": (F.col("o_custkey") % 7).cast("string"), "created_at": F.col("o_orderdate"), "chunk_hash": F.col("o_orderkey")})
+    return chunks.latest(orders, "0", 10).select("o_orderkey", "created_at")
+
+
+# Horizons, splits, batches.
+
+
+@query(f"WITH {_EVENTS}, {_SEGS}, {_BOUNDS}, {_GLOBAL} SELECT chunk_idx, least(start_us + 3600000000 + 1000000, end_us) AS embargo_start_us, greatest(end_us - 7200000000 - 1000000, start_us) AS purge_end_us, least(start_us + 3600000000 + 1000000, end_us) >= end_us AS embargo_empty FROM g")
+def embargo_purge(spark, sf_dir):
+    start, end = F.col("start_us"), F.col("end_us")
+    moved = horizons.embargo(start, end, 3_600_000_000)
+    return _global(spark, sf_dir).select("chunk_idx", moved.alias("embargo_start_us"), horizons.purge(start, end, 7_200_000_000).alias("purge_end_us"), horizons.is_empty(moved, end).alias("embargo_empty"))
+
+
+@query(f"""WITH {TAPE}, c AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.7) AS BIGINT) AS cut FROM tape),
+o AS (SELECT ms, row_number() OVER (ORDER BY ms) AS k FROM tape), e AS (SELECT ms AS edge FROM o, c WHERE k = cut)
+SELECT n AS n_rows, (SELECT count(*) FROM tape, e WHERE ms <= edge) AS n_train, (SELECT count(*) FROM tape, e WHERE ms > edge) AS n_test, (SELECT min(ms) FROM tape, e WHERE ms > edge) AS train_end FROM c""")
+def split_70_30(spark, sf_dir):
+    return horizons.train_share(tape(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {TAPE}, d AS (SELECT symbol, ms, count(*) AS n FROM tape GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ms) AS k FROM d),
+r AS (SELECT symbol, k, ms, n, 0 AS batch, n AS filled FROM o WHERE k = 1
+  UNION ALL SELECT o.symbol, o.k, o.ms, o.n, CASE WHEN r.filled >= 700 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.filled >= 700 THEN o.n ELSE r.filled + o.n END
+  FROM r JOIN o ON o.symbol = r.symbol AND o.k = r.k + 1),
+g AS (SELECT symbol, batch, min(ms) AS start_ms, max(ms) AS last_ms, CAST(sum(n) AS BIGINT) AS n_rows FROM r GROUP BY 1, 2)
+SELECT symbol, batch, start_ms, coalesce(lead(start_ms) OVER (PARTITION BY symbol ORDER BY batch), last_ms + 1000) AS end_ms, n_rows FROM g""")
+def row_batches(spark, sf_dir):
+    return horizons.row_batches(tape(spark, sf_dir), 700, ["symbol"])
+
+
+# Online ridge.
+
+_ALPHA, _BLOCK = 1.0, 64
+_RIDGE = f"""
+x AS (SELECT symbol, ms, trade_id, target, mean_price_buy AS a, mean_price_sell AS z FROM matrix),
+k AS (SELECT *, CAST(a IS NOT NULL AND z IS NOT NULL AS INTEGER) AS ready FROM x),
+t AS (SELECT *, CAST(sum(ready) OVER (PARTITION BY symbol ORDER BY ms, trade_id) AS BIGINT) AS run FROM k),
+gr AS (SELECT symbol, (run - 1) // {_BLOCK} AS block, sum(a * a) AS aa, sum(a * z) AS az, sum(z * z) AS zz, sum(a * target) AS ay, sum(z * target) AS zy, count(*) AS n
+  FROM t WHERE ready = 1 GROUP BY 1, 2)"""
+_GRAMS = ", ".join(f"round({c} / 1000, 4) AS {c}" for c in ("aa", "az", "zz", "ay", "zy"))
+_PREFIX = f"{TAPE}, {ROLLED}, {_WIDE}, {_AHEAD}, {_MATRIX}, {_RIDGE}"
+
+
+@query(f"WITH {_PREFIX} SELECT symbol, block, {_GRAMS} FROM gr WHERE n = {_BLOCK}")
+def ridge_gram(spark, sf_dir):
+    rows = _matrix(spark, sf_dir).withColumn("__train", values.is_finite(F.col("mean_price_buy") + F.col("mean_price_sell")).cast("long"))
+    rows = ridge.running_total(rows, F.col("__train"), ["ms", "trade_id"], "__k", F.floor(F.col("ms") / 3_600_000), ["symbol"])
+    made = ridge.grams(rows, ["mean_price_buy", "mean_price_sell"], "target", ["symbol"], _BLOCK)
+    names = {"g_0_0": "aa", "g_0_1": "az", "g_1_1": "zz", "b_0": "ay", "b_1": "zy"}
+    return made.select("symbol", F.col("__block").alias("block"), *[F.round(F.col(c) / 1000, 4).alias(n) for c, n in names.items()])
+
+
+@query(f"""WITH {_PREFIX},
+cs AS (SELECT symbol, block + 1 AS done, {', '.join(f'sum({c}) OVER (PARTITION BY symbol ORDER BY block) + {a} AS {c}' for c, a in (('aa', _ALPHA), ('az', 0), ('zz', _ALPHA), ('ay', 0), ('zy', 0)))} FROM gr WHERE n = {_BLOCK}),
+co AS (SELECT symbol, done, (zz * ay - az * zy) / (aa * zz - az * az) AS wa, (aa * zy - az * ay) / (aa * zz - az * az) AS wz FROM cs)
+SELECT t.symbol, ms, trade_id, (run - ready) // {_BLOCK} AS blocks_done, CASE WHEN ready = 1 THEN round(a * wa + z * wz, 4) END AS signal
+FROM t LEFT JOIN co ON co.symbol = t.symbol AND co.done = (run - ready) // {_BLOCK}""")
+def ridge_signal(spark, sf_dir):
+    made = ridge.signals(_matrix(spark, sf_dir), ["mean_price_buy", "mean_price_sell"], alpha=_ALPHA, block=_BLOCK)
+    return made.select("symbol", "ms", "trade_id", "blocks_done", F.round(F.nanvl("signal", F.lit(None).cast("double")), 4).alias("signal"))
+
+
+# Order book: events as orders; an error removes its user's order.
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    size = F.when(F.col("event_type") == "error", 0.0).otherwise((F.get_json_object("props", "$.k").cast("long") + 1).cast("double"))
+    return events.select(
+        F.concat(F.lit("S"), (F.col("user_id") % 2).cast("string")).alias("symbol"), F.col("event_id").alias("seq"), F.col("user_id").alias("uid"),
+        F.when(F.floor(F.col("user_id") / 2) % 2 == 0, "bid").otherwise("ask").alias("side"),
+        F.when(F.floor(F.col("user_id") / 2) % 2 == 0, F.floor("value") % 20).otherwise(F.floor("value") % 20 + 15).cast("double").alias("price"), size.alias("size"),
+    )
+
+
+_BOOK = """
+ev AS (
+  SELECT 'S' || (user_id % 2) AS symbol, event_id AS seq, user_id AS uid, CASE WHEN user_id // 2 % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
+    floor(value) % 20 + CASE WHEN user_id // 2 % 2 = 0 THEN 0 ELSE 15 END AS price,
+    CASE WHEN event_type = 'error' THEN 0.0 ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 END AS size
+  FROM events),
+gone AS (SELECT symbol, uid, max(seq) AS seq FROM ev WHERE size = 0 GROUP BY 1, 2),
+alive AS (SELECT ev.* FROM ev LEFT JOIN gone USING (symbol, uid) WHERE gone.seq IS NULL OR ev.seq > gone.seq),
+ord AS (SELECT symbol, uid, arg_min(side, seq) AS side, arg_min(price, seq) AS price, arg_max(size, seq) AS size FROM alive GROUP BY 1, 2),
+lev AS (SELECT symbol, side, CAST(price AS DOUBLE) AS price, CAST(sum(size) AS DOUBLE) AS size, count(*) AS n_orders, CAST(price * sum(size) AS DOUBLE) AS volume FROM ord GROUP BY symbol, side, price),
+best AS (SELECT symbol, max(price) FILTER (WHERE side = 'bid') AS best_bid, min(price) FILTER (WHERE side = 'ask') AS best_ask FROM lev GROUP BY 1)"""
+
+
+@query(f"WITH {_BOOK} SELECT * FROM lev")
+def book_levels(spark, sf_dir):
+    return book.levels(book.living(order_events(spark, sf_dir)))
+
+
+@query(f"WITH {_BOOK} SELECT * FROM best")
+def book_top(spark, sf_dir):
+    return book.top(book.living(order_events(spark, sf_dir)))
+
+
+@query(f"""WITH {_BOOK}, seen AS (SELECT lev.* FROM lev JOIN best USING (symbol) WHERE (side = 'bid' AND (best_ask IS NULL OR price < best_ask)) OR (side = 'ask' AND (best_bid IS NULL OR price > best_bid))),
+ranked AS (SELECT symbol, side, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS INTEGER) AS level, price, size, n_orders, volume FROM seen)
+SELECT * FROM ranked WHERE level <= 5""")
+def book_depth(spark, sf_dir):
+    return book.depth(book.living(order_events(spark, sf_dir)), 5)
+
+
+# Bootstrap.
+
+_CORR = "SELECT 'f' || l_linenumber AS feature, l_returnflag AS target, CAST(l_suppkey AS INTEGER) AS chunk, round(avg(l_discount - 0.05), 6) AS corr, count(*) AS n_rows FROM lineitem GROUP BY ALL"
+
+
+def _corr(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    grouped = items.groupBy(F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature"), F.col("l_returnflag").alias("target"), F.col("l_suppkey").cast("int").alias("chunk"))
+    return grouped.agg(F.round(F.avg(F.col("l_discount") - 0.05), 6).alias("corr"), F.count("*").alias("n_rows"))
+
+
+@query(f"WITH c AS ({_CORR}) SELECT feature, target, round(avg(corr), 6) AS avg_corr, round(avg(abs(corr)), 6) AS weighted_score, round(avg(CAST(corr <= 0 AS INTEGER)), 6) AS p_value_le_zero FROM c GROUP BY ALL")
+def bootstrap_summary(spark, sf_dir):
+    return bootstrap.summary(_corr(spark, sf_dir)).select("feature", "target", *_r("avg_corr", "weighted_score", "p_value_le_zero"))
+
+
+@query()
+def bootstrap_samples(spark, sf_dir):
+    """Resamples follow a hash, which SQL oracles don't share: rows only."""
+    return bootstrap.samples(_corr(spark, sf_dir), 50)
+
+
+# Text of instants and sides.
+
+
+@query("SELECT event_id, strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso, CASE WHEN event_type[1] = 's' THEN 'sell' WHEN event_type[1] = 'b' THEN 'buy' ELSE event_type END AS side, sha256(concat_ws('|', event_type, CAST(user_id AS VARCHAR))) AS h FROM events")
+def instants_and_sides(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    joined = values.joined_hash(F.col("event_type"), F.col("user_id").cast("string"))
+    return events.select("event_id", timeaxis.iso_ms(F.col("ts")).alias("iso"), values.normal_side(F.col("event_type")).alias("side"), joined.alias("h"))
