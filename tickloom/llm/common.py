@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bounds the bytes of a batch handed to Python, so that long texts can't fill a worker; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+    if given <= 0 or given > size:
+        spark.conf.set(key, str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

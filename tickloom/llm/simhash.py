@@ -196,7 +196,7 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The documents whose id names their component, with all columns: one per group. Rows that repeat that id stay."""
     chosen = classes(docs, doc_id, text, words, bits, seed).select("doc_id", "component_id").where("doc_id <=> component_id")
     chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen, docs[doc_id].eqNullSafe(chosen["__id"]), "left_semi")
+    return docs.join(chosen.hint("merge"), docs[doc_id].eqNullSafe(chosen["__id"]), "left_semi")
 
 
 def brute_force(texts: dict, words: int = 4, bits: int = 4, seed: int = 42) -> dict:

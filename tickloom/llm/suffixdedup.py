@@ -243,11 +243,12 @@ def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
         chains.select(F.col("z").alias("rid"), F.col("z_start").alias("start"), F.col("z_end").alias("stop"))
     ).distinct()
     asked = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("asked"))
-    contexts = texts.join(asked, "rid").select("rid", "text", "asked").mapInArrow(lean(_contexts(side)), "rid long, start long, stop long, before array<long>, after array<long>")
+    # One plan at every size: both sides meet by sorted keys, none is sent to all tasks.
+    contexts = texts.join(asked.hint("merge"), "rid").select("rid", "text", "asked").mapInArrow(lean(_contexts(side)), "rid long, start long, stop long, before array<long>, after array<long>")
     contexts = scratch.keep(contexts)
     of_x = contexts.select(F.col("rid").alias("x"), F.col("start").alias("x_start"), F.col("stop").alias("x_end"), F.col("before").alias("xb"), F.col("after").alias("xa"))
     of_z = contexts.select(F.col("rid").alias("z"), F.col("start").alias("z_start"), F.col("stop").alias("z_end"), F.col("before").alias("zb"), F.col("after").alias("za"))
-    sides = chains.join(of_x, ["x", "x_start", "x_end"]).join(of_z, ["z", "z_start", "z_end"])
+    sides = chains.join(of_x.hint("merge"), ["x", "x_start", "x_end"]).join(of_z.hint("merge"), ["z", "z_start", "z_end"])
     long = sides.mapInArrow(lean(_extend(min_words)), "rid long, start long, stop long, ref long, ref_start long")
     ordered = long.repartition("rid").sortWithinPartitions("rid", "start", F.desc("stop"), "ref", "ref_start")
     return ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long")
@@ -282,7 +283,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_word
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = numbered(docs, doc_id, text, scratch)
     spans = repeats(rows, scratch, min_words).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = rows.join(scratch.keep(spans), "rid", "left").select("text", "spans", "row")
+    joined = rows.join(scratch.keep(spans).hint("merge"), "rid", "left").select("text", "spans", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
