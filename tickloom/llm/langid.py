@@ -13,15 +13,17 @@ Defined cases: null texts and texts without a letter are ``und`` with score 0; t
 sorts first; labelled rows with null text or null language teach nothing; with no learnable language every
 text is ``und``; extra columns are not looked at. Repeated rows are each scored.
 
-The fit takes a bounded sample: up to ``chars`` normalised characters of each language, from at most
-``sample_rows`` labelled rows with the smallest hash (``languages`` bounds the number of languages). Scoring
-is map-only over all rows, with the automata broadcast (``4 * alphabet * 2 * chars`` bytes a language at most).
+The fit takes a bounded sample: up to ``chars`` normalised characters of each language, up to ``piece`` of them
+from each of about ``sample_rows`` labelled rows drawn by hash (``languages`` bounds the number of languages).
+Scoring is map-only over all rows, with the automata broadcast (``4 * alphabet * 2 * chars`` bytes a language).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -144,22 +146,20 @@ class Model:
         return np.where(size[:, None] > 0, out, np.inf)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 40_000, sample_rows: int = 4_000, languages: int = 64) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 16_000, sample_rows: int = 1_000, piece: int = 1_000, languages: int = 64) -> Model:
     """Learn from rows with text and language. The sample's bounds are parameters; see the module."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     counted = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
-    samples: dict[str, str] = {}
-    for x in counted:
-        near = rows.where(F.col("l") == x.l).select(F.substring("t", 1, 2000).alias("t"), F.xxhash64("t").alias("h"))
-        total, parts = 0, []
-        for r in near.orderBy("h", "t").limit(max(sample_rows // len(counted), 1)).collect():
-            part = normalise(r.t)
-            parts.append(part)
-            total += len(part) + 1
-            if total >= chars:
-                break
-        samples[x.l] = " ".join(p for p in parts if p)[:chars]
-    return Model(samples)
+    share = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = [(F.col("l") == x.l) & (share <= sample_rows / x.n) for x in counted]
+    samples: dict[str, list[str]] = {x.l: [] for x in counted}
+    if drawn:
+        near = rows.where(reduce(or_, drawn)).select("l", F.substring("t", 1, 4 * piece).alias("t"), F.xxhash64("t").alias("h"))
+        for r in sorted(near.collect(), key=lambda r: (r.l, r.h, r.t)):
+            part = normalise(r.t)[:piece]
+            if part and sum(map(len, samples[r.l])) < chars:
+                samples[r.l].append(part)
+    return Model({k: " ".join(parts)[:chars] for k, parts in samples.items()})
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
