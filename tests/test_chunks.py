@@ -32,6 +32,12 @@ def test_gap_stripped_chunks(spark):
     assert (total.total_real_us, total.total_eff_us) == (40 * S, 15 * S)
 
 
+def test_a_timeline_needs_two_points(spark):
+    assert chunks.require_points(line(spark, [1, 2])).count() == 2
+    with pytest.raises(ValueError):
+        chunks.require_points(line(spark, [1, 1]).distinct())
+
+
 def test_thirds(spark):
     whole = spark.createDataFrame([(0, 0, 9 * S), (1, 0, 2 * S)], "chunk_idx int, start_us long, end_us long")
     rows = chunks.thirds(whole).orderBy("chunk_idx", "part_idx").collect()

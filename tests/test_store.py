@@ -74,6 +74,18 @@ def test_fill(spark):
             values.replacement(bad)
 
 
+def test_fill_policies(spark):
+    rows = [("A", i * 10, i, x, x) for i, x in enumerate([None, 1.0, None, None, 2.0, None])]
+    df = spark.createDataFrame(rows, "symbol string, ms long, trade_id long, f double, z double")
+    got = kv.filled(df, {"f": "causal_ffill", "z": "zero"}, bucket_ms=20).orderBy("ms").collect()
+    assert [r.f for r in got] == [None, 1.0, 1.0, 1.0, 2.0, 2.0] and [r.z for r in got] == [0.0, 1.0, 0.0, 0.0, 2.0, 0.0]
+    assert [r.f for r in kv.filled(df, {"f": "null"}).orderBy("ms").collect()] == [r[3] for r in rows]
+    with pytest.raises(ValueError):
+        kv.filled(df, {"f": "guess"})
+    worst = kv.invalid_counts(df, ["f", "z", "ms"], 2).collect()
+    assert [(r.feature_name, r.n_invalid) for r in worst] == [("f", 4), ("z", 4)]
+
+
 def feature_rows(spark, rows):
     return spark.createDataFrame([("A", at(s), n, v) for s, n, v in rows], schema.FEATURES)
 

@@ -20,6 +20,13 @@ def timeline(rows: DataFrame, us: Column, keys: list[str] | None = None) -> Data
     return rows.select(*(keys or []), us.cast("long").alias("us")).where("us is not null").distinct()
 
 
+def require_points(instants: DataFrame, least: int = 2) -> DataFrame:
+    """The timeline itself; too few instants are an error."""
+    if instants.limit(least).count() < least:
+        raise ValueError(f"a timeline needs {least} instants at least")
+    return instants
+
+
 def segments(instants: DataFrame, gap_us: int | None, keys: list[str] | None = None, bucket_us: int = BUCKET_US) -> DataFrame:
     """For every instant but the first of a key: seg_start, seg_end, real_us, eff_us, and cum_us, the clock at its end.
 
@@ -96,11 +103,8 @@ def wall_chunks(start_us: int, end_us: int, n: int, spark) -> DataFrame:
 
 
 def in_chunks(instants: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Instants with the chunk they fall in. The chunk list is what a user asked for, a row each: it is sent to
-    every task while it is small, else both sides meet by buckets of the axis."""
-    if chunks.count() <= 10_000:
-        near = F.broadcast(chunks.select("chunk_idx", "start_us", "end_us"))
-        return instants.join(near, F.col("us").between(F.col("start_us"), F.col("end_us")))
+    """Instants with the chunk they fall in. Chunks are spread over the buckets of the axis that they cover, so both
+    sides meet by bucket; which of them is sent where is left to the planner."""
     bucket = lambda c: F.floor(F.col(c) / BUCKET_US)
     spread = chunks.select("chunk_idx", "start_us", "end_us", F.explode(F.sequence(bucket("start_us"), bucket("end_us"))).alias("__b"))
     met = instants.withColumn("__b", bucket("us")).join(spread, "__b")

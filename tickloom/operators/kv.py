@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import fill_invalid, invalid_flag, is_finite
@@ -53,11 +53,41 @@ def model_columns(wide: DataFrame, policies: dict[str, dict]) -> DataFrame:
     return out
 
 
-def write(rows: DataFrame, path: str, mode: str = "append", finite_only: bool = True, rows_per_file: int = 5_000_000) -> None:
+def filled(rows: DataFrame, policies: dict[str, str], keys: list[str] | None = None, order: list[str] | None = None, bucket_ms: int = 3_600_000) -> DataFrame:
+    """Gaps of wide columns by policy: "zero", "causal_ffill" (the last value before, in order), "null" and "derived"
+    (left as they are). Filling forward goes by buckets of the axis: each starts from the last value before it."""
+    keys, order = keys or ["symbol"], order or ["ms", "trade_id"]
+    unknown = set(policies.values()) - {"zero", "causal_ffill", "null", "derived"}
+    if unknown:
+        raise ValueError(f"unknown fill policies: {sorted(unknown)}")
+    out = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c, p in policies.items() if p == "zero"} or {keys[0]: F.col(keys[0])})
+    forward = [c for c, p in policies.items() if p == "causal_ffill"]
+    if not forward:
+        return out
+    out = out.withColumn("__b", F.floor(F.col(order[0]) / bucket_ms))
+    at = F.struct(*order)
+    ends = out.groupBy(*keys, "__b").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"__{c}") for c in forward])
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__b", *[F.last(f"__{c}", ignorenulls=True).over(before).alias(f"__{c}") for c in forward])
+    within = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.join(ends, [*keys, "__b"])
+    return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(within), f"__{c}") for c in forward}).drop("__b", *[f"__{c}" for c in forward])
+
+
+def invalid_counts(wide: DataFrame, names: list[str], most: int = 10) -> DataFrame:
+    """The columns with the most invalid values (feature_name, n_invalid), worst first; one pass over the rows."""
+    sums = wide.agg(*[F.coalesce(F.sum(invalid_flag(F.col(n))), F.lit(0)).alias(n) for n in names])
+    pairs = F.array(*[F.struct(F.lit(n).alias("feature_name"), F.col(n).alias("n_invalid")) for n in names])
+    return sums.select(F.inline(pairs)).orderBy(F.desc("n_invalid"), "feature_name").limit(most)
+
+
+def write(rows: DataFrame, path: str, mode: str = "append", finite_only: bool = True, rows_per_file: int = 5_000_000, extra: dict[str, str] | None = None) -> None:
     """Appends (symbol, exchange_ts, feature_name, feature_value) as Parquet by feature name.
 
     Rows without a symbol, instant or name, or (unless told otherwise) without a finite value, are left out.
+    ``extra`` adds constant columns, such as a version and a contract's hash.
     """
+    rows = rows.withColumns({k: F.lit(v) for k, v in (extra or {}).items()}) if extra else rows
     rows = rows.where("symbol is not null and exchange_ts is not null and feature_name is not null")
     if finite_only:
         rows = rows.where(is_finite(F.col("feature_value")))

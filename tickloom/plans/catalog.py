@@ -48,11 +48,11 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+    return [F.round(n, 9).alias(n) for n in names]
 
 
 def _rs(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    return ", ".join(f"round({n}, 9) AS {n}" for n in names)
 
 
 def _store(spark: SparkSession, sf_dir: str, names: list[str], momentum: bool = False) -> DataFrame:
@@ -116,29 +116,29 @@ def next_instant(spark, sf_dir):
 
 
 def _feature_query(name: str) -> None:
-    @query(f"WITH {TAPE}, {ROLLED} SELECT symbol, ms, trade_id, round(CAST({name} AS DOUBLE), 6) AS feature_value FROM rolled WHERE {name} IS NOT NULL", f"roll_{name}")
+    @query(f"WITH {TAPE}, {ROLLED} SELECT symbol, ms, trade_id, round(CAST({name} AS DOUBLE), 9) AS feature_value FROM rolled WHERE {name} IS NOT NULL", f"roll_{name}")
     def run(spark, sf_dir):
-        return _store(spark, sf_dir, [name]).select("symbol", "ms", "trade_id", F.round("feature_value", 6).alias("feature_value"))
+        return _store(spark, sf_dir, [name]).select("symbol", "ms", "trade_id", F.round("feature_value", 9).alias("feature_value"))
 
 
 for _name in [*features.ROLLING, "volume_balance"]:
     _feature_query(_name)
 
-_ALL = " UNION ALL ".join(f"SELECT symbol, ms, trade_id, '{n}' AS feature_name, round(CAST({n} AS DOUBLE), 6) AS feature_value FROM rolled WHERE {n} IS NOT NULL" for n in features.ROLLING)
+_ALL = " UNION ALL ".join(f"SELECT symbol, ms, trade_id, '{n}' AS feature_name, round(CAST({n} AS DOUBLE), 9) AS feature_value FROM rolled WHERE {n} IS NOT NULL" for n in features.ROLLING)
 
 
 @query(f"WITH {TAPE}, {ROLLED} {_ALL}")
 def roll_features(spark, sf_dir):
     """All nine rolling features from one window, as key-value rows."""
-    return _store(spark, sf_dir, features.ROLLING).withColumn("feature_value", F.round("feature_value", 6))
+    return _store(spark, sf_dir, features.ROLLING).withColumn("feature_value", F.round("feature_value", 9))
 
 
 _MOMENTUM = f"SELECT symbol, ms, trade_id, arg_max(price, (ms, trade_id)) OVER w - arg_min(price, (ms, trade_id)) OVER w AS v FROM tape WINDOW w AS {_FRAME}"
 
 
-@query(f"WITH {TAPE}, m AS ({_MOMENTUM}) SELECT symbol, ms, trade_id, round(v, 6) AS feature_value FROM m WHERE v IS NOT NULL")
+@query(f"WITH {TAPE}, m AS ({_MOMENTUM}) SELECT symbol, ms, trade_id, round(v, 9) AS feature_value FROM m WHERE v IS NOT NULL")
 def price_momentum(spark, sf_dir):
-    return _store(spark, sf_dir, ["price_momentum"], momentum=True).select("symbol", "ms", "trade_id", F.round("feature_value", 6).alias("feature_value"))
+    return _store(spark, sf_dir, ["price_momentum"], momentum=True).select("symbol", "ms", "trade_id", F.round("feature_value", 9).alias("feature_value"))
 
 
 # Targets.
@@ -155,7 +155,7 @@ def _delta_sql(ratio: float, price: str = "price", ahead: str = "nxt") -> str:
 
 
 def _target_queries(label: str, ratio: float) -> None:
-    @query(f"WITH {TAPE}, {_AHEAD} SELECT symbol, ms, trade_id, round({_delta_sql(ratio)}, 6) AS price_delta FROM ahead WHERE nxt IS NOT NULL", f"target_delta_trade_time{label}")
+    @query(f"WITH {TAPE}, {_AHEAD} SELECT symbol, ms, trade_id, round({_delta_sql(ratio)}, 9) AS price_delta FROM ahead WHERE nxt IS NOT NULL", f"target_delta_trade_time{label}")
     def delta(spark, sf_dir):
         return targets.forward(tape(spark, sf_dir), deadband=ratio).where("price_delta is not null").select("symbol", "ms", "trade_id", *_r("price_delta"))
 
@@ -171,7 +171,7 @@ _target_queries("", 0.0045)
 _target_queries("_wide", 0.5)
 
 
-@query(f"WITH {TAPE}, {_AHEAD}, z AS (SELECT symbol, ms, trade_id, price, coalesce(nxt, 0.0) AS nxt FROM ahead) SELECT symbol, ms, trade_id, round({_delta_sql(0.0045)}, 6) AS price_delta FROM z")
+@query(f"WITH {TAPE}, {_AHEAD}, z AS (SELECT symbol, ms, trade_id, price, coalesce(nxt, 0.0) AS nxt FROM ahead) SELECT symbol, ms, trade_id, round({_delta_sql(0.0045)}, 9) AS price_delta FROM z")
 def target_delta_missing_zero(spark, sf_dir):
     return targets.forward(tape(spark, sf_dir), missing="zero").select("symbol", "ms", "trade_id", *_r("price_delta"))
 
@@ -182,7 +182,7 @@ def target_sell_rise(spark, sf_dir):
 
 
 @query(f"""WITH {TAPE}, b AS (SELECT symbol, ms // 1000 * 1000 AS bin_ms, arg_max(price, (ms, trade_id)) AS price_last FROM tape GROUP BY ALL)
-SELECT a.symbol, a.bin_ms, round({_delta_sql(0.0045, 'a.price_last', 'z.price_last')}, 6) AS price_delta FROM b a JOIN b z ON z.symbol = a.symbol AND z.bin_ms = a.bin_ms + {H}""")
+SELECT a.symbol, a.bin_ms, round({_delta_sql(0.0045, 'a.price_last', 'z.price_last')}, 9) AS price_delta FROM b a JOIN b z ON z.symbol = a.symbol AND z.bin_ms = a.bin_ms + {H}""")
 def target_delta_binned(spark, sf_dir):
     return targets.binned_delta(tape(spark, sf_dir), H).select("symbol", "bin_ms", *_r("price_delta"))
 
@@ -242,6 +242,22 @@ def fill_text(spark, sf_dir):
     return orders.select("o_orderkey", priority.alias("priority_invalid"), values.fill_invalid(F.col("o_orderstatus"), "7.5").alias("status_filled"))
 
 
+@query(f"""WITH {TAPE}, {_AHEAD} SELECT trade_id, coalesce(last_value(high IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ms, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -5.0) AS high, coalesce(nxt, 0.0) AS nxt FROM ahead""")
+def fill_policies(spark, sf_dir):
+    spread = frames.bucketed(tape(spark, sf_dir), ahead_ms=RISE_H)
+    made = spread.withColumns({"nxt": frames.at_offset(F.col("price"), F.col("trade_id"), H), "high": frames.ahead_max(F.when(values.is_sell(F.col("side")), F.col("price")), RISE_H)})
+    rows = kv.filled(frames.owned(made), {"high": "causal_ffill", "nxt": "zero"}, bucket_ms=600_000)
+    return rows.select("trade_id", F.coalesce("high", F.lit(-5.0)).alias("high"), "nxt")
+
+
+_COUNTED = " UNION ALL ".join(f"SELECT '{n}' AS feature_name, count(*) FILTER (WHERE {n} IS NULL) AS n_invalid FROM rolled" for n in [*features.ROLLING])
+
+
+@query(f"WITH {TAPE}, {ROLLED}, c AS ({_COUNTED}) SELECT feature_name, CAST(n_invalid AS BIGINT) AS n_invalid FROM c ORDER BY n_invalid DESC, feature_name LIMIT 5")
+def invalid_counts(spark, sf_dir):
+    return kv.invalid_counts(features.rolling(tape(spark, sf_dir), L), features.ROLLING, 5)
+
+
 # Bars.
 
 _Q = {"price_q25": 0.25, "price_q75": 0.75, "q01": 0.01, "q99": 0.99}
@@ -252,14 +268,21 @@ count(*) {_SELL} AS trade_count_sell, CAST(coalesce(sum(quantity) {_BUY}, 0) AS
 CAST(sum(quantity) AS DOUBLE) AS volume_total, round(coalesce(sum(price * quantity) {_BUY}, 0), 4) AS notional_buy,
 round(coalesce(sum(price * quantity) {_SELL}, 0), 4) AS notional_sell, round(sum(price * quantity), 4) AS notional_total,
 arg_max(price, (ms, trade_id)) AS price_last, arg_min(price, (ms, trade_id)) AS price_first, min(price) AS price_min, max(price) AS price_max,
-round(avg(price), 6) AS price_mean, round(stddev_samp(price), 6) AS price_std,
+round(avg(price), 9) AS price_mean, round(stddev_samp(price), 6) AS price_std,
 {', '.join(f'round(quantile_cont(price, {q}), 6) AS {n}' for n, q in _Q.items())} FROM tape GROUP BY ALL""")
 def bars_minute(spark, sf_dir):
     made = bars.bars(tape(spark, sf_dir), 60_000)
-    rounded = {n: F.round(n, 6) for n in ("price_mean", "price_std", *_Q)} | {n: F.round(n, 4) for n in ("notional_buy", "notional_sell", "notional_total")}
+    rounded = {"price_mean": F.round("price_mean", 9)} | {n: F.round(n, 6) for n in ("price_std", *_Q)} | {n: F.round(n, 4) for n in ("notional_buy", "notional_sell", "notional_total")}
     return made.withColumns(rounded)
 
 
+@query(f"WITH {TAPE}, b AS (SELECT symbol, ms // 60000 * 60000 AS bin_ms, count(*) AS trade_count, arg_max(price, (ms, trade_id)) AS price_last FROM tape GROUP BY ALL) SELECT bin_ms, trade_count, price_last FROM b WHERE symbol = 'S1' AND bin_ms >= {START_MS} AND bin_ms < {END_MS} ORDER BY bin_ms")
+def scan_bars(spark, sf_dir):
+    made = bars.bars(tape(spark, sf_dir), 60_000).withColumn("exchange_ts", timeaxis.from_ms(F.col("bin_ms")))
+    start, end = (datetime.fromtimestamp(x / 1000, UTC) for x in (START_MS, END_MS))
+    return source.scan_bars(made, "S1", start, end).select("bin_ms", "trade_count", "price_last")
+
+
 # Chunks.
 
 _EVENTS = "i AS (SELECT DISTINCT epoch_us(ts) AS us FROM events)"
@@ -436,6 +459,17 @@ def ridge_signal(spark, sf_dir):
     return made.select("symbol", "ms", "trade_id", "blocks_done", F.round(F.nanvl("signal", F.lit(None).cast("double")), 4).alias("signal"))
 
 
+@query(f"""WITH {_PREFIX} SELECT 'signal aim ridge {{mean_price_buy,mean_price_sell}}' AS feature_name, count(*) AS n_rows,
+  CAST(sum(ready) AS BIGINT) AS n_predictable, CAST(sum(CASE WHEN ready = 1 AND (run - ready) // {_BLOCK} > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_predicted FROM t""")
+def ridge_counters(spark, sf_dir):
+    """Rows, rows with all inputs, and rows with a signal, under the signal's name in the store."""
+    names = ["mean_price_buy", "mean_price_sell"]
+    made = ridge.signals(_matrix(spark, sf_dir), names, alpha=_ALPHA, block=_BLOCK)
+    ready = values.is_finite(F.col(names[0])) & values.is_finite(F.col(names[1]))
+    counted = made.agg(F.count("*").alias("n_rows"), F.count_if(ready).alias("n_predictable"), F.count_if(~F.isnan("signal")).alias("n_predicted"))
+    return counted.select(F.lit(ridge.signal_name("aim", "ridge", names)).alias("feature_name"), "*")
+
+
 # Order book: events as orders; an error removes its user's order.
 
 
@@ -481,16 +515,18 @@ def book_depth(spark, sf_dir):
 
 # Bootstrap.
 
-_CORR = "SELECT 'f' || l_linenumber AS feature, l_returnflag AS target, CAST(l_suppkey AS INTEGER) AS chunk, round(avg(l_discount - 0.05), 6) AS corr, count(*) AS n_rows FROM lineitem GROUP BY ALL"
+_CORR = "SELECT 'f' || l_linenumber AS feature, l_returnflag AS target, CAST(l_suppkey AS INTEGER) AS chunk, round((sum(CAST(round(l_discount * 100) AS BIGINT)) - 5 * count(*)) / count(*) / 100, 6) AS corr, count(*) AS n_rows FROM lineitem GROUP BY ALL"
 
 
 def _corr(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     grouped = items.groupBy(F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("feature"), F.col("l_returnflag").alias("target"), F.col("l_suppkey").cast("int").alias("chunk"))
-    return grouped.agg(F.round(F.avg(F.col("l_discount") - 0.05), 6).alias("corr"), F.count("*").alias("n_rows"))
+    return grouped.agg(F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"), F.count("*").alias("n_rows")).select(
+        "feature", "target", "chunk", F.round((F.col("d") - 5 * F.col("n_rows")) / F.col("n_rows") / 100, 6).alias("corr"), "n_rows"
+    )
 
 
-@query(f"WITH c AS ({_CORR}) SELECT feature, target, round(avg(corr), 6) AS avg_corr, round(avg(abs(corr)), 6) AS weighted_score, round(avg(CAST(corr <= 0 AS INTEGER)), 6) AS p_value_le_zero FROM c GROUP BY ALL")
+@query(f"WITH c AS ({_CORR}) SELECT feature, target, round(avg(corr), 9) AS avg_corr, round(avg(abs(corr)), 9) AS weighted_score, round(avg(CAST(corr <= 0 AS INTEGER)), 9) AS p_value_le_zero FROM c GROUP BY ALL")
 def bootstrap_summary(spark, sf_dir):
     return bootstrap.summary(_corr(spark, sf_dir)).select("feature", "target", *_r("avg_corr", "weighted_score", "p_value_le_zero"))
 

@@ -93,6 +93,11 @@ def scan(trades: DataFrame, symbol: str | None = None, start: datetime | None =
     return trades.where(in_range(symbol, start, end)).select(*(columns or trades.columns))
 
 
+def scan_bars(bars: DataFrame, symbol: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
+    """Bars of a symbol in a range, in time order."""
+    return bars.where(in_range(symbol, start, end)).orderBy("exchange_ts")
+
+
 def bounds(trades: DataFrame, ts: str = "exchange_ts") -> DataFrame:
     """First and last instant and the number of rows; nulls and 0 for an empty tape."""
     return trades.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_rows"))
