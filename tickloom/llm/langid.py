@@ -83,6 +83,7 @@ class Model:
 
     def __init__(self, samples: dict[str, str], letters: int = 48):
         self.languages = sorted(k for k, v in samples.items() if v)
+        self.samples = {k: samples[k] for k in self.languages}
         common = Counter(c for k in self.languages for c in samples[k])
         #: code 0: a character that no automaton has, 1 and up: the most frequent ones.
         self.alphabet = {c: i + 1 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: letters - 1])}
