@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import bars, book, features
 from tickloom.streaming import tape
+from tickloom.streaming.run import available
 
 TRADES = "symbol string, ms long, trade_id long, price double, quantity long, side string"
 
@@ -25,15 +26,7 @@ def stream(spark, folder, rows, schema, pieces=3):
 
 
 def run(df, folder, mode):
-    spark, name = df.sparkSession, f"out_{abs(hash(str(folder)))}"
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", tape.STATE_STORE["spark.sql.streaming.stateStore.providerClass"])
-    try:
-        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return spark.table(name).collect()
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return available(df, mode).collect()
 
 
 def test_bars(spark, tmp_path):

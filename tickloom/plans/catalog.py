@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import timeaxis, values
 from ..operators import bars, book, bootstrap, chunks, features, frames, horizons, kv, ridge, targets
 from ..sources import trades as source
+from ..streaming import run
+from ..streaming import tape as stream
 
 L, H, RISE_H = 300_000, 4_000, 5_000
 START_MS, END_MS = 28_401_600_000, 28_420_000_000
@@ -47,6 +49,12 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.from_events(spark, sf_dir)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event file as a stream of its folder."""
+    known = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(known).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def _r(*names: str) -> list:
     return [F.round(n, 9).alias(n) for n in names]
 
@@ -393,10 +401,11 @@ def chunk_stats(spark, sf_dir):
     return chunks.stats(days, "n").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@query("SELECT o_orderkey, o_orderdate AS created_at FROM orders WHERE o_custkey % 7 = 0 ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+@query("SELECT o_orderkey, o_orderdate AS created_at FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
 def latest_rows(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"symbol": (F.col("o_custkey") % 7).cast("string"), "created_at": F.col("o_orderdate"), "chunk_hash": F.col("o_orderkey")})
-    return chunks.latest(orders, "0", 10).select("o_orderkey", "created_at")
+    """The newest entries of a history: a top-k report."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumns({"symbol": F.col("o_orderpriority"), "created_at": F.col("o_orderdate"), "chunk_hash": F.col("o_orderkey")})
+    return chunks.latest(orders, "1-URGENT", 10).select("o_orderkey", "created_at")
 
 
 # Horizons, splits, batches.
@@ -473,8 +482,8 @@ def ridge_counters(spark, sf_dir):
 # Order book: events as orders; an error removes its user's order.
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def order_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet") if events is None else events
     size = F.when(F.col("event_type") == "error", 0.0).otherwise((F.get_json_object("props", "$.k").cast("long") + 1).cast("double"))
     return events.select(
         F.concat(F.lit("S"), (F.col("user_id") % 2).cast("string")).alias("symbol"), F.col("event_id").alias("seq"), F.col("user_id").alias("uid"),
@@ -513,6 +522,29 @@ def book_depth(spark, sf_dir):
     return book.depth(book.living(order_events(spark, sf_dir)), 5)
 
 
+# Streams, over what the event table holds now.
+
+
+@query(f"""WITH {TAPE} SELECT symbol, ms // 60000 * 60000 AS bin_ms, count(*) AS trade_count, count(*) {_BUY} AS trade_count_buy,
+CAST(sum(quantity) AS DOUBLE) AS volume_total, arg_max(price, (ms, trade_id)) AS price_last, min(price) AS price_min, max(price) AS price_max FROM tape GROUP BY ALL""")
+def stream_bars(spark, sf_dir):
+    trades = source.trades_of(event_stream(spark, sf_dir)).withColumn("exchange_ts", timeaxis.from_ms(F.col("ms")))
+    made = run.available(stream.bars(trades, "1 minute"), "complete").withColumn("bin_ms", F.unix_millis("exchange_ts"))
+    return made.select("symbol", "bin_ms", "trade_count", "trade_count_buy", "volume_total", "price_last", "price_min", "price_max")
+
+
+@query(f"WITH {TAPE}, {ROLLED} SELECT symbol, ms, trade_id, trade_count_buy, trade_count_sell, CAST(cvd_buy AS DOUBLE) AS cvd_buy, CAST(cvd_sell AS DOUBLE) AS cvd_sell FROM rolled")
+def stream_rolling(spark, sf_dir):
+    made = run.available(stream.rolling(source.trades_of(event_stream(spark, sf_dir)), L))
+    return made.select("symbol", "ms", "trade_id", "trade_count_buy", "trade_count_sell", "cvd_buy", "cvd_sell")
+
+
+@query(f"WITH {_BOOK} SELECT best.symbol, best_bid, best_ask FROM best")
+def stream_book(spark, sf_dir):
+    made = run.available(stream.book(order_events(spark, sf_dir, event_stream(spark, sf_dir))), "update")
+    return made.groupBy("symbol").agg(F.max_by("best_bid", "seq").alias("best_bid"), F.max_by("best_ask", "seq").alias("best_ask"))
+
+
 # Bootstrap.
 
 _CORR = "SELECT 'f' || l_linenumber AS feature, l_returnflag AS target, CAST(l_suppkey AS INTEGER) AS chunk, round((sum(CAST(round(l_discount * 100) AS BIGINT)) - 5 * count(*)) / count(*) / 100, 6) AS corr, count(*) AS n_rows FROM lineitem GROUP BY ALL"

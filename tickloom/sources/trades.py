@@ -105,7 +105,10 @@ def bounds(trades: DataFrame, ts: str = "exchange_ts") -> DataFrame:
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a tape: one real minute is one second, two symbols, quantities from the event's properties."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return trades_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def trades_of(events: DataFrame) -> DataFrame:
     ms = (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) * 1000).cast("long")
     side = F.when(F.col("event_type").isin("purchase", "signup"), "Buy").when(F.col("event_type").isin("view", "error"), "sell").otherwise("other")
     return events.select(
