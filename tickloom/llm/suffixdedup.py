@@ -12,10 +12,11 @@
    word to the left and right beyond its anchors. What reaches ``min_words`` is a repeat; the occurrence later
    in the order of (document, position) is the one reported, so that the earliest always stays.
 
-Words are runs of bytes but white space, A-Z lower-cased. Defined cases: null, empty and short texts have no
+Words are runs of bytes but white space, A-Z lower-cased. Prefixes are compared by 64-bit hashes, the words beyond by
+32 bits each: a repeat could end a word late with odds of 2**-32, and nothing is reported on a prefix alone. Defined cases: null, empty and short texts have no
 repeats; repeated rows and repeated or null ids are told apart by an order-keeping row number, so later copies
 are reported against the first; repeats within one document count; extra columns are kept aside; an empty table
-gives no rows. Hashes have 64 bits.
+gives no rows.
 """
 
 from __future__ import annotations
@@ -145,10 +146,14 @@ def _chains(prefix: int):
 
 
 def _contexts(side: int):
-    """Hashes of the ``side`` words before (from the nearest) and after each asked range; zeros beyond the text."""
+    """Word hashes (their low 32 bits) beside ranges of a text: ``side`` words before it, from the nearest, and after.
+
+    Rows (rid, text, own, other) give a row for each chain of this text (own) and for each range that chains of
+    other texts refer to; zeros stand beyond the text.
+    """
 
     def lists(rows: list[np.ndarray]) -> pa.Array:
-        flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
+        flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) // side + 1, dtype=np.int32) * side), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +161,21 @@ def _contexts(side: int):
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                before, after = [], []
-                asked = part.column(2)
-                ranges = asked.flatten()
-                start, stop = (ranges.field(k).to_numpy() for k in ("start", "stop"))
-                count = asked.value_lengths().to_numpy()
-                ends = np.cumsum(count)
-                for text, lo, hi in zip(raw(part.column(1)), ends - count, ends, strict=True):
-                    h = np.concatenate((np.zeros(side, np.uint64), words(text)[2], np.zeros(side, np.uint64))).view(np.int64)
-                    before.append(h[start[lo:hi, None] + (side - 1 - step)].ravel())
-                    after.append(h[stop[lo:hi, None] + (side + step)].ravel())
-                rid = part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-                columns = [rid, pa.array(start), pa.array(stop), lists(before), lists(after)]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "start", "stop", "before", "after"])
+                padded = []
+                for text in raw(part.column(1)):
+                    low = np.maximum(words(text)[2].astype(np.uint32), 1).view(np.int32)
+                    padded.append(np.concatenate((np.zeros(side, np.int32), low, np.zeros(side, np.int32))))
+                for column, own in ((part.column(2), True), (part.column(3), False)):
+                    ranges, count = column.flatten(), column.value_lengths().to_numpy()
+                    ends = np.cumsum(count)
+                    start, stop = (ranges.field(k).to_numpy() for k in (("x_start", "x_end") if own else ("z_start", "z_end")))
+                    before = [h[start[i:j, None] + (side - 1 - step)].ravel() for h, i, j in zip(padded, ends - count, ends, strict=True)]
+                    after = [h[stop[i:j, None] + (side + step)].ravel() for h, i, j in zip(padded, ends - count, ends, strict=True)]
+                    rid = part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                    none = pa.nulls(len(rid), pa.int64())
+                    named = {k: ranges.field(k) for k in ("x_start", "x_end", "z", "z_start", "z_end")} | {"x": rid} if own else {"x": none, "x_start": none, "x_end": none, "z": rid, "z_start": ranges.field("z_start"), "z_end": ranges.field("z_end")}
+                    columns = [named[k] for k in ("x", "x_start", "x_end", "z", "z_start", "z_end")]
+                    yield pa.RecordBatch.from_arrays([*columns, lists(before), lists(after)], names=["x", "x_start", "x_end", "z", "z_start", "z_end", "before", "after"])
 
     return run
 
@@ -239,26 +246,33 @@ def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     keyed = pairs.select("x", "z", (F.col("xp") - F.col("zp")).alias("lag"), "xp")
     chained = keyed.repartition("x").sortWithinPartitions("x", "z", "lag", "xp")
     chains = scratch.keep(chained.mapInArrow(lean(_chains(prefix)), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
-    asked = chains.select(F.col("x").alias("rid"), F.col("x_start").alias("start"), F.col("x_end").alias("stop")).unionByName(
-        chains.select(F.col("z").alias("rid"), F.col("z_start").alias("start"), F.col("z_end").alias("stop"))
-    ).distinct()
-    asked = asked.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("asked"))
+    scratch.drop(found)
+    own, other = F.struct("x_start", "x_end", "z", "z_start", "z_end"), F.struct("z_start", "z_end")
+    empty = lambda c: F.when(F.lit(False), c)
+    asked = chains.select(F.col("x").alias("rid"), own.alias("own"), empty(other).alias("other")).unionByName(
+        chains.select("z", "z_start", "z_end").distinct().select(F.col("z").alias("rid"), empty(F.struct(*[F.col(c).alias(n) for c, n in (("z_start", "x_start"), ("z_end", "x_end"), ("z", "z"), ("z_start", "z_start"), ("z_end", "z_end"))])).alias("own"), other.alias("other"))
+    )
+    asked = asked.groupBy("rid").agg(F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
     # One plan at every size: both sides meet by sorted keys, none is sent to all tasks.
-    contexts = texts.join(asked.hint("merge"), "rid").select("rid", "text", "asked").mapInArrow(lean(_contexts(side)), "rid long, start long, stop long, before array<long>, after array<long>")
-    contexts = scratch.keep(contexts)
-    of_x = contexts.select(F.col("rid").alias("x"), F.col("start").alias("x_start"), F.col("stop").alias("x_end"), F.col("before").alias("xb"), F.col("after").alias("xa"))
-    of_z = contexts.select(F.col("rid").alias("z"), F.col("start").alias("z_start"), F.col("stop").alias("z_end"), F.col("before").alias("zb"), F.col("after").alias("za"))
-    sides = chains.join(of_x.hint("merge"), ["x", "x_start", "x_end"]).join(of_z.hint("merge"), ["z", "z_start", "z_end"])
+    near = texts.join(asked.hint("merge"), "rid").select("rid", "text", "own", "other")
+    shape = "x long, x_start long, x_end long, z long, z_start long, z_end long, before array<int>, after array<int>"
+    contexts = scratch.keep(near.mapInArrow(lean(_contexts(side)), shape))
+    scratch.drop(chains)
+    of_x = contexts.where("x is not null").withColumnsRenamed({"before": "xb", "after": "xa"})
+    of_z = contexts.where("x is null").select("z", "z_start", "z_end", F.col("before").alias("zb"), F.col("after").alias("za"))
+    sides = of_x.join(of_z.hint("merge"), ["z", "z_start", "z_end"])
     long = sides.mapInArrow(lean(_extend(min_words)), "rid long, start long, stop long, ref long, ref_start long")
     ordered = long.repartition("rid").sortWithinPartitions("rid", "start", F.desc("stop"), "ref", "ref_start")
-    return ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long")
+    merged = scratch.keep(ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long"))
+    scratch.drop(contexts)
+    return merged
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """doc_id, start_word, n_words of every repeat, and the doc_id and word where it stands before."""
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = numbered(docs, doc_id, text, scratch)
-    found = scratch.keep(repeats(rows, scratch, min_words))
+    found = repeats(rows, scratch, min_words)
     if rows.schema["doc_id"].dataType == LongType() and not hasattr(rows, "scratch_path"):
         found = found.withColumnsRenamed({"rid": "doc_id", "ref": "ref_doc_id"})
     else:
