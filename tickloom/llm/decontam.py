@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from .common import lean, raw
+from .common import lean, raw, slices
 
 #: Bytes that separate words: \x00-\x2F \x3A-\x60 \x7B-\x7F once A-Z are lower-cased.
 _FOLD = bytes(
@@ -80,42 +80,51 @@ def _automaton(key: str, block: Broadcast, window: int) -> ahocorasick.Automaton
     return _AUTOMATA[key]
 
 
-def _scan(block: Broadcast, window: int):
+def _hits(automaton: ahocorasick.Automaton, words: list[bytes]) -> list[dict]:
+    """Windows found in a text's words: first and last word, and whose it is."""
+    line, at, seen, hits = f" {b' '.join(words).decode('latin-1')} ", 0, 0, []
+    for end, (n, who) in automaton.iter(line):
+        seen += line.count(" ", at, end)
+        at = end
+        hits += [{"first": seen - n, "last": seen - 1, "item": x} for x in who]
+    return hits
+
+
+def _scan(block: Broadcast | None, window: int, schema: pa.Schema | None = None, spans: bool = False):
+    """Adds a block's hits to the rows; with the ``schema`` of the result it also sums them up, in the same pass."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(key, block, window)
-        for batch in batches:
-            found = []
-            for text, before in zip(raw(batch.column("__text")), batch.column("__hits").to_pylist(), strict=True):
-                hits, words = before or [], words_of(text)
-                if words:
-                    line, at, seen = f" {b' '.join(words).decode('latin-1')} ", 0, 0
-                    for end, (n, who) in automaton.iter(line):
-                        seen += line.count(" ", at, end)
-                        at = end
-                        hits += [{"first": seen - n, "last": seen - 1, "item": x} for x in who]
-                found.append(hits)
-            hits = pa.array(found, type=batch.schema.field("__hits").type)
-            yield batch.set_column(batch.schema.get_field_index("__hits"), batch.schema.field("__hits"), hits)
+        automaton = _automaton(key, block, window) if block else None
+        for whole in batches:
+            for a, b in slices(whole.column("__text"), 1 << 22):
+                batch = whole.slice(a, b - a)
+                texts = raw(batch.column("__text"))
+                listed = [words_of(t) for t in texts]
+                found = [x or [] for x in batch.column("__hits").to_pylist()]
+                if automaton:
+                    found = [[*x, *(_hits(automaton, w) if w else ())] for x, w in zip(found, listed, strict=True)]
+                if schema is None:
+                    hits = pa.array(found, type=batch.schema.field("__hits").type)
+                    yield batch.set_column(batch.schema.get_field_index("__hits"), batch.schema.field("__hits"), hits)
+                else:
+                    yield _summary(batch, schema, texts, listed, found, spans)
 
     return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch], schema: pa.Schema, spans: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "item_ids", "spans")}
-        for text, hits in zip(raw(batch.column("__text")), batch.column("__hits").to_pylist(), strict=True):
-            n = len(words_of(text))
-            inside = np.zeros(n + 1, dtype=bool)
-            for x in hits or ():
-                inside[x["first"] : x["last"] + 1] = True
-            out["n_words"].append(n)
-            out["n_hit"].append(int(inside.sum()))
-            out["item_ids"].append(sorted({x["item"] for x in hits or ()}))
-            out["spans"].append(_char_spans(text, inside) if spans and hits else [])
-        columns = [batch.column(f.name) if f.name not in out else pa.array(out[f.name], type=f.type) for f in schema]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+def _summary(batch: pa.RecordBatch, schema: pa.Schema, texts: list, listed: list, found: list, spans: bool) -> pa.RecordBatch:
+    out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "item_ids", "spans")}
+    for text, words, hits in zip(texts, listed, found, strict=True):
+        inside = np.zeros(len(words) + 1, dtype=bool)
+        for x in hits:
+            inside[x["first"] : x["last"] + 1] = True
+        out["n_words"].append(len(words))
+        out["n_hit"].append(int(inside.sum()))
+        out["item_ids"].append(sorted({x["item"] for x in hits}))
+        out["spans"].append(_char_spans(text, inside) if spans and hits else [])
+    columns = [batch.column(f.name) if f.name not in out else pa.array(out[f.name], type=f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _char_spans(text: bytes, inside: np.ndarray) -> list[dict]:
@@ -143,13 +152,14 @@ def scan(
     """
     kept = [doc_id, *(keep or []), *(["__text"] if keep_text else [])]
     df = docs.select(F.col(doc_id), *(keep or []), F.col(text).alias("__text")).withColumn("__hits", F.array().cast(_HITS))
-    for block in _blocks(items, item_id, item_text, block_bytes, window):
-        df = df.mapInArrow(lean(_scan(docs.sparkSession.sparkContext.broadcast(block), window)), df.schema)
+    shared = [docs.sparkSession.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text, block_bytes, window)]
+    for block in shared[:-1]:
+        df = df.mapInArrow(lean(_scan(block, window)), df.schema)
     span = StructType().add("start", "integer").add("end", "integer")
     out = StructType([f for f in df.schema if f.name in kept]).add("n_words", "long").add("n_hit", "long")
     out = out.add("item_ids", ArrayType(StringType())).add("spans", ArrayType(span))
     arrow = to_arrow_schema(out)
-    return df.mapInArrow(lean(lambda batches: _summary(batches, arrow, spans)), out)
+    return df.mapInArrow(lean(_scan(shared[-1] if shared else None, window, arrow, spans)), out)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
