@@ -12,7 +12,8 @@ whose arc from one to the next weighs 0 if the merges of the two together end in
 (infinity). Of all paths to a position exactly one is finite, which makes the shortest path a single pass.
 
 Merges never cross a place where no piece has the two characters side by side; texts are cut into units there
-by one regular expression, and a unit's path is remembered in a table of bounded size. Where rival pieces share
+(before white space, around characters of no longer piece, before marks that never follow a letter in a piece) by
+one regular expression, and a unit's path is remembered in a table of bounded size. Where rival pieces share
 one score (runs of spaces in some models) no acceptor arc may be finite; such a unit is merged directly.
 
 Decoding runs the inverse: ids spell their pieces, byte pieces join to UTF-8 (each invalid byte is U+FFFD), the
@@ -117,9 +118,16 @@ class Model:
         self.best = max(normal, default=0.0)
         users = sorted((p for p, i in self.ids.items() if self.kinds[i] == USER), key=len, reverse=True)
         joined = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
-        inside = "[" + "".join(map(re.escape, sorted(joined))) + "]" if joined else r"(?!)"
+        # Characters that no piece holds right behind a letter or digit (or another one not of their kind).
+        pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:], strict=False)}
+        breaks, size = {c for c in joined if not c.isalpha() and not c.isdecimal()}, -1
+        while len(breaks) != size:
+            size = len(breaks)
+            breaks -= {b for a, b in pairs if b in breaks and a not in breaks and a != MARK}
+        one_of = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]" if chars else r"(?!)"
         whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids) or not self.bpe
-        units = [re.escape(u) for u in users] + ([r"(?s:.+)"] if whole else [f"{MARK}*{inside}+", f"{MARK}+", r"(?s:.)"])
+        parts = [f"{MARK}*{one_of(joined - breaks)}+", f"{MARK}*{one_of(breaks)}{one_of(joined)}*", f"{MARK}+", r"(?s:.)"]
+        units = [re.escape(u) for u in users] + ([r"(?s:.+)"] if whole else parts)
         self.units = re.compile("|".join(units))
         self.rule = re.compile("|".join(map(re.escape, sorted(self.rules, key=len, reverse=True)))) if self.rules else None
         self.users = frozenset(users)
@@ -133,7 +141,10 @@ class Model:
         self.pairs = 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.spelled = [self._spell(i) for i in range(len(self.pieces))]
+        spelled = [self._spell(i) for i in range(len(self.pieces))] + [b""]  # the last: ids out of range
+        self.spell_size = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.spell_at = np.cumsum(self.spell_size) - self.spell_size
+        self.spell_bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
 
     def _spell(self, i: int) -> bytes:
         kind = self.kinds[i]
@@ -297,10 +308,15 @@ class Model:
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        spelled = self.spelled
-        data = b"".join([spelled[i] for i in ids.tolist() if 0 <= i < len(spelled)])
-        text = data.decode("utf-8", "tickloom_each_byte")
+    def decode(self, ids: np.ndarray, block: int = 1 << 16) -> str:
+        data = []
+        for i in range(0, len(ids), block):
+            part = ids[i : i + block]
+            part = np.where((part < 0) | (part >= len(self.pieces)), len(self.pieces), part)
+            size = self.spell_size[part]
+            at = np.repeat(self.spell_at[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            data.append(self.spell_bytes[at].tobytes())
+        text = b"".join(data).decode("utf-8", "tickloom_each_byte")
         if self.prefix and text[:1] == (MARK if self.escape else " "):
             text = text[1:]
         return text.replace(MARK, " ") if self.escape else text
