@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+
 SECOND = 1_000_000
 BUCKET_US = 3_600 * SECOND
 PARTS = ("train", "validation", "test")
 
 
 def timeline(rows: DataFrame, us: Column, keys: list[str] | None = None) -> DataFrame:
-    """Distinct instants (keys, us)."""
-    return rows.select(*(keys or []), us.cast("long").alias("us")).where("us is not null").distinct()
+    """Distinct instants (keys, us), written once: every later step reads them several times."""
+    return kept(rows.select(*(keys or []), us.cast("long").alias("us")).where("us is not null").distinct(), "timeline")
 
 
 def require_points(instants: DataFrame, least: int = 2) -> DataFrame:
@@ -41,12 +43,13 @@ def segments(instants: DataFrame, gap_us: int | None, keys: list[str] | None = N
     rows = rows.withColumn("__prev", F.lag("us").over(within)).join(ends, [*keys, "__b"])
     rows = rows.withColumn("seg_start", F.coalesce("__prev", "__before")).where("seg_start is not null")
     real = F.col("us") - F.col("seg_start")
+    rows = kept(rows, "segments")
     rows = rows.withColumn("real_us", real).withColumn("eff_us", real if gap_us is None else F.when(real > gap_us, 0).otherwise(real))
     totals = rows.groupBy(*keys, "__b").agg(F.sum("eff_us").alias("__t"))
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__sum"))
     rows = rows.withColumn("__in", F.sum("eff_us").over(within.rowsBetween(Window.unboundedPreceding, 0))).join(totals, [*keys, "__b"])
-    return rows.select(*keys, "seg_start", F.col("us").alias("seg_end"), "real_us", "eff_us", (F.col("__sum") + F.col("__in")).alias("cum_us"))
+    return kept(rows.select(*keys, "seg_start", F.col("us").alias("seg_end"), "real_us", "eff_us", (F.col("__sum") + F.col("__in")).alias("cum_us")), "segments")
 
 
 def span(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -128,7 +131,8 @@ def effective_thirds(instants: DataFrame, chunks: DataFrame, gap_us: int | None)
 
     A chunk's clock starts at its first instant; its last part ends with the chunk, its first starts with it.
     """
-    inside = in_chunks(instants, chunks).select("chunk_idx", "us")
+    chunks = kept(chunks, "chunks")
+    inside = kept(in_chunks(instants, chunks).select("chunk_idx", "us"), "chunks")
     edges = boundaries(segments(inside, gap_us, ["chunk_idx"]), 3, ["chunk_idx"])
     outer = chunks.select("chunk_idx", F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.col("start_us").alias("point_us")), F.struct(F.lit(3).alias("idx"), F.col("end_us").alias("point_us")))).alias("p")).select("chunk_idx", "p.*")
     parts = closed(

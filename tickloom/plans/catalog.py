@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import timeaxis, values
 from ..operators import bars, book, bootstrap, chunks, features, frames, horizons, kv, ridge, targets
 from ..sources import trades as source
+from ..sources.scratch import kept
 from ..streaming import run
 from ..streaming import tape as stream
 
@@ -222,7 +223,7 @@ def present_features(spark, sf_dir):
 def _matrix(spark, sf_dir):
     made = features.rolling(tape(spark, sf_dir), L)
     aims = targets.forward(tape(spark, sf_dir), deadband=0.5).withColumn("aim", F.col("price_delta"))
-    store = kv.unpivot(made, _KEPT).unionByName(kv.unpivot(aims, ["aim"]))
+    store = kept(kv.unpivot(made, _KEPT).unionByName(kv.unpivot(aims, ["aim"])), "store")  # the store is a table
     return kv.matrix(store, "aim", _KEPT, order=["trade_id"])
 
 

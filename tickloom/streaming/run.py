@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..sources.scratch import shared_folder
 from .tape import STATE_STORE
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only for a local master without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def available(df: DataFrame, mode: str = "append") -> DataFrame:
     """Processes all input there is and returns the written rows: every batch's, or the last one's in complete mode."""
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, "stream")
     out, (key, store) = f"{folder}/out", next(iter(STATE_STORE.items()))
 
     def keep(batch: DataFrame, _: int) -> None:
