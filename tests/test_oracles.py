@@ -38,3 +38,12 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_workers_find_the_package_anywhere(spark):
+    from tickloom.plans.shipping import _SHIPPED, ship
+
+    ship(spark)
+    ship(spark)
+    assert spark.sparkContext.applicationId in _SHIPPED
+    assert any(f.endswith("tickloom.zip") for f in spark.sparkContext.listFiles)
