@@ -37,5 +37,15 @@ def test_shards_are_written_in_order(spark, tmp_path):
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((d, t) for d, t, _ in ROWS)
 
 
+def test_a_hot_record_and_a_long_text(spark):
+    rows = [(1, "same", 0)] * 25_000 + [(2, "x" * 2_000_000, 0)] + [(i, f"t{i}", 0) for i in range(3, 1000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, bucket int"), shards=7)
+    counts = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert sum(counts.values()) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert [r["size"] for r in got.where("doc_id = 2").collect()] == [2_000_001]
+    hot = {r.shard: r["count"] for r in got.where("doc_id = 1").groupBy("shard").count().collect()}
+    assert min(hot.values()) > 0.8 * 25_000 / 7
+
+
 def test_empty(spark):
     assert sharding.assign(frame(spark).limit(0)).count() == 0
