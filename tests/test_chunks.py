@@ -146,6 +146,11 @@ def test_train_share(spark):
         assert horizons.train_share(ms(spark, bad)).count() == 0
 
 
+def test_kth_instant(spark):
+    tape = ms(spark, [5, 5, 1, 9_000_000, 7])
+    assert [[r.ms for r in horizons.kth_instant(tape, k).collect()] for k in range(6)] == [[1], [5], [5], [7], [9_000_000], []]
+
+
 def test_row_batches(spark):
     got = [tuple(r) for r in horizons.row_batches(ms(spark, [1, 2, 3, 3, 4]), 2, ["symbol"]).orderBy("batch").collect()]
     assert got == [("A", 0, 1, 3, 2), ("A", 1, 3, 4, 2), ("A", 2, 4, 1004, 1)]

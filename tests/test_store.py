@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema
 from tickloom.functions import timeaxis, values
-from tickloom.operators import kv
+from tickloom.operators import chunks, kv
 from tickloom.sources import tables, trades
 
 
@@ -115,6 +115,8 @@ def test_tables(spark, tmp_path):
     tables.append_trades(spark.createDataFrame([("A", at(0), "1", 1.0, 1.0, "buy")], schema.TRADES), "tick.trades")
     assert spark.table("tick.trades").first().month == "1970-01"
     assert tables.empty(spark, "features").schema == schema.FEATURES
+    tables.append(chunks.manual(spark, "A", "trades", "note", 0, 1, 2).withColumn("odd", F.lit(1)), "tick.manual_chunks", "manual_chunks")
+    assert spark.table("tick.manual_chunks").first().chunk_description == "note"
     spark.sql("DROP DATABASE tick CASCADE")
 
 

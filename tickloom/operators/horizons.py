@@ -44,6 +44,17 @@ def train_share(rows: DataFrame, order: str = "ms", share: float = 0.7) -> DataF
     return out.where("train_end is not null and n_rows >= 2").select("n_rows", "n_train", (F.col("n_rows") - F.col("n_train")).alias("n_test"), "train_end")
 
 
+def kth_instant(rows: DataFrame, k: int, order: str = "ms") -> DataFrame:
+    """The instant of the k-th row (from 0) in order; no row if there are fewer. Only counts of instants are ordered:
+    each bucket of the axis knows how many rows lie before it, and the bucket that holds the k-th is searched."""
+    at = rows.where(F.col(order).isNotNull()).groupBy(order).agg(F.count("*").alias("n")).withColumn("b", F.floor(F.col(order) / 3_600_000))
+    tops = at.groupBy("b").agg(F.sum("n").alias("t"))
+    tops = tops.select("b", "t", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    near = at.join(tops.where((F.col("before") <= k) & (F.col("before") + F.col("t") > k)), "b")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return near.withColumn("upto", upto).where(F.col("upto") > k).agg(F.min(order).alias(order)).where(F.col(order).isNotNull())
+
+
 def row_batches(rows: DataFrame, most: int, keys: list[str] | None = None, order: str = "ms", end: int | None = None, tail: int = 1_000) -> DataFrame:
     """Consecutive [start, end) with at most ``most`` rows each, but never less than one whole instant.
 

@@ -426,6 +426,11 @@ def split_70_30(spark, sf_dir):
     return horizons.train_share(tape(spark, sf_dir))
 
 
+@query(f"WITH {TAPE} SELECT ms FROM tape ORDER BY ms LIMIT 1 OFFSET 700")
+def kth_instant(spark, sf_dir):
+    return horizons.kth_instant(tape(spark, sf_dir), 700)
+
+
 @query(f"""WITH RECURSIVE {TAPE}, d AS (SELECT symbol, ms, count(*) AS n FROM tape GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ms) AS k FROM d),
 r AS (SELECT symbol, k, ms, n, 0 AS batch, n AS filled FROM o WHERE k = 1

@@ -33,5 +33,10 @@ def append_trades(trades: DataFrame, table: str) -> None:
     rows.select(*[f.name for f in schema.TRADES], "month").write.mode("append").insertInto(table)
 
 
+def append(rows: DataFrame, table: str, name: str) -> None:
+    """Rows to a table of the engine, by the columns of ``schema.ALL[name]``; others are left out."""
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.ALL[name]]).write.mode("append").insertInto(table)
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schema.ALL[name])
