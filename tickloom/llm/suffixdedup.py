@@ -4,14 +4,19 @@
    anchor, so a passage's anchors depend on its words alone. A repeat of ``min_words`` has an anchor among its
    first ``window`` words and hence ``prefix = min_words - window + 1`` words from there in either copy.
 2. Sparse suffix array. Only suffixes at anchors are kept, about 2 in ``window`` words. They are sorted by
-   range over (hash of the first ``prefix`` words, document, position); a run of equal prefixes may span many
-   tasks, so a passage that a third of all documents share is split like any other rows.
-3. Neighbours. In a run each suffix is compared with its neighbour and with the run's first suffix in the task;
-   the first suffix of a task is compared with what the tasks before it hold last (a row or two a task).
+   range over (hash of the first ``prefix`` words, document, position), and a second time among themselves over
+   the hash of the first ``min_words`` words; a run of equal prefixes may span many tasks, so a passage that a
+   third of all documents share is split like any other rows.
+3. Neighbours. In a run each suffix is compared with its neighbour before it and with the run's first suffix. A
+   run that began in an earlier task takes both from there: the tasks' first and last rows (two a task) are put
+   in order by the driver, so the result doesn't depend on how rows were dealt to tasks.
 4. Extension. Matches that continue each other in both documents are chained; each chain is extended word by
    word to the left and right beyond its anchors. What reaches ``min_words`` is a repeat; the occurrence later
    in the order of (document, position) is the one reported, so that the earliest always stays.
 
+A repeat of ``window + min_words`` words shares ``min_words`` behind an anchor and is found against any partner; a
+shorter one is found against the first or the preceding occurrence of its anchored prefix.
+
 Words are runs of bytes but white space, A-Z lower-cased. Prefixes are compared by 64-bit hashes, the words beyond by
 32 bits each: a repeat could end a word late with odds of 2**-32, and nothing is reported on a prefix alone. Defined cases: null, empty and short texts have no
 repeats; repeated rows and repeated or null ids are told apart by an order-keeping row number, so later copies
@@ -21,17 +26,18 @@ gives no rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import Scratch, lean, raw, slices
-from .wordhash import grams, sliding, words
+from .wordhash import grams, mix, sliding, words
 
 GRAM = 8
 
@@ -63,7 +69,9 @@ def anchors(hashes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(sliding(np.maximum, padded, window) == g)
 
 
-def _suffixes(window: int, prefix: int):
+def _suffixes(window: int, prefix: int, min_words: int):
+    """Rows (h, rid, p, n): an anchor's hash over its first n words, for both lengths."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, rids = batch.column(1), batch.column(0).to_numpy()
@@ -74,75 +82,99 @@ def _suffixes(window: int, prefix: int):
                 owner = np.searchsorted(ends, first, side="right")
                 begin = np.searchsorted(owner, np.arange(len(rows) + 1))
                 at = anchors(hashes, owner, window)
-                at = at[begin[owner[at] + 1] - at >= prefix]
-                key = grams(hashes, at, prefix).view(np.int64)
-                place = (at - begin[owner[at]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rids[a:b][owner[at]]), pa.array(place)], names=["h", "rid", "p"])
+                for n in (prefix, min_words):
+                    at = at[begin[owner[at] + 1] - at >= n]
+                    key = mix(grams(hashes, at, n) + np.uint64(n)).view(np.int64)
+                    place = (at - begin[owner[at]]).astype(np.int32)
+                    columns = [key, rids[a:b][owner[at]], place, np.full(len(at), n, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "rid", "p", "n"])
 
     return run
 
 
+#: Rows of ``_neighbours``: pairs; pairs with the head of the task's first run, still to be named; first and last row.
+PAIR, OPEN, FIRST, LAST = range(4)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one task in order: pairs (later, earlier) of equal prefixes; and the task's first and last row."""
+    """Sorted suffixes of one task to rows (kind, part, n, h, x, xp, z, zp): a suffix and one to compare it with.
+
+    LAST holds the last row with the head of its run, or no head (z null) if that run is still the first one.
+    """
     part = TaskContext.get().partitionId()
-    names = ["kind", "part", "h", "x", "xp", "z", "zp"]
-    head = last = None  # of the run that is open: (h, rid, p)
+    head = last = None  # of the run at hand: its first suffix, None while it is the task's first run; the row before
 
-    def rows(kind: int, h, x, xp, z, zp) -> pa.RecordBatch:
-        n = len(x)
-        columns = [np.full(n, kind, np.int32), np.full(n, part, np.int32), np.asarray(h, np.int64), np.asarray(x, np.int64), np.asarray(xp, np.int32), np.asarray(z, np.int64), np.asarray(zp, np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+    def rows(kind: int, n, h, x, xp, z, zp) -> pa.RecordBatch:
+        size = len(x)
+        columns = [np.full(size, kind, np.int32), np.full(size, part, np.int32), np.asarray(n, np.int32), np.asarray(h, np.int64), np.asarray(x, np.int64), np.asarray(xp, np.int32)]
+        ends = [pa.nulls(size, k) if z is None else pa.array(np.asarray(c), k) for c, k in ((z, pa.int64()), (zp, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *ends], names=["kind", "part", "n", "h", "x", "xp", "z", "zp"])
 
     for batch in batches:
-        h, rid, p = (c.to_numpy() for c in batch.columns)
+        h, rid, p, n = (c.to_numpy() for c in batch.columns)
         if not len(h):
             continue
         if last is None:
-            yield rows(1, [h[0]], [rid[0]], [p[0]], [0], [0])
-            head = last = (h[0], rid[0], p[0])
-        ph, pr, pp = (np.concatenate(([v], c[:-1])) for v, c in zip(last, (h, rid, p), strict=True))
-        same = ph == h
-        # Each row's run begins at the last change before it; a run that was open keeps its head.
+            yield rows(FIRST, n[:1], h[:1], rid[:1], p[:1], None, None)
+            last = (h[0], rid[0], p[0], n[0])
+            h, rid, p, n = h[1:], rid[1:], p[1:], n[1:]
+            if not len(h):
+                continue
+        before = [np.concatenate(([v], c[:-1])) for v, c in zip(last, (h, rid, p), strict=False)]
+        same = before[0] == h
         begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(h))))
-        hr, hp = np.where(begin < 0, head[1], rid[begin]), np.where(begin < 0, head[2], p[begin])
-        near = same & ((pr != rid) | (pp != p))
-        yield rows(0, h[near], rid[near], p[near], pr[near], pp[near])
-        far = near & ((hr != pr) | (hp != pp))
-        yield rows(0, h[far], rid[far], p[far], hr[far], hp[far])
-        last = (h[-1], rid[-1], p[-1])
-        head = last if begin[-1] == len(h) - 1 else head if begin[-1] < 0 else (h[begin[-1]], rid[begin[-1]], p[begin[-1]])
+        yield rows(PAIR, n[same], h[same], rid[same], p[same], before[1][same], before[2][same])
+        carried = same & (begin < 0)
+        if head is None:
+            yield rows(OPEN, n[carried], h[carried], rid[carried], p[carried], None, None)
+        else:
+            yield rows(PAIR, n[carried], h[carried], rid[carried], p[carried], np.full(carried.sum(), head[0]), np.full(carried.sum(), head[1]))
+        far = same & (begin >= 0) & (begin < np.arange(len(h)) - 1)
+        yield rows(PAIR, n[far], h[far], rid[far], p[far], rid[begin[far]], p[begin[far]])
+        last = (h[-1], rid[-1], p[-1], n[-1])
+        head = head if begin[-1] < 0 else (rid[begin[-1]], p[begin[-1]])
     if last is not None:
-        yield rows(2, [last[0]], [last[1]], [last[2]], [0], [0])
+        yield rows(LAST, [last[3]], [last[0]], [last[1]], [last[2]], None if head is None else [head[0]], None if head is None else [head[1]])
 
 
-def _chains(prefix: int):
-    """Rows sorted by (x, z, xp - zp, xp): runs of matches that overlap in both documents become one."""
+def _seams(edges: list) -> tuple[list, list]:
+    """From the first and last row of every task, in order: each task's first run's head, and the pairs across tasks."""
+    heads, pairs, last, head = [], [], None, None
+    for first, end in zip(edges[::2], edges[1::2], strict=True):
+        goes_on = last is not None and (first.h, first.n) == (last.h, last.n)
+        opened = head if goes_on else (first.x, first.xp)
+        heads.append((first.part, *opened))
+        if goes_on:
+            pairs.append((first.n, first.x, first.xp, last.x, last.xp))
+            pairs.append((first.n, first.x, first.xp, *head))
+        head, last = opened if end.z is None else (end.z, end.zp), end
+    return heads, pairs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["x", "x_start", "x_end", "z", "z_start", "z_end"]
 
-        def out(x, z, lag, first, stop) -> pa.RecordBatch:
-            columns = [x, first, stop, z, first - lag, stop - lag]
-            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=names)
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (x, z, lag, xp) with n matched words from xp: matches that meet in both documents become one."""
+    held, names = None, ["x", "x_start", "x_end", "z", "z_start", "z_end"]
 
-        for batch in batches:
-            x, z, lag, xp = (c.to_numpy().astype(np.int64) for c in batch.columns)
-            if not len(x):
-                continue
-            first, stop = xp, xp + prefix
-            if held is not None:
-                x, z, lag, first, stop = (np.concatenate((a, b)) for a, b in zip(held, (x, z, lag, first, stop), strict=True))
-            new = np.concatenate(([True], (x[1:] != x[:-1]) | (z[1:] != z[:-1]) | (lag[1:] != lag[:-1]) | (first[1:] > stop[:-1])))
-            begin = np.flatnonzero(new)
-            ends = np.concatenate((begin[1:], [len(x)])) - 1
-            merged = x[begin], z[begin], lag[begin], first[begin], stop[ends]
-            held = tuple(c[-1:] for c in merged)
-            yield out(*(c[:-1] for c in merged))
-        if held is not None:
-            yield out(*held)
+    def out(x, z, lag, first, stop) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (x, first, stop, z, first - lag, stop - lag)], names=names)
 
-    return run
+    for batch in batches:
+        x, z, lag, xp, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        if not len(x):
+            continue
+        first, stop = xp, xp + n
+        if held is not None:
+            x, z, lag, first, stop = (np.concatenate((a, b)) for a, b in zip(held, (x, z, lag, first, stop), strict=True))
+        group = np.concatenate(([0], np.cumsum((x[1:] != x[:-1]) | (z[1:] != z[:-1]) | (lag[1:] != lag[:-1]))))
+        top = int(stop.max()) + 1
+        reach = np.maximum.accumulate(stop + group * top) - group * top  # furthest end so far in the group
+        new = np.concatenate(([True], (group[1:] != group[:-1]) | (first[1:] > reach[:-1])))
+        begin = np.flatnonzero(new)
+        merged = x[begin], z[begin], lag[begin], first[begin], reach[np.concatenate((begin[1:], [len(x)])) - 1]
+        held = tuple(c[-1:] for c in merged)
+        yield out(*(c[:-1] for c in merged))
+    if held is not None:
+        yield out(*held)
 
 
 def _contexts(side: int):
@@ -232,20 +264,21 @@ def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select("rid", "text")
-    suffixes = texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(lean(_suffixes(window, prefix)), "h long, rid long, p int")
+    suffixes = texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(lean(_suffixes(window, prefix, min_words)), "h long, rid long, p int, n int")
     array = suffixes.repartitionByRange(parts, "h", "rid", "p").sortWithinPartitions("h", "rid", "p")
-    found = scratch.keep(array.mapInArrow(lean(_neighbours), "kind int, part int, h long, x long, xp int, z long, zp int"))
-    # Two rows a task: its first row, next to the last row of the task with rows before it.
-    seam = Window.orderBy("part", "kind")
-    edges = found.where("kind > 0")
-    for k in ("h", "x", "xp"):
-        edges = edges.withColumn(f"last_{k}", F.lag(k).over(seam))
-    seams = edges.where("kind = 1 and h = last_h").select("x", "xp", F.col("last_x").alias("z"), F.col("last_xp").alias("zp"))
-    pairs = found.where("kind = 0").select("x", "xp", "z", "zp").unionByName(seams)
-    # A repeated passage next to itself may come in either order; the later place is the one to report.
-    keyed = pairs.select("x", "z", (F.col("xp") - F.col("zp")).alias("lag"), "xp")
+    found = scratch.keep(array.mapInArrow(lean(_neighbours), "kind int, part int, n int, h long, x long, xp int, z long, zp int"))
+    # Two rows a task, whatever the size of the corpus; the heads go into the plan as an array by task.
+    heads, across = _seams(found.where(F.col("kind") >= FIRST).orderBy("part", "kind").collect())
+    by_task: list = [None] * max(parts, *(p + 1 for p, _, _ in heads), 1)
+    for part, z, zp in heads:
+        by_task[part] = {"z": z, "zp": zp}
+    head = F.from_json(F.lit(json.dumps(by_task)), "array<struct<z:bigint,zp:int>>")[F.col("part")]
+    columns = ["n", "x", "xp", "z", "zp"]
+    opened = found.where(F.col("kind") == OPEN).select("n", "x", "xp", head["z"].alias("z"), head["zp"].alias("zp"))
+    pairs = found.where(F.col("kind") == PAIR).select(columns).unionByName(opened).unionByName(spark.createDataFrame(across, "n int, x long, xp int, z long, zp int"))
+    keyed = pairs.where("x <> z or xp <> zp").select("x", "z", (F.col("xp") - F.col("zp")).alias("lag"), "xp", "n")
     chained = keyed.repartition("x").sortWithinPartitions("x", "z", "lag", "xp")
-    chains = scratch.keep(chained.mapInArrow(lean(_chains(prefix)), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
+    chains = scratch.keep(chained.mapInArrow(lean(_chains), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
     scratch.drop(found)
     own, other = F.struct("x_start", "x_end", "z", "z_start", "z_end"), F.struct("z_start", "z_end")
     empty = lambda c: F.when(F.lit(False), c)
