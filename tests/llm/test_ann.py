@@ -60,3 +60,16 @@ def test_crowded_buckets_are_split(spark):
     got = run(spark, rows, part_bytes=1 << 14)
     want = ann.brute_force({i: v for i, v, _ in rows}, list(got), 5)
     assert sum(len({i for _, i, _ in got[q]} & set(want[q])) for q in got) / (5 * len(got)) >= 0.9
+
+
+def test_probes_answer_every_query_in_one_part(spark, monkeypatch):
+    # With the default part_bytes all tables share one part; the probes alone must give k distinct points.
+    asked, exact = [], ann._exact
+    monkeypatch.setattr(ann, "_exact", lambda points, queries, *rest: asked.append(queries.count()) or exact(points, queries, *rest))
+    x = vectors(5000, dim=64, seed=5)
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(x)]
+    got = run(spark, rows, k=20)
+    assert asked[0] > 0 and asked[1:] == [0]  # the fit's trial, then the queries that fell short
+    want = ann.brute_force({i: v for i, v, _ in rows}, list(got), 20)
+    assert set(got) == set(range(0, 5000, 20))
+    assert sum(len({i for _, i, _ in got[q]} & set(want[q])) for q in got) / (20 * len(got)) >= 0.9

@@ -250,6 +250,16 @@ def search(
             left, right = left.combine_chunks(), right.combine_chunks()
             buckets, bucket = np.unique(left["key"].to_numpy(), return_inverse=True)
             p, v = left["p"].to_numpy(), _matrix(left["v"].combine_chunks(), dim)
+            # A point stands here once for each of its buckets: its vector is kept once, entries by their turn.
+            bits = (v.view(np.uint64) * (2 * np.arange(dim, dtype=np.uint64) + 0x9E3779B97F4A7C15)).sum(axis=1)
+            order = np.lexsort((bits, p))
+            new = np.concatenate(([True], (np.diff(p[order]) != 0) | (bits[order][1:] != bits[order][:-1])))
+            point, first = np.empty(len(p), dtype=np.int64), np.flatnonzero(new)
+            point[order] = np.cumsum(new) - 1
+            turn = np.empty(len(p), dtype=np.int64)
+            turn[order] = np.arange(len(p)) - first[point[order]]
+            turns = [np.flatnonzero(turn == j) for j in range(turn.max() + 1)]
+            p, v = p[order[first]], v[order[first]]
             for i in range(0, right.num_rows, block):
                 some = right.slice(i, block)
                 q, lists = _matrix(some["v"].combine_chunks(), dim), some["keys"].combine_chunks()
@@ -259,10 +269,13 @@ def search(
                 hit = buckets[at] == flat
                 visited = np.zeros((len(q), len(buckets)), dtype=bool)
                 visited[owner[hit], at[hit]] = True
-                seen = visited.any(axis=0)[bucket].nonzero()[0]
+                candidate = np.zeros((len(q), len(p)), dtype=bool)
+                for entries in turns:
+                    candidate[:, point[entries]] |= visited[:, bucket[entries]]
+                seen = candidate.any(axis=0).nonzero()[0]
                 if not len(seen):
                     continue
-                candidate = visited[:, bucket[seen]]
+                candidate = candidate[:, seen]
                 score = np.where(candidate, q @ v[seen].T, -np.inf)
                 most = min(k + 1, len(seen))
                 top = np.argpartition(-score, most - 1, axis=1)[:, :most]
