@@ -18,6 +18,25 @@ def test_phrases_match_substring_search():
         assert row.tolist() == [langid.brute_phrases(text, samples[k]) for k in model.languages]
 
 
+def test_many_scripts_keep_all_their_letters(spark):
+    # 1,900 characters and more in all; the last language's lie beyond U+FFFF.
+    draw = random.Random(4)
+    scripts = {"el": range(0x3B1, 0x3CA), "ja": range(0x3041, 0x3097), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x5400), "zy": range(0x20000, 0x20100), "en": range(97, 123)}
+    samples = {}
+    for k, letters in scripts.items():
+        known = ["".join(chr(draw.choice(letters)) for _ in range(draw.randrange(1, 7))) for _ in range(400)]
+        samples[k] = " ".join(draw.choices(known, k=1200))
+    model = langid.Model(samples)
+    assert all(c in model.alphabet for x in samples.values() for c in x)
+    parts = {k: x[1000:1300].strip() for k, x in samples.items()}
+    for text, row in zip(parts.values(), model.phrases(list(parts.values())), strict=True):
+        assert row.tolist() == [langid.brute_phrases(text, samples[k]) for k in model.languages]
+    rows = [(i, x, k) for i, (k, x) in enumerate(samples.items())]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(k, x[:200]) for k, x in samples.items()], "doc_id string, text string"), fitted).collect()
+    assert len(got) == len(samples) and all(r.doc_id == r.lang_pred and r.score > 0.1 for r in got)
+
+
 def test_languages_and_edges(spark):
     rows = [(i, t, l, "x") for i, (t, l) in enumerate([(EN * 3, "en"), (DE * 3, "de"), (None, "en"), ("abc", None)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")

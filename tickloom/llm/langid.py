@@ -14,8 +14,9 @@ sorts first; labelled rows with null text or null language teach nothing; with n
 text is ``und``; extra columns are not looked at. Repeated rows are each scored.
 
 The fit takes a bounded sample: up to ``chars`` normalised characters of each language, up to ``piece`` of them
-from each of about ``sample_rows`` labelled rows drawn by hash (``languages`` bounds the number of languages).
-Scoring is map-only over all rows, with the automata broadcast (``4 * alphabet * 2 * chars`` bytes a language).
+from each of about ``sample_rows`` labelled rows drawn by hash, for every labelled language. Scoring is map-only
+over all rows, with the automata broadcast: 8 bytes for each of at most ``3 * chars`` moves of a language, beside
+the gaps between them, and 4 at most for each code point.
 """
 
 from __future__ import annotations
@@ -46,17 +47,17 @@ def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
-def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
-    """Transitions [state, code] of the automaton of all substrings; 0 means none, the root is 1."""
-    moves, link, length = [[0] * letters for _ in range(2)], [0, 0], [0, 0]
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Transitions {code: state} of the automaton of all substrings; state 0 is none, the root is 1."""
+    moves, link, length = [{}, {}], [0, 0], [0, 0]
     last = 1
     for c in codes:
         new = len(moves)
-        moves.append([0] * letters)
+        moves.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p and not moves[p][c]:
+        while p and c not in moves[p]:
             moves[p][c] = new
             p = link[p]
         if not p:
@@ -67,42 +68,61 @@ def suffix_automaton(codes: list[int], letters: int) -> np.ndarray:
                 link[new] = q
             else:
                 twin = len(moves)
-                moves.append(moves[q][:])
+                moves.append(dict(moves[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p and moves[p][c] == q:
+                while p and moves[p].get(c) == q:
                     moves[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return np.array(moves, dtype=np.int32)
+    return moves
+
+
+def comb(moves: list[dict[int, int]], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The automaton with its rows laid into each other: root, and each slot's owner (-1: none) and next state.
+
+    A state is known by the place of its row, which no other has; its move by c is in slot state + c if it owns that.
+    """
+    taken, place, low = bytearray(), [0] * len(moves), 0
+    for s in sorted(range(1, len(moves)), key=lambda s: (-len(moves[s]), s)):
+        at, row = low, moves[s]
+        taken.extend(bytes(max(0, at + width - len(taken))))
+        # Bit 1: a move is here; bit 2: a row begins here.
+        while taken[at] & 2 or any(taken[at + c] & 1 for c in row):
+            at += 1
+            if at + width > len(taken):
+                taken.extend(bytes(width + len(taken)))
+        taken[at] |= 2
+        for c in row:
+            taken[at + c] |= 1
+        place[s] = at
+        low = max(low, at - 8)
+    owner = np.full(max(place) + width, -1, dtype=np.int32)
+    after = np.zeros(len(owner), dtype=np.int32)
+    for s in range(1, len(moves)):
+        for c, to in moves[s].items():
+            owner[place[s] + c], after[place[s] + c] = place[s], place[to]
+    return place[1], owner, after
 
 
 class Model:
-    """Automata of all languages in one table; state 0 of each is turned into 'no move'."""
+    """Automata of all languages; every character of every sample has its own code."""
 
-    def __init__(self, samples: dict[str, str], letters: int = 48):
+    def __init__(self, samples: dict[str, str]):
         self.languages = sorted(k for k, v in samples.items() if v)
         self.samples = {k: samples[k] for k in self.languages}
         common = Counter(c for k in self.languages for c in samples[k])
-        #: code 0: a character that no automaton has, 1 and up: the most frequent ones.
-        self.alphabet = {c: i + 1 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: letters - 1])}
-        self.width = letters
-        self.roots, tables, self.cost, base = [], [], [], 0
+        #: code 0: a character that no automaton has.
+        self.alphabet = {c: i + 1 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0])))}
+        self.width = len(self.alphabet) + 1
+        self.combs, self.cost = [], []
         for k in self.languages:
-            codes = [self.alphabet.get(c, 0) for c in samples[k]]
-            moves = suffix_automaton(codes, letters)
-            moves[:, 0] = 0  # rare characters match nothing
-            tables.append(np.where(moves > 0, (moves + base) * letters, 0).astype(np.int32))
-            self.roots.append(base + 1)
-            self.cost.append(np.log(max(len(codes), 2)))
-            base += len(moves)
-        self.moves = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        top = max(map(ord, self.alphabet), default=0) + 1
-        self.codes = np.zeros(min(top, 1 << 16) + 1, dtype=np.uint8)
+            self.combs.append(comb(suffix_automaton([self.alphabet[c] for c in samples[k]]), self.width))
+            self.cost.append(np.log(max(len(samples[k]), 2)))
+        self.codes = np.zeros(max(map(ord, self.alphabet), default=0) + 2, dtype=np.min_scalar_type(self.width))
         for c, i in self.alphabet.items():
-            if ord(c) < len(self.codes) - 1:
-                self.codes[ord(c)] = i
+            self.codes[ord(c)] = i
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases [text, language] of normalised texts."""
@@ -117,25 +137,24 @@ class Model:
         size = np.minimum(CHUNK, sizes[owner] - nth * CHUNK)
         order = np.argsort(-size, kind="stable")
         start, size, owner = start[order], size[order], owner[order]
-        grid = np.zeros((CHUNK, len(start)), dtype=np.uint8)
+        grid = np.zeros((CHUNK, len(start)), dtype=codes.dtype)
         live = np.searchsorted(-size, -np.arange(CHUNK), side="left")  # lanes with a character at step t
         for t in range(CHUNK):
             grid[t, : live[t]] = codes[start[: live[t]] + t]
-        for k, root in enumerate(self.roots):
-            home = root * self.width  # states as offsets of their rows
+        for k, (home, owned, after) in enumerate(self.combs):
             state = np.full(len(start), home, dtype=np.int64)
             count = np.zeros(len(start), dtype=np.int32)
-            first = self.moves[home : home + self.width].astype(np.int64)
-            first[first == 0] = home
+            row = slice(home, home + self.width)
+            first = np.where(owned[row] == home, after[row], home).astype(np.int64)
             for t in range(CHUNK):
                 n = live[t]
                 if not n:
                     break
                 c, now = grid[t, :n], state[:n]
-                to = self.moves[now + c]
-                miss = to == 0
+                slot = now + c
+                miss = owned[slot] != now
                 count[:n] += miss | (now == home)  # a phrase begins here
-                state[:n] = np.where(miss, first[c], to)
+                state[:n] = np.where(miss, first[c], after[slot])
             out[:, k] = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
         return out
 
@@ -147,10 +166,10 @@ class Model:
         return np.where(size[:, None] > 0, out, np.inf)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 16_000, sample_rows: int = 1_000, piece: int = 1_000, languages: int = 64) -> Model:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 16_000, sample_rows: int = 1_000, piece: int = 1_000) -> Model:
     """Learn from rows with text and language. The sample's bounds are parameters; see the module."""
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counted = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    counted = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()
     share = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
     drawn = [(F.col("l") == x.l) & (share <= sample_rows / x.n) for x in counted]
     samples: dict[str, list[str]] = {x.l: [] for x in counted}
