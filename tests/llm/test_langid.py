@@ -37,6 +37,18 @@ def test_many_scripts_keep_all_their_letters(spark):
     assert len(got) == len(samples) and all(r.doc_id == r.lang_pred and r.score > 0.1 for r in got)
 
 
+def test_copies_are_drawn_once(spark):
+    # 4,000 copies of ten German texts, one of which is most of them; every other language has its own texts.
+    german = [f"{DE}{w * 3}" for w in ("haus ", "baum ", "katze ", "vogel ", "stein ", "wasser ", "himmel ", "feuer ", "strasse ", "garten ")]
+    copies = [(i, german[i % 10] if i % 4 else german[0], "de") for i in range(4000)]
+    rows = [*copies, *((i, "12 34 56" + " " * i, "de") for i in range(300)), (1, EN * 3, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample_rows in (10, 1000):
+        sample = langid.fit(docs.where("text not like '12 %'"), sample_rows=sample_rows).samples["de"]
+        assert all(sample.count(x.strip()) == 1 for x in map(langid.normalise, german))
+    assert langid.fit(docs, sample_rows=10).languages == ["de", "en"]
+
+
 def test_languages_and_edges(spark):
     rows = [(i, t, l, "x") for i, (t, l) in enumerate([(EN * 3, "en"), (DE * 3, "de"), (None, "en"), ("abc", None)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")

@@ -14,7 +14,7 @@ sorts first; labelled rows with null text or null language teach nothing; with n
 text is ``und``; extra columns are not looked at. Repeated rows are each scored.
 
 The fit takes a bounded sample: up to ``chars`` normalised characters of each language, up to ``piece`` of them
-from each of about ``sample_rows`` labelled rows drawn by hash, for every labelled language. Scoring is map-only
+from each of about ``sample_rows`` distinct texts drawn by hash, for every labelled language. Scoring is map-only
 over all rows, with the automata broadcast: 8 bytes for each of at most ``3 * chars`` moves of a language, beside
 the gaps between them, and 4 at most for each code point.
 """
@@ -168,14 +168,16 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int = 16_000, sample_rows: int = 1_000, piece: int = 1_000) -> Model:
     """Learn from rows with text and language. The sample's bounds are parameters; see the module."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counted = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()
-    share = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
+    named = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
+    rows = named.select("l", F.xxhash64("t").alias("h"), F.substring("t", 1, 4 * piece).alias("t")).where(F.col("t").rlike(r"\p{L}"))
+    # Copies of a text count and are drawn once.
+    counted = rows.select("l", "h").distinct().groupBy("l").agg(F.count("*").alias("n")).orderBy("l").collect()
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / float(1 << 30)
     drawn = [(F.col("l") == x.l) & (share <= sample_rows / x.n) for x in counted]
     samples: dict[str, list[str]] = {x.l: [] for x in counted}
     if drawn:
-        near = rows.where(reduce(or_, drawn)).select("l", F.substring("t", 1, 4 * piece).alias("t"), F.xxhash64("t").alias("h"))
-        for r in sorted(near.collect(), key=lambda r: (r.l, r.h, r.t)):
+        near = rows.where(reduce(or_, drawn)).groupBy("l", "h").agg(F.min("t").alias("t"))
+        for r in sorted(near.collect(), key=lambda r: (r.l, r.h)):
             part = normalise(r.t)[:piece]
             if part and sum(map(len, samples[r.l])) < chars:
                 samples[r.l].append(part)
