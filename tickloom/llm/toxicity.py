@@ -2,12 +2,13 @@
 
 A word's input is its own vector (words of the training sample; a shared one for all others) beside the mean
 vector of its character trigrams. A window of ``WINDOW`` words is read by one GRU from each side, the states
-are pooled by attention, and a logistic unit gives the window's log-odds. Windows overlap by half and cover the
-whole text (the last one ends with it); a document's score is its highest window, passed through a logistic
-calibration fitted on the training documents.
+are pooled by attention, and a logistic unit gives the window's log-odds. A window begins at every word that has
+``WINDOW`` words from there (a shorter text is one window); a document's score is its highest window, passed
+through a logistic calibration fitted on all windows of the training documents.
 
 Only documents are labelled, so training alternates: the windows of toxic documents that score highest are the
-positive examples, random and highest-scoring windows of clean documents the negative ones. The first choice
+positive examples, random and highest-scoring windows of clean documents the negative ones, of windows that overlap by
+half and cover the whole text. The first choice
 follows each word's smoothed log-odds, which also start one component of its vector.
 
 Bounds of the fit (parameters): ``per_class`` labelled documents of each class with the smallest hash, of at
@@ -58,7 +59,7 @@ class Text:
         self.tri_size = size
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first word and length of every window."""
+        """Document, first word and length of the windows to train on, the last one of a text ending with it."""
         n = np.diff(self.begin)
         full = np.maximum(n - WINDOW, 0)
         count = np.where(n > 0, -(-full // STRIDE) + 1, 0)
@@ -103,8 +104,8 @@ class Network:
         return out
 
     def _read(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray | None, d: str) -> np.ndarray:
-        """States [step, unit, lane] of one direction; gates [gate, word] are the projected inputs, ``at`` [step, lane]."""
-        steps, lanes = at.shape
+        """States [step, unit, lane] of one direction; gates [gate, word] are the projected inputs, ``at`` [step, lane] or slices."""
+        steps, lanes = len(at), at[0].stop - at[0].start if isinstance(at[0], slice) else at.shape[1]
         u, h = np.ascontiguousarray(self.w[f"rec_{d}"].T), np.zeros((UNITS, lanes), np.float32)
         out = np.empty((steps, UNITS, lanes), np.float32)
         for t in range(steps) if d == "f" else reversed(range(steps)):
@@ -125,7 +126,7 @@ class Network:
         return out
 
     def logits(self, text: Text, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first word and log-odds of every window."""
+        """Document, first word and log-odds of the windows to train on."""
         doc, first, size = text.windows()
         x = self.inputs(text, self.rows(text))
         gates = {d: np.ascontiguousarray((x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"]).T) for d in "fb"}
@@ -145,11 +146,35 @@ class Network:
                 out[part] = (e * value).sum(axis=0) / e.sum(axis=0) + self.w["bias"][0]
         return doc, first, out
 
-    def highest(self, text: Text, docs: int) -> np.ndarray:
-        """The highest window's log-odds of each document; -inf without words."""
-        doc, _, value = self.logits(text)
-        out = np.full(docs, -np.inf)
-        np.maximum.at(out, doc, value)
+    def highest(self, text: Text, docs: int, lanes: int = 1024) -> np.ndarray:
+        """The highest log-odds of all overlapping windows of each document; -inf without words."""
+        out, n = np.full(docs, -np.inf), np.diff(text.begin)
+        x = self.inputs(text, self.rows(text))
+        gates = {d: np.ascontiguousarray((x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"]).T) for d in "fb"}
+        heads = {d: np.stack((self.w["attend"][i : i + UNITS], self.w["out"][i : i + UNITS])) for d, i in (("f", 0), ("b", UNITS))}
+        size = np.repeat(n, n)  # of the document of each word
+        left = np.repeat(text.begin[1:], n) - np.arange(len(size))
+        owner = np.repeat(np.arange(docs), n)
+        starts = {True: np.flatnonzero(left >= WINDOW), False: np.flatnonzero((size < WINDOW) & (left == size))}
+        for whole, first in starts.items():
+            for i in range(0, len(first), lanes):
+                part = first[i : i + lanes]
+                step = np.arange(WINDOW)[:, None]
+                mask = None if whole else (step < size[part]).astype(np.float32)
+                # Neighbouring windows share their words' gates: these are gathered once for the stretch.
+                low = part[0]
+                at = np.arange(low, part[-1] + 1) if whole and part[-1] - low < 2 * lanes else part
+                if at is part:
+                    where = text.word[np.minimum(part + step, len(text.word) - 1)]
+                    both = {d: self._read(gates[d], where, mask, d) for d in "fb"}
+                else:
+                    stretch = text.word[low : part[-1] + WINDOW]
+                    both = {d: self._read(gates[d][:, stretch], [slice(t, t + len(at)) for t in range(WINDOW)], None, d) for d in "fb"}
+                e, value = np.moveaxis(sum(heads[d] @ both[d] for d in "fb"), 1, 0)
+                e = e if mask is None else np.where(mask > 0, e, -1e9)
+                e = np.exp(e - e.max(axis=0))
+                odds = (e * value).sum(axis=0) / e.sum(axis=0) + self.w["bias"][0]
+                np.maximum.at(out, owner[part], odds if at is part else odds[part - low])
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
