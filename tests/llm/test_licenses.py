@@ -84,3 +84,19 @@ def test_long_text(spark):
     (row,) = [r for r in lic.scan(spark.createDataFrame([(1, body)], "doc_id long, text string")).collect() if r.license == "mit"]
     assert row.coverage == 1.0 and body[row.start : row.end] == lic.TEMPLATES["mit"].rstrip(".")
     assert np.isfinite(row.coverage)
+
+
+@pytest.mark.parametrize("name", ["mit", "apache-2.0-header", "zlib"])
+@pytest.mark.parametrize("gap", ["", "of the software and other parts by some authors named here"])
+def test_consecutive_copies(spark, name, gap):
+    body, edited = lic.TEMPLATES[name], lic.TEMPLATES[name].split()
+    edited[len(edited) // 3 : len(edited) // 3 + 2] = ["quite", "another", "wording"]
+    texts = [f"\n{gap}\n".join([body] * n) for n in (3, 10, 1000)]
+    texts.append(f"\n{gap}\n".join([body, " ".join(edited)] * 5))
+    found = lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for i, text in enumerate(texts):
+        spans = sorted((r.start, r.end) for r in found if r.doc_id == i and r.license == name)
+        assert len(spans) == (3, 10, 1000, 10)[i]
+        assert all(a < b <= c for (a, b), (c, _) in zip(spans, spans[1:], strict=False))
+        if i < 3:
+            assert {text[a:b] for a, b in spans} == {body.rstrip(".")}

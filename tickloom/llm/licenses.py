@@ -9,7 +9,9 @@ Whole texts are scanned: adjacent word pairs of a template that stand next to ea
 and seeds on one diagonal (text position minus template position, give or take what a match may insert or leave out)
 mark a stretch to align. A stretch is aligned if it has as many seeds as any match with ``coverage`` and ``density``
 must have, so the seeds lose nothing: of m matched words at most m / density - m gaps hold other words and at
-most (1 - coverage) of the template's words are skipped, and all other neighbours are seeds.
+most (1 - coverage) of the template's words are skipped, and all other neighbours are seeds. Copies that stand
+close to each other have no word that is unique to their stretch, so it is also read in overlapping windows that
+hold at most one whole copy; of overlapping matches the one with the highest coverage counts.
 
 Defined cases: null, empty and wordless texts have no match; every occurrence of a template is a row; where
 matches of several templates overlap, all of them are given; repeated rows are each scanned; null ids stay null;
@@ -122,7 +124,7 @@ class Templates:
         template, diagonal = self.of[seed], place - self.at[seed]
         text = owner[place]
         order = np.lexsort((diagonal, template, text))
-        template, diagonal, text = template[order], diagonal[order], text[order]
+        template, diagonal, text, place, at = template[order], diagonal[order], text[order], place[order], self.at[seed][order]
         if not len(template):
             return
         new = (template[1:] != template[:-1]) | (text[1:] != text[:-1]) | (np.diff(diagonal) > self.slack[template[1:]])
@@ -137,6 +139,24 @@ class Templates:
                 for d in range(diagonal[i], diagonal[j - 1] + 1, step):
                     last = min(d + step - 1, diagonal[j - 1])
                     yield int(t), max(int(d - self.slack[t]), int(lo)), min(int(last + self.size[t] + self.slack[t]), int(hi))
+                for a, b in self.windows(t, place[i:j], at[i:j]):
+                    yield int(t), max(a, int(lo)), min(b, int(hi))
+
+    def windows(self, t: int, place: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """Windows too short for two whole occurrences, one of which holds any match whole: neighbours can't hide it.
+
+        They begin every eighth of a template, and hold as many different seeds as a match must have.
+        """
+        span, step = int(self.size[t] / self.density), max(int(self.size[t]) // 8, 1)
+        base, blocks = int(place.min()) - span, -(-span // step) + 1
+        block = (place - base) // step
+        has = np.zeros((int(block.max()) + blocks, self.size[t]), dtype=bool)
+        has[block, at] = True
+        held = has[: len(has) - blocks + 1].copy()
+        for k in range(1, blocks):
+            held |= has[k : k + len(held)]
+        starts = np.flatnonzero(held.sum(axis=1) >= self.need[t])
+        return [(a, a + blocks * step) for a in (base + starts * step).tolist()]
 
     def match(self, t: int, word: list[int]) -> tuple[float, int, int] | None:
         """Coverage, first and end word of a template's best match in a stretch, if it is one."""
@@ -160,8 +180,12 @@ def find(word: np.ndarray, owner: np.ndarray, templates: Templates) -> list[tupl
         if m:
             found.append((int(owner[a + m[1]]), t, m[0], a + m[1], a + m[2]))
     out: list[tuple[int, int, float, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[0], x[1], -x[2], x[4] - x[3], x[3])):
-        if not any(y[:2] == x[:2] and y[3] < x[4] and x[3] < y[4] for y in out[-64:]):
+    kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x in sorted(set(found), key=lambda x: (x[0], x[1], -x[2], x[4] - x[3], x[3])):
+        spans = kept.setdefault(x[:2], [])  # apart from each other and in order
+        i = bisect_left(spans, (x[3], x[4]))
+        if (i == 0 or spans[i - 1][1] <= x[3]) and (i == len(spans) or spans[i][0] >= x[4]):
+            spans.insert(i, (x[3], x[4]))
             out.append(x)
     return sorted(out, key=lambda x: (x[0], x[3], x[1]))
 
