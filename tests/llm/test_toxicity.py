@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -101,3 +102,58 @@ def test_every_window_is_scored():
     for lanes in (7, 1024):
         assert net.highest(text, len(texts), lanes).tolist() == pytest.approx(want, abs=1e-5)
     assert want[6] > net.logits(text)[2][text.windows()[0] == 6].max()  # windows that overlap by half miss it
+
+
+def plain_odds(net, text: str) -> float:
+    """The highest window's log-odds with plain Python numbers, word by word and unit by unit."""
+    w, u = {k: v.astype(float).tolist() for k, v in net.w.items()}, toxicity.UNITS
+    known = {int(h): i + 1 for i, h in enumerate(net.vocabulary)}
+
+    def vector(word):
+        own = toxicity.Text([word])
+        tri = [w["char"][int(t)] for t in own.trigrams]
+        return w["word"][known.get(int(own.hashes[0]), 0)] + [sum(c) / len(tri) for c in zip(*tri, strict=True)]
+
+    def read(vectors, d):
+        h, out = [0.0] * u, []
+        for x in vectors:
+            gate = [w[f"bias_{d}"][j] + sum(x[i] * w[f"in_{d}"][i][j] for i in range(len(x))) for j in range(3 * u)]
+            back = [sum(h[i] * w[f"rec_{d}"][i][j] for i in range(u)) for j in range(3 * u)]
+            z, r = ([1 / (1 + math.exp(-gate[k * u + j] - back[k * u + j])) for j in range(u)] for k in (0, 1))
+            new = [math.tanh(gate[2 * u + j] + r[j] * back[2 * u + j]) for j in range(u)]
+            h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(u)]
+            out.append(h)
+        return out
+
+    words = text.lower().split()
+    best = -math.inf
+    for at in range(max(len(words) - toxicity.WINDOW, 0) + 1):
+        inputs = [vector(x) for x in words[at : at + toxicity.WINDOW]]
+        states = [a + b for a, b in zip(read(inputs, "f"), read(inputs[::-1], "b")[::-1], strict=True)]
+        e = [math.exp(sum(a * s for a, s in zip(w["attend"], h, strict=True))) for h in states]
+        value = [sum(a * s for a, s in zip(w["out"], h, strict=True)) for h in states]
+        best = max(best, sum(a * b for a, b in zip(e, value, strict=True)) / sum(e) + w["bias"][0])
+    return best
+
+
+def test_scores_match_a_plain_forward_pass():
+    texts, labels = corpus(60, seed=3)
+    net = toxicity.build(texts, labels, epochs=1)
+    fresh = [*corpus(8, seed=4)[0], "unseen words beside a moron", "idiot"]
+    want = [1 / (1 + math.exp(-(net.slope * plain_odds(net, t) + net.shift))) for t in fresh]
+    assert net.scores(fresh).tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    texts, labels = corpus(40)
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(50)] + [(0, "another text of a hot id")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in enumerate(labels) for _ in range(20)], "doc_id long, toxic int")
+    seen = []
+    build = toxicity.build
+    toxicity.build = lambda texts, labels: seen.append(len(texts)) or build(texts, labels, epochs=1)
+    try:
+        assert toxicity.fit(docs, marks, per_class=5) is not None
+    finally:
+        toxicity.build = build
+    assert seen == [10]

@@ -11,13 +11,16 @@ positive examples, random and highest-scoring windows of clean documents the neg
 half and cover the whole text. The first choice
 follows each word's smoothed log-odds, which also start one component of its vector.
 
-Bounds of the fit (parameters): ``per_class`` labelled documents of each class with the smallest hash, of at
-most ``max_chars`` characters each. Scoring reads every text whole and is map-only; the model is broadcast and
-has a fixed size but for the word table, which is at most ``max_words`` rows.
+Bounds of the fit (parameters): ``per_class`` labelled ids of each class with the smallest hash, one text of at
+most ``max_chars`` characters for each; no more than that reaches the driver, however often labels, ids or texts
+repeat. ``epochs`` is the least number of readings: small samples are read up to twice as often. Scoring reads
+every text whole and is map-only; the model is broadcast and has a fixed size but for the word table, which is at
+most ``max_words`` rows.
 
 Defined cases: null, empty and wordless texts score 0; labels that are null, or whose document is missing or
-null, teach nothing; an id with several labels counts as toxic if one says so; without both classes every score
-is 0; repeated rows are each scored; extra columns are not looked at.
+null, teach nothing; an id with several labels counts as toxic if one says so, and of its texts the least one in
+byte order is learned from; without both classes every score is 0; repeated rows are each scored; extra columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -311,15 +314,13 @@ def build(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4_000, max_chars: int = 20_000) -> Network | None:
     """The network learned from a bounded sample of labelled rows (see the module); None without both classes."""
     marks = labels.select(F.col(doc_id).alias("id"), (F.col(label) > 0).cast("int").alias("y")).where("id is not null and y is not null")
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = {r.y: r.n for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    wanted = [(F.col("y") == y) & (share < per_class / n) for y, n in counts.items()]
-    if len(wanted) < 2:
-        return None
-    # About 2 * per_class rows whatever the table's size: small enough to send to every task.
-    sample = marks.where(wanted[0] | wanted[1]).groupBy("id").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.length("t") <= max_chars)
-    rows = sorted(map(tuple, texts.join(F.broadcast(sample), "id").select("id", "t", "y").collect()))
+    known = marks.groupBy("id").agg(F.max("y").alias("y"))
+    # At most 2 * per_class ids whatever the tables' sizes: small enough to send to every task.
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
+    sample = drawn[0].unionByName(drawn[1])
+    found = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("t").alias("t"), F.max("y").alias("y"))
+    rows = sorted((r.id, r.t, r.y) for r in found.collect())
     if len({y for _, _, y in rows}) < 2:
         return None
     return build([t for _, t, _ in rows], [y for _, _, y in rows])
