@@ -1,32 +1,33 @@
-"""Repeated passages by a sparse suffix array.
-
-1. Anchors. Of every ``window`` consecutive word 8-grams of a document the one with the least hash is an
-   anchor, so a passage's anchors depend on its words alone. A repeat of ``min_words`` has an anchor among its
-   first ``window`` words and hence ``prefix = min_words - window + 1`` words from there in either copy.
-2. Sparse suffix array. Only suffixes at anchors are kept, about 2 in ``window`` words. They are sorted by
-   range over (hash of the first ``prefix`` words, document, position), and a second time among themselves over
-   the hash of the first ``min_words`` words; a run of equal prefixes may span many tasks, so a passage that a
-   third of all documents share is split like any other rows.
-3. Neighbours. In a run each suffix is compared with its neighbour before it and with the run's first suffix. A
-   run that began in an earlier task takes both from there: the tasks' first and last rows (two a task) are put
-   in order by the driver, so the result doesn't depend on how rows were dealt to tasks.
-4. Extension. Matches that continue each other in both documents are chained; each chain is extended word by
-   word to the left and right beyond its anchors. What reaches ``min_words`` is a repeat; the occurrence later
-   in the order of (document, position) is the one reported, so that the earliest always stays.
-
-A repeat of ``window + min_words`` words shares ``min_words`` behind an anchor and is found against any partner; a
-shorter one is found against the first or the preceding occurrence of its anchored prefix.
-
-Words are runs of bytes but white space, A-Z lower-cased. Prefixes are compared by 64-bit hashes, the words beyond by
-32 bits each: a repeat could end a word late with odds of 2**-32, and nothing is reported on a prefix alone. Defined cases: null, empty and short texts have no
-repeats; repeated rows and repeated or null ids are told apart by an order-keeping row number, so later copies
-are reported against the first; repeats within one document count; extra columns are kept aside; an empty table
-gives no rows.
+"""Repeated passages by a sparse suffix array; exact.
+
+1. Anchors. Every window of ``min_words`` words has one anchor: of its first ``min_words // 2`` positions the one
+   whose word 8-gram has the least hash, the leftmost of equals. It depends on the window's words alone. The
+   windows of one anchor follow each other; together they are the anchor's block.
+2. Sparse suffix array. Only suffixes at anchors are kept, about 2 in ``min_words // 2`` words. They are sorted by
+   range over (hash of the first ``prefix`` words, which every window of the anchor holds, hash of the block,
+   document, position); a run may span many tasks, so a passage that a third of all documents share is split like
+   any other rows.
+3. Neighbours. A suffix whose neighbour before it has the same block repeats it as a whole. A suffix that shares its
+   prefix with no other is unique. What is left shares its prefix, but not its block: the first suffix of every
+   block of such a run stays open.
+4. Extension. Open matches are extended to the left and right of their anchors, window by window: the windows of
+   the open blocks are sorted by their own hashes, and one whose neighbour before it is equal is a repeat.
+
+Nothing is lost: equal windows have equal anchors and prefixes, hence stand in one run; the earliest of them is
+never in a block that repeats an earlier one, so it is open together with all that aren't settled with their block.
+A result row is a stretch of words that such windows cover; the occurrence later in the order of (document,
+position) is the one reported, so that the earliest always stays. The reference of a stretch is an occurrence that
+stands before its first window.
+
+The tasks' first and last rows (two a task) are compared by the driver, so the result doesn't depend on how rows were
+dealt to tasks. Words are runs of bytes but white space, A-Z lower-cased; equality of windows and blocks is that of
+128 bits of hashes. Defined cases: null, empty and short texts have no repeats; repeated rows and repeated or null
+ids are told apart by an order-keeping row number, so later copies are reported against an earlier one; repeats
+within one document count; extra columns are kept aside; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import Scratch, lean, raw, slices
-from .wordhash import grams, mix, sliding, words
+from .wordhash import grams, mix, sliding, spans, words
 
 GRAM = 8
 
@@ -45,32 +46,37 @@ GRAM = 8
 def numbered(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
     """rid (unique long, in the order of doc_id), doc_id, text, and the row's other columns as a struct.
 
-    A unique integer id is its own number; otherwise rows are numbered in the order of id and text.
+    A unique integer id is its own number; otherwise rows are numbered in the order of id and text. Rows equal in both
+    are dealt to as many ranges as they fill.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     if rows.schema["doc_id"].dataType == LongType():
         ids = docs.select(F.col(doc_id).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
         if not ids.where("n > 1 or i is null").limit(1).count():
             return rows.withColumn("rid", F.col("doc_id"))
-    ranged = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return scratch.keep(ranged.withColumn("rid", F.monotonically_increasing_id()))
+    order = ["doc_id", F.xxhash64("text"), "turn"]
+    ranged = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.keep(ranged.drop("turn").withColumn("rid", F.monotonically_increasing_id()))
 
 
-def anchors(hashes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
-    """Positions of words whose 8-gram has the least hash of some window that lies in one document."""
-    n = len(hashes) - GRAM + 1
-    if n < window:
-        return np.zeros(0, dtype=np.int64)
-    g = grams(hashes, np.arange(n), GRAM) | np.uint64(1)
-    least = sliding(np.minimum, g, window)
-    span = window + GRAM - 2
-    least[owner[: len(least)] != owner[span : span + len(least)]] = 0
-    padded = np.concatenate((np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)))
-    return np.flatnonzero(sliding(np.maximum, padded, window) == g)
-
-
-def _suffixes(window: int, prefix: int, min_words: int):
-    """Rows (h, rid, p, n): an anchor's hash over its first n words, for both lengths."""
+def blocks(hashes: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of the windows of ``min_words`` that lie in one document: their words, first windows and window counts."""
+    window = min_words // 2
+    gram = min(GRAM, min_words - window + 1)
+    n = len(hashes) - min_words + 1
+    if n < 1:
+        return (np.zeros(0, dtype=np.int64),) * 3
+    g = grams(hashes, np.arange(len(hashes) - gram + 1), gram)
+    least = sliding(lambda a, b: np.where(g[a] <= g[b], a, b), np.arange(len(g)), window)[:n]
+    start = np.flatnonzero(owner[:n] == owner[min_words - 1 :])
+    at = least[start]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), at[1:] != at[:-1])))
+    return at[first], start[first], np.diff(np.append(first, len(at)))
+
+
+def _suffixes(min_words: int):
+    """Rows (h, b, rid, s, m): an anchor's hash over its prefix and over its block, the block's first window and windows."""
+    prefix = min_words - min_words // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,156 +87,104 @@ def _suffixes(window: int, prefix: int, min_words: int):
                 first, _, hashes = words(b" ".join(x or b"" for x in rows))
                 owner = np.searchsorted(ends, first, side="right")
                 begin = np.searchsorted(owner, np.arange(len(rows) + 1))
-                at = anchors(hashes, owner, window)
-                for n in (prefix, min_words):
-                    at = at[begin[owner[at] + 1] - at >= n]
-                    key = mix(grams(hashes, at, n) + np.uint64(n)).view(np.int64)
-                    place = (at - begin[owner[at]]).astype(np.int32)
-                    columns = [key, rids[a:b][owner[at]], place, np.full(len(at), n, np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "rid", "p", "n"])
+                at, start, count = blocks(hashes, owner, min_words)
+                block = spans(hashes, start, start + count - 1 + min_words) + count.astype(np.uint64)
+                columns = [grams(hashes, at, prefix).view(np.int64), mix(block).view(np.int64), rids[a:b][owner[at]], (start - begin[owner[at]]).astype(np.int32), count.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "b", "rid", "s", "m"])
 
     return run
 
 
-#: Rows of ``_neighbours``: pairs; pairs with the head of the task's first run, still to be named; first and last row.
-PAIR, OPEN, FIRST, LAST = range(4)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes of one task to rows (kind, part, n, h, x, xp, z, zp): a suffix and one to compare it with.
-
-    LAST holds the last row with the head of its run, or no head (z null) if that run is still the first one.
-    """
-    part = TaskContext.get().partitionId()
-    head = last = None  # of the run at hand: its first suffix, None while it is the task's first run; the row before
+def _windows(min_words: int):
+    """Rows (h, b, rid, s, 1) of the windows of a text's open blocks: two hashes of their words."""
 
-    def rows(kind: int, n, h, x, xp, z, zp) -> pa.RecordBatch:
-        size = len(x)
-        columns = [np.full(size, kind, np.int32), np.full(size, part, np.int32), np.asarray(n, np.int32), np.asarray(h, np.int64), np.asarray(x, np.int64), np.asarray(xp, np.int32)]
-        ends = [pa.nulls(size, k) if z is None else pa.array(np.asarray(c), k) for c, k in ((z, pa.int64()), (zp, pa.int32()))]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *ends], names=["kind", "part", "n", "h", "x", "xp", "z", "zp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                rows = raw(part.column(1))
+                ends = np.cumsum([len(x) + 1 for x in rows])
+                first, _, hashes = words(b" ".join(rows))
+                begin = np.searchsorted(first, ends - [len(x) + 1 for x in rows])
+                asked = part.column(2)
+                count = asked.flatten().field("m").to_numpy()
+                owner = np.repeat(np.repeat(np.arange(len(rows)), asked.value_lengths().to_numpy()), count)
+                start = np.repeat(asked.flatten().field("s").to_numpy() - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                at = begin[owner] + start
+                again = grams(mix(hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), at, min_words)
+                columns = [grams(hashes, at, min_words).view(np.int64), again.view(np.int64), part.column(0).to_numpy()[owner], start.astype(np.int32), np.ones(len(at), np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "b", "rid", "s", "m"])
 
-    for batch in batches:
-        h, rid, p, n = (c.to_numpy() for c in batch.columns)
-        if not len(h):
-            continue
-        if last is None:
-            yield rows(FIRST, n[:1], h[:1], rid[:1], p[:1], None, None)
-            last = (h[0], rid[0], p[0], n[0])
-            h, rid, p, n = h[1:], rid[1:], p[1:], n[1:]
-            if not len(h):
-                continue
-        before = [np.concatenate(([v], c[:-1])) for v, c in zip(last, (h, rid, p), strict=False)]
-        same = before[0] == h
-        begin = np.maximum.accumulate(np.where(same, -1, np.arange(len(h))))
-        yield rows(PAIR, n[same], h[same], rid[same], p[same], before[1][same], before[2][same])
-        carried = same & (begin < 0)
-        if head is None:
-            yield rows(OPEN, n[carried], h[carried], rid[carried], p[carried], None, None)
-        else:
-            yield rows(PAIR, n[carried], h[carried], rid[carried], p[carried], np.full(carried.sum(), head[0]), np.full(carried.sum(), head[1]))
-        far = same & (begin >= 0) & (begin < np.arange(len(h)) - 1)
-        yield rows(PAIR, n[far], h[far], rid[far], p[far], rid[begin[far]], p[begin[far]])
-        last = (h[-1], rid[-1], p[-1], n[-1])
-        head = head if begin[-1] < 0 else (rid[begin[-1]], p[begin[-1]])
-    if last is not None:
-        yield rows(LAST, [last[3]], [last[0]], [last[1]], [last[2]], None if head is None else [head[0]], None if head is None else [head[1]])
+    return run
 
 
-def _seams(edges: list) -> tuple[list, list]:
-    """From the first and last row of every task, in order: each task's first run's head, and the pairs across tasks."""
-    heads, pairs, last, head = [], [], None, None
-    for first, end in zip(edges[::2], edges[1::2], strict=True):
-        goes_on = last is not None and (first.h, first.n) == (last.h, last.n)
-        opened = head if goes_on else (first.x, first.xp)
-        heads.append((first.part, *opened))
-        if goes_on:
-            pairs.append((first.n, first.x, first.xp, last.x, last.xp))
-            pairs.append((first.n, first.x, first.xp, *head))
-        head, last = opened if end.z is None else (end.z, end.zp), end
-    return heads, pairs
+#: Rows of ``_neighbours``: a repeat of (ref, ref_s); a suffix that stays open; first and last row of a task.
+REPEAT, OPEN, FIRST, LAST = range(4)
+_SUFFIX = "h long, b long, rid long, s int, m int"
+_FOUND = "kind int, part int, h long, b long, rid long, s int, m int, ref long, ref_s int"
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (x, z, lag, xp) with n matched words from xp: matches that meet in both documents become one."""
-    held, names = None, ["x", "x_start", "x_end", "z", "z_start", "z_end"]
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, b, rid, s, m) of one task, sorted, to rows of ``_FOUND``. What the next task may go on with is open."""
+    part = TaskContext.get().partitionId()
+    last = held = None  # the row before; the first suffix of a run that has one block so far
 
-    def out(x, z, lag, first, stop) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (x, first, stop, z, first - lag, stop - lag)], names=names)
+    def rows(kind: int, columns: list, ref=None) -> pa.RecordBatch:
+        size = len(columns[0])
+        made = [np.full(size, kind, np.int32), np.full(size, part, np.int32), *(np.asarray(c, t) for c, t in zip(columns, (np.int64, np.int64, np.int64, np.int32, np.int32), strict=True))]
+        refs = [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32())] if ref is None else [pa.array(ref[0]), pa.array(ref[1])]
+        return pa.RecordBatch.from_arrays([*map(pa.array, made), *refs], names=["kind", "part", "h", "b", "rid", "s", "m", "ref", "ref_s"])
 
+    one = lambda row: [[x] for x in row]
     for batch in batches:
-        x, z, lag, xp, n = (c.to_numpy().astype(np.int64) for c in batch.columns)
-        if not len(x):
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
             continue
-        first, stop = xp, xp + n
-        if held is not None:
-            x, z, lag, first, stop = (np.concatenate((a, b)) for a, b in zip(held, (x, z, lag, first, stop), strict=True))
-        group = np.concatenate(([0], np.cumsum((x[1:] != x[:-1]) | (z[1:] != z[:-1]) | (lag[1:] != lag[:-1]))))
-        top = int(stop.max()) + 1
-        reach = np.maximum.accumulate(stop + group * top) - group * top  # furthest end so far in the group
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (first[1:] > reach[:-1])))
-        begin = np.flatnonzero(new)
-        merged = x[begin], z[begin], lag[begin], first[begin], reach[np.concatenate((begin[1:], [len(x)])) - 1]
-        held = tuple(c[-1:] for c in merged)
-        yield out(*(c[:-1] for c in merged))
+        if last is None:
+            last = [c[0] for c in columns]
+            yield rows(FIRST, one(last))
+            columns = [c[1:] for c in columns]
+            if not len(columns[0]):
+                continue
+        before = [np.concatenate(([v], c[:-1])) for v, c in zip(last, columns, strict=True)]
+        other_run = before[0] != columns[0]
+        head = other_run | (before[1] != columns[1])
+        yield rows(REPEAT, [c[~head] for c in columns], (before[2][~head], before[3][~head]))
+        heads = np.flatnonzero(head)
+        opens = other_run[heads]  # the first of a run
+        if len(heads):
+            if held is not None and not opens[0]:
+                yield rows(OPEN, one(held))
+            followed = np.concatenate((~opens[1:], [False]))
+            yield rows(OPEN, [c[heads[~opens | followed]] for c in columns])
+            held = [c[heads[-1]] for c in columns] if opens[-1] else None
+        last = [c[-1] for c in columns]
     if held is not None:
-        yield out(*held)
-
-
-def _contexts(side: int):
-    """Word hashes (their low 32 bits) beside ranges of a text: ``side`` words before it, from the nearest, and after.
-
-    Rows (rid, text, own, other) give a row for each chain of this text (own) and for each range that chains of
-    other texts refer to; zeros stand beyond the text.
-    """
-
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        flat = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) // side + 1, dtype=np.int32) * side), flat)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = np.arange(side)
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                padded = []
-                for text in raw(part.column(1)):
-                    low = np.maximum(words(text)[2].astype(np.uint32), 1).view(np.int32)
-                    padded.append(np.concatenate((np.zeros(side, np.int32), low, np.zeros(side, np.int32))))
-                for column, own in ((part.column(2), True), (part.column(3), False)):
-                    ranges, count = column.flatten(), column.value_lengths().to_numpy()
-                    ends = np.cumsum(count)
-                    start, stop = (ranges.field(k).to_numpy() for k in (("x_start", "x_end") if own else ("z_start", "z_end")))
-                    before = [h[start[i:j, None] + (side - 1 - step)].ravel() for h, i, j in zip(padded, ends - count, ends, strict=True)]
-                    after = [h[stop[i:j, None] + (side + step)].ravel() for h, i, j in zip(padded, ends - count, ends, strict=True)]
-                    rid = part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
-                    none = pa.nulls(len(rid), pa.int64())
-                    named = {k: ranges.field(k) for k in ("x_start", "x_end", "z", "z_start", "z_end")} | {"x": rid} if own else {"x": none, "x_start": none, "x_end": none, "z": rid, "z_start": ranges.field("z_start"), "z_end": ranges.field("z_end")}
-                    columns = [named[k] for k in ("x", "x_start", "x_end", "z", "z_start", "z_end")]
-                    yield pa.RecordBatch.from_arrays([*columns, lists(before), lists(after)], names=["x", "x_start", "x_end", "z", "z_start", "z_end", "before", "after"])
-
-    return run
-
+        yield rows(OPEN, one(held))
+    if last is not None:
+        yield rows(LAST, one(last))
 
-def _common(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Length of the common prefix of two columns of equally long lists, row by row; zeros are no words."""
-    if not len(a):
-        return np.zeros(0, dtype=np.int64)
-    x, y = (c.flatten().to_numpy().reshape(len(a), -1) for c in (a, b))
-    differ = (x != y) | (x == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
 
+def _seams(found: DataFrame) -> DataFrame:
+    """The first row of every task, as a repeat of the last row of the task before it or open: two rows a task in all."""
+    out, last = [], None
+    for r in found.where(F.col("kind") >= FIRST).orderBy("part", "kind").collect():
+        if r.kind == FIRST:
+            same = last is not None and (last.h, last.b) == (r.h, r.b)
+            out.append((REPEAT if same else OPEN, r.part, r.h, r.b, r.rid, r.s, r.m, last.rid if same else None, last.s if same else None))
+        else:
+            last = r
+    return found.sparkSession.createDataFrame(out, _FOUND)
 
-def _extend(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, first, stop, z, z_first = (batch.column(k).to_numpy() for k in ("x", "x_start", "x_end", "z", "z_start"))
-            left, right = _common(batch.column("xb"), batch.column("zb")), _common(batch.column("xa"), batch.column("za"))
-            first, stop, z_first = first - left, stop + right, z_first - left
-            long = stop - first >= min_words
-            yield pa.RecordBatch.from_arrays([pa.array(c[long]) for c in (x, first, stop, z, z_first)], names=["rid", "start", "stop", "ref", "ref_start"])
 
-    return run
+def _sorted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Repeats and open rows of a suffix array. Its rows are written before, for its ranges follow a sample of them."""
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = scratch.keep(rows)
+    array = kept.repartitionByRange(parts, "h", "b", "rid", "s").sortWithinPartitions("h", "b", "rid", "s")
+    found = scratch.keep(array.mapInArrow(lean(_neighbours), _FOUND))
+    scratch.drop(kept)
+    return found.where(F.col("kind") < FIRST).unionByName(_seams(found))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,47 +212,16 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeats(rows: DataFrame, scratch: Scratch, min_words: int = 50) -> DataFrame:
     """rid, start, stop (words), ref, ref_start of every repeated passage of ``numbered`` rows."""
-    window = min_words // 2
-    prefix = min_words - window + 1
-    side = min_words - prefix
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = rows.select("rid", "text")
-    suffixes = texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(lean(_suffixes(window, prefix, min_words)), "h long, rid long, p int, n int")
-    array = suffixes.repartitionByRange(parts, "h", "rid", "p").sortWithinPartitions("h", "rid", "p")
-    found = scratch.keep(array.mapInArrow(lean(_neighbours), "kind int, part int, n int, h long, x long, xp int, z long, zp int"))
-    # Two rows a task, whatever the size of the corpus; the heads go into the plan as an array by task.
-    heads, across = _seams(found.where(F.col("kind") >= FIRST).orderBy("part", "kind").collect())
-    by_task: list = [None] * max(parts, *(p + 1 for p, _, _ in heads), 1)
-    for part, z, zp in heads:
-        by_task[part] = {"z": z, "zp": zp}
-    head = F.from_json(F.lit(json.dumps(by_task)), "array<struct<z:bigint,zp:int>>")[F.col("part")]
-    columns = ["n", "x", "xp", "z", "zp"]
-    opened = found.where(F.col("kind") == OPEN).select("n", "x", "xp", head["z"].alias("z"), head["zp"].alias("zp"))
-    pairs = found.where(F.col("kind") == PAIR).select(columns).unionByName(opened).unionByName(spark.createDataFrame(across, "n int, x long, xp int, z long, zp int"))
-    keyed = pairs.where("x <> z or xp <> zp").select("x", "z", (F.col("xp") - F.col("zp")).alias("lag"), "xp", "n")
-    chained = keyed.repartition("x").sortWithinPartitions("x", "z", "lag", "xp")
-    chains = scratch.keep(chained.mapInArrow(lean(_chains), "x long, x_start long, x_end long, z long, z_start long, z_end long"))
-    scratch.drop(found)
-    own, other = F.struct("x_start", "x_end", "z", "z_start", "z_end"), F.struct("z_start", "z_end")
-    empty = lambda c: F.when(F.lit(False), c)
-    asked = chains.select(F.col("x").alias("rid"), own.alias("own"), empty(other).alias("other")).unionByName(
-        chains.select("z", "z_start", "z_end").distinct().select(F.col("z").alias("rid"), empty(F.struct(*[F.col(c).alias(n) for c, n in (("z_start", "x_start"), ("z_end", "x_end"), ("z", "z"), ("z_start", "z_start"), ("z_end", "z_end"))])).alias("own"), other.alias("other"))
-    )
-    asked = asked.groupBy("rid").agg(F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
+    array = _sorted(texts.where(F.length("text") >= 2 * min_words - 1).mapInArrow(lean(_suffixes(min_words)), _SUFFIX), scratch)
+    asked = array.where(F.col("kind") == OPEN).groupBy("rid").agg(F.collect_list(F.struct("s", "m")).alias("asked"))
     # One plan at every size: both sides meet by sorted keys, none is sent to all tasks.
-    near = texts.join(asked.hint("merge"), "rid").select("rid", "text", "own", "other")
-    shape = "x long, x_start long, x_end long, z long, z_start long, z_end long, before array<int>, after array<int>"
-    contexts = scratch.keep(near.mapInArrow(lean(_contexts(side)), shape))
-    scratch.drop(chains)
-    of_x = contexts.where("x is not null").withColumnsRenamed({"before": "xb", "after": "xa"})
-    of_z = contexts.where("x is null").select("z", "z_start", "z_end", F.col("before").alias("zb"), F.col("after").alias("za"))
-    sides = of_x.join(of_z.hint("merge"), ["z", "z_start", "z_end"])
-    long = sides.mapInArrow(lean(_extend(min_words)), "rid long, start long, stop long, ref long, ref_start long")
-    ordered = long.repartition("rid").sortWithinPartitions("rid", "start", F.desc("stop"), "ref", "ref_start")
-    merged = scratch.keep(ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long"))
-    scratch.drop(contexts)
-    return merged
+    opened = texts.join(asked.hint("merge"), "rid").select("rid", "text", "asked")
+    extended = _sorted(opened.mapInArrow(lean(_windows(min_words)), _SUFFIX), scratch)
+    both = array.where(F.col("kind") == REPEAT).unionByName(extended.where(F.col("kind") == REPEAT))
+    found = both.select("rid", F.col("s").cast("long").alias("start"), (F.col("s") + F.col("m") - 1 + min_words).cast("long").alias("stop"), "ref", F.col("ref_s").cast("long").alias("ref_start"))
+    ordered = found.repartition("rid").sortWithinPartitions("rid", "start", F.desc("stop"), "ref", "ref_start")
+    return scratch.keep(ordered.mapInArrow(lean(_merge), "rid long, start long, stop long, ref long, ref_start long"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:

@@ -61,6 +61,11 @@ def grams(hashes: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
     return mix(_spans(hashes, first, first + n, _WORD))
 
 
+def spans(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of word ranges of any length."""
+    return mix(_spans(hashes, first, stop, _WORD))
+
+
 def sliding(op, values: np.ndarray, n: int) -> np.ndarray:
     """op (np.minimum, np.maximum) over every n consecutive values, in log n steps."""
     width = 1
