@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tickloom.llm import decontam
@@ -13,6 +15,7 @@ DOCS = [
     (5, "nothing here", "y"),
     (None, "É1 x é1 X and é1 x", "z"),
     (7, "word " * 30000 + ITEM, "z"),
+    (8, "a text with no id in it", "z"),
 ]
 
 
@@ -25,10 +28,9 @@ def tables(spark):
 def test_matches_brute_force(tables):
     rows = decontam.scan(*tables).collect()
     assert len(rows) == len(DOCS)
-    items = {k: t for k, t in ITEMS if k is not None}
-    want = decontam.brute_force({i: t for i, (_, t, _) in enumerate(DOCS)}, items)
+    want = decontam.brute_force({i: t for i, (_, t, _) in enumerate(DOCS)}, dict(ITEMS))
     got = sorted((r.n_words, r.n_hit, r.item_ids) for r in rows)
-    assert got == sorted(want.values())
+    assert got == sorted(want.values()) and (7, 2, []) in got
 
 
 def test_spans_point_into_the_original(tables):
@@ -46,6 +48,21 @@ def test_blocks_of_items_give_the_same(tables):
     assert [r.items_sha256 for r in one if r.doc_id == 2] == [decontam.sha_of(["2"])]
 
 
+def test_fifty_blocks_against_brute_force(spark):
+    draw = random.Random(4)
+    text = lambda n: " ".join(draw.choices("abcdefgh", k=n))
+    items = {i: text(draw.choice([2, 3, 5, 9, 12, 30])) for i in range(200)}
+    texts = {i: text(draw.randrange(60)) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    table = spark.createDataFrame([*items.items(), (None, "a b a b a")], "item_id long, text string")
+    size = sum(len(t) for t in items.values()) + 9
+    found = decontam.scan(docs, table, block_bytes=-(-size * 10 // 50), spans=False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the blocks' hits are written by then, each by its own job
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in found.collect()}
+    assert got == decontam.brute_force(texts, items | {None: "a b a b a"})
+
+
 def test_clean_keeps_columns(tables):
     left = decontam.clean(*tables)
     assert left.columns == tables[0].columns
