@@ -94,10 +94,10 @@ def test_held_out_accuracy(spark):
 
 def test_every_window_is_scored():
     draw = random.Random(9)
-    texts = [" ".join(draw.choices(GOOD + BAD, k=n)) for n in (0, 1, 23, 24, 25, 40, 300)]
+    texts = [" ".join(draw.choices(GOOD + BAD, k=n)) for n in (0, 1, 11, 12, 13, 40, 300)]
     text = toxicity.Text(texts)
     net = toxicity.Network(text.hashes[::2], np.zeros(len(text.hashes[::2]), np.float32))
-    alone = [[" ".join(w[i : i + 24]) for i in range(max(len(w) - 23, 1))] for w in map(str.split, texts)]
+    alone = [[" ".join(w[i : i + toxicity.WINDOW]) for i in range(max(len(w) - toxicity.WINDOW + 1, 1))] for w in map(str.split, texts)]
     want = [net.highest(toxicity.Text(x), len(x)).max() for x in alone]
     for lanes in (7, 1024):
         assert net.highest(text, len(texts), lanes).tolist() == pytest.approx(want, abs=1e-5)

@@ -36,7 +36,8 @@ from pyspark.sql.types import StructType
 from .common import lean
 from .wordhash import words
 
-WINDOW, STRIDE = 24, 12
+#: Words of a window, and the step between windows to train on; scoring steps by one word.
+WINDOW, STRIDE = 12, 6
 UNITS, WORD_DIM, CHAR_DIM, TRIGRAMS = 8, 8, 8, 4096
 _FOLD = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
