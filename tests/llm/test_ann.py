@@ -73,3 +73,32 @@ def test_probes_answer_every_query_in_one_part(spark, monkeypatch):
     want = ann.brute_force({i: v for i, v, _ in rows}, list(got), 20)
     assert set(got) == set(range(0, 5000, 20))
     assert sum(len({i for _, i, _ in got[q]} & set(want[q])) for q in got) / (20 * len(got)) >= 0.9
+
+
+def test_mixed_lengths_and_no_usable_query(spark):
+    x = vectors(200, dim=16, seed=2)
+    rows = [(i, v.tolist()[:8] if i % 20 == 0 and i else v.tolist(), "a") for i, v in enumerate(x)]
+    got = run(spark, rows)
+    assert set(got) == {0}
+    assert [i for _, i, _ in got[0]] == ann.brute_force({i: v for i, v, _ in rows if len(v) == 16}, [0])[0][:5]
+    assert run(spark, [(i, v if i % 20 else v[:8], "a") for i, v, _ in rows]) == {}
+
+
+def test_exact_where_the_trial_fails(spark):
+    rows = [(i, v.tolist(), "a") for i, v in enumerate(vectors(400, seed=8))]
+    rows += [(400 + i, rows[i][1], "b") for i in range(30)]
+    got = run(spark, rows, k=20, tables=1, width=0.01, most_probes=1)
+    want = ann.brute_force({i: v for i, v, _ in rows}, list(got), 20)
+    assert {q: [i for _, i, _ in f] for q, f in got.items()} == want
+
+
+def test_exact_in_blocks(spark):
+    x = vectors(500, seed=6)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "p long, v array<double>")
+    queries = points.where("p % 7 = 0").withColumnRenamed("p", "q").select("q", "v")
+    scratch = ann.Scratch(spark, "test")
+    found = ann._best(ann._exact(points, queries, 16, 6, 4, scratch, query_bytes=10 * 128), 5).collect()
+    assert scratch.n == 8
+    want = ann.brute_force({i: v.tolist() for i, v in enumerate(x)}, list(range(0, 500, 7)), 5)
+    for q in want:
+        assert [r.p for r in sorted((r for r in found if r.q == q), key=lambda r: (-r.score, r.p))][1:] == want[q]

@@ -17,11 +17,13 @@ part fits in memory; a query meets a part once, with all its probes there, and l
 pair of a query and a candidate is ever a row. A bucket of more points than a quarter part is split by point and
 visited in all its splits. Equal vectors are one point that carries its ``k + 1`` smallest ids, which is all
 that any ranking can use, so a vector that repeats for a third of all rows costs one point. A query whose probes
-find fewer than ``k`` rows is looked up against all points, in blocks of queries.
+find fewer than ``k`` rows is looked up against all points, in blocks of queries; so is every query if the trial
+shows that even the coarsest hash doesn't find ``aim`` of the neighbours.
 
-Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part; null ids take no part; an id that repeats with different vectors stands for each; ties in score go
-to the smaller id; a table with k or fewer other rows gives all of them; extra columns are not looked at.
+Defined cases: vectors (of rows and queries) that are null, zero, of another length than most rows have, or hold
+null or non-finite components take no part; null ids take no part; an id that repeats with different vectors stands
+for each; ties in score go to the smaller id; a table with k or fewer other rows gives all of them; no usable row or
+query gives no result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -43,13 +45,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id and v (array of double) of the rows that take part."""
+    """id and v (array of double) of the rows that can take part if their length fits."""
     v = F.col("v")
     rows = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
-    return rows.where(F.size("v") == (size.n if size else 0))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
+
+
+def length_of(rows: DataFrame) -> int:
+    """The commonest length of the vectors, the least of equals; 0 for none."""
+    most = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    return most.n if most else 0
 
 
 class Index:
@@ -58,6 +64,7 @@ class Index:
     def __init__(self, sample: np.ndarray, norm: float, rows: int, tables: int, per_bucket: float, width: float, seed: int = 3):
         draw = np.random.default_rng(seed)
         self.dim, self.norm, self.tables, self.probe_count = sample.shape[1], norm, tables, 0
+        self.enough = True
         points = self.lift(sample[:1000])
         near = np.sort(np.maximum(2 - 2 * points @ points.T, 0), axis=1)[:, 1 : 1 + max(1, min(10, len(points) - 1))]
         spread = float(np.sqrt(np.median(near))) if near.size else 1.0
@@ -83,7 +90,10 @@ class Index:
         return self.all_b[:, : self.hashes]
 
     def tune(self, asked: np.ndarray, near: list[np.ndarray], aim: float, most: int) -> None:
-        """The fewest probes, of the most hash values, that reach ``aim`` of the given neighbours of each vector."""
+        """The fewest probes, of the most hash values, that reach ``aim`` of the given neighbours of each vector.
+
+        ``enough`` tells whether any do.
+        """
         total = sum(map(len, near))
         while total:
             rank = np.full((len(asked), max(map(len, near))), most + 1)
@@ -96,7 +106,7 @@ class Index:
             ranks = np.sort(np.concatenate([r[: len(f)] for r, f in zip(rank, near, strict=True)]))
             needed = int(ranks[min(int(np.ceil(aim * total)), total) - 1])
             if needed <= most or self.hashes == 1:
-                self.probe_count = min(needed, most)
+                self.probe_count, self.enough = min(needed, most), needed <= most
                 return
             self.hashes -= 1
 
@@ -162,7 +172,7 @@ class Index:
 
 
 def fit(
-    points: DataFrame, k: int, tables: int, per_bucket: float, width: float, sample: int, trial: int, aim: float, most_probes: int, block: int
+    points: DataFrame, k: int, tables: int, per_bucket: float, width: float, sample: int, trial: int, aim: float, most_probes: int, block: int, scratch: Scratch
 ) -> Index | None:
     """An index for points (p, v, ids); the sample is about ``sample`` rows with the smallest hash."""
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
@@ -175,7 +185,7 @@ def fit(
     index = Index(np.array([v for _, v in chosen]), stats.u, stats.n, tables, per_bucket, width)
     tried = chosen[:: max(len(chosen) // trial, 1)][:trial]
     asked = points.sparkSession.createDataFrame(tried, "q long, v array<double>")
-    true = _best(_exact(points, asked, index.dim, k + 1, block), k).where("q <> p")
+    true = _best(_exact(points, asked, index.dim, k + 1, block, scratch), k).where("q <> p")
     near: dict[int, list] = {q: [] for q, _ in tried}
     for r in true.join(points.select("p", "v"), "p").select("q", "v").collect():
         near[r.q].append(r.v)
@@ -190,15 +200,19 @@ def search(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` nearest found; ``queries`` are rows of the same kind."""
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ann")
-    asked = usable(queries, vec_id, embedding).distinct()
+    taken = usable(rows, vec_id, embedding)
+    same = F.size("v") == length_of(taken)
+    asked = usable(queries, vec_id, embedding).where(same).distinct()
     # Equal vectors: one point with its smallest ids. The rank limit works on each task's rows before they move.
     order = Window.partitionBy("v").orderBy("id")
-    first = usable(rows, vec_id, embedding).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    first = taken.where(same).distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     points = scratch.keep(first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("p"), "v", "ids"))
     queries = scratch.keep(asked.groupBy("v").agg(F.min("id").alias("q")).select("q", "v"))
-    index = fit(points, k, tables, per_bucket, width, sample, trial, aim, most_probes, block)
+    index = fit(points, k, tables, per_bucket, width, sample, trial, aim, most_probes, block, scratch)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not index.enough:
+        return _expand(_best(_exact(points, queries, index.dim, k + 1, block, scratch), k), points, queries, asked, k)
     dim, point_bytes = index.dim, 8 * index.dim + 16
     n_points, n_queries = points.count(), queries.count()
     shared = spark.sparkContext.broadcast(index)
@@ -277,11 +291,9 @@ def search(
                     continue
                 candidate = candidate[:, seen]
                 score = np.where(candidate, q @ v[seen].T, -np.inf)
-                most = min(k + 1, len(seen))
-                top = np.argpartition(-score, most - 1, axis=1)[:, :most]
-                row = np.repeat(np.arange(len(q)), most)
-                keep = candidate[row, top.ravel()]
-                row, col = row[keep], seen[top.ravel()[keep]]
+                row, col = _top(score, k + 1)
+                keep = candidate[row, col]
+                row, col = row[keep], seen[col[keep]]
                 exact = np.einsum("ij,ij->i", q[row], v[col])
                 out.append(pa.Table.from_arrays([some["q"].combine_chunks().take(pa.array(row)), pa.array(p[col]), pa.array(exact)], names=names))
         return pa.concat_tables(out) if out else pa.table({"q": pa.array([], pa.int64()), "p": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -293,7 +305,7 @@ def search(
     # Exact for what the probes left short of k rows.
     counted = best.join(points.select("p", F.size("ids").alias("n")), "p").groupBy("q").agg(F.sum("n").alias("n"))
     short = scratch.keep(queries.join(counted.where(F.col("n") > k), "q", "left_anti"))
-    exact = _best(_exact(points, short, dim, k + 1, block), k)
+    exact = _best(_exact(points, short, dim, k + 1, block, scratch), k)
     every = best.join(short.select("q"), "q", "left_anti").unionByName(exact)
     return _expand(every, points, queries, asked, k)
 
@@ -304,29 +316,42 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")
 
 
-def _exact(points: DataFrame, queries: DataFrame, dim: int, most: int, block: int) -> DataFrame:
-    """Scores of the ``most`` best points of each query in each task: query blocks against all points."""
-    spark, out = points.sparkSession, None
-    ids = [r.q for r in queries.select("q").orderBy("q").limit(block).collect()]
+def _top(score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``most`` highest scores of each row, with all that tie with the last of them."""
+    edge = np.partition(score, -most, axis=1)[:, -most] if score.shape[1] > most else score.min(axis=1, initial=np.inf)
+    return np.nonzero(score >= (edge - 1e-9 * np.abs(edge))[:, None])
+
+
+def _exact(points: DataFrame, queries: DataFrame, dim: int, most: int, block: int, scratch: Scratch, query_bytes: int = 4 << 20) -> DataFrame:
+    """Scores of the ``most`` best points of each query in each task: query blocks against all points.
+
+    A job for every ``query_bytes`` of query vectors, whose result is written; a task keeps ``most`` points a query.
+    """
+    spark, out, size = points.sparkSession, None, max(query_bytes // (8 * dim), 1)
+    ids = [r.q for r in queries.select("q").orderBy("q").limit(size).collect()]
     while ids:
         part = sorted((r.q, r.v) for r in queries.where(F.col("q").between(ids[0], ids[-1])).collect())
         shared = spark.sparkContext.broadcast((np.array([q for q, _ in part]), np.array([v for _, v in part])))
 
         def against(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, vectors = shared.value
+            row, p, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for batch in batches:
-                if batch.num_rows:
-                    p = batch.column(0).to_numpy()
-                    v = _matrix(batch.column(1), dim)
-                    width = min(most, len(p))
-                    top = np.argpartition(-(vectors @ v.T), width - 1, axis=1)[:, :width].ravel()
-                    row = np.repeat(np.arange(len(names)), width)
-                    score = np.einsum("ij,ij->i", vectors[row], v[top])
-                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(p[top]), pa.array(score)], names=["q", "p", "score"])
-
-        scores = points.select("p", "v").mapInArrow(against, "q long, p long, score double")
+                found, v, new = [(row, p, score)], _matrix(batch.column(1), dim), batch.column(0).to_numpy()
+                for i in range(0, len(names) if len(new) else 0, block):
+                    r, c = _top(vectors[i : i + block] @ v.T, most)
+                    found.append((r + i, new[c], np.einsum("ij,ij->i", vectors[r + i], v[c])))
+                row, p, score = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((p, -score, row))
+                row, p, score = row[order], p[order], score[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < most
+                row, p, score = row[keep], p[keep], score[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(p), pa.array(score)], names=["q", "p", "score"])
+
+        scores = scratch.keep(points.select("p", "v").mapInArrow(against, "q long, p long, score double"))
+        shared.destroy()
         out = scores if out is None else out.unionByName(scores)
-        ids = [r.q for r in queries.select("q").where(F.col("q") > ids[-1]).orderBy("q").limit(block).collect()]
+        ids = [r.q for r in queries.select("q").where(F.col("q") > ids[-1]).orderBy("q").limit(size).collect()]
     return out if out is not None else spark.createDataFrame([], "q long, p long, score double")
 
 
