@@ -1,51 +1,92 @@
 import zlib
 from collections import Counter
+from itertools import groupby
+
+import pyarrow.parquet as pq
+import pytest
 
 from tickloom.llm import sharding
 
 ROWS = [(i % 50, f"text {i}" if i % 7 else None, i) for i in range(400)] + [(None, "", 1)] * 5 + [(7, "hot", 2)] * 300
 
 
-def frame(spark):
-    return spark.createDataFrame(ROWS, "doc_id long, text string, shard int")
+def frame(spark, rows=ROWS):
+    return spark.createDataFrame(rows, "doc_id long, text string, shard int")
+
+
+def placed(spark, docs, path, **options):
+    sharding.write(docs, str(path), **options)
+    return sharding.read(spark, str(path), docs.schema)
+
 
+def check_law(rows, shards):
+    counts = Counter(r.shard for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1 and len(counts) == min(shards, len(rows))
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((p % shards, p // shards) for p in range(len(rows)))
 
-def test_counts_slots_and_records(spark):
-    got = sharding.digest(sharding.assign(frame(spark))).collect()
-    counts = Counter(r.shard for r in got)
-    assert len(got) == len(ROWS) and max(counts.values()) - min(counts.values()) <= 1
-    for s, n in counts.items():
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+
+def test_counts_slots_and_records(spark, tmp_path):
+    got = sharding.digest(placed(spark, frame(spark), tmp_path / "out")).collect()
+    check_law(got, 16)
     want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in ROWS)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
 
 
-def test_buckets_are_shuffled_and_stable(spark):
-    keys = spark.range(2000).withColumnRenamed("id", "doc_id")
-    one = sorted(map(tuple, sharding.two_pass_shuffle(keys, ["doc_id"], 3, 5).collect()))
-    two = sorted(map(tuple, sharding.two_pass_shuffle(keys.orderBy(keys.doc_id.desc()), ["doc_id"], 3, 5).collect()))
-    assert one == two
-    first = [row.doc_id for bucket, _, row in one if bucket == 0]
-    assert first != sorted(first)
-    assert sorted(r.doc_id for _, _, r in one) == list(range(2000))
-    assert max(Counter(b for b, _, _ in one).values()) < 2 * 2000 / 5
+def test_whole_records_are_written_in_order(spark, tmp_path):
+    got = placed(spark, frame(spark), tmp_path / "out", shards=4, bucket_bytes=2000, task_bytes=4000).collect()
+    check_law(got, 4)
+    assert Counter((r.record.doc_id, r.record.text, r.record.shard) for r in got) == Counter(ROWS)
+    files = list((tmp_path / "out").glob("shard=*/*.parquet"))
+    assert {f.parent.name for f in files} == {f"shard={i}" for i in range(4)}
+    for f in files:
+        slots = pq.ParquetFile(f).read(["slot"])["slot"].to_pylist()
+        assert slots == sorted(slots)
+
+
+@pytest.mark.parametrize("bucket_bytes", [1500, 8 << 20])
+def test_order_follows_from_seed_and_records_alone(spark, tmp_path, bucket_bytes):
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for k, (parts, seed) in enumerate([("4", 7), ("9", 7), ("4", 8)]):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        docs = frame(spark, ROWS[::-1] if k == 1 else ROWS).repartition(2 + 3 * k)
+        rows = placed(spark, docs, tmp_path / str(k), seed=seed, bucket_bytes=bucket_bytes).collect()
+        found.append(sorted((r.shard, r.slot, *map(str, r.record)) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] != found[2]
 
 
-def test_shards_are_written_in_order(spark, tmp_path):
-    sharding.write(frame(spark), str(tmp_path / "out"), shards=4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((d, t) for d, t, _ in ROWS)
+def test_buckets_are_two_passes(spark):
+    """Against a plain second pass: each bucket's records, and places in the order of buckets."""
+    scratch = sharding.Scratch(spark, "test")
+    docs = frame(spark)
+    rows, counts, buckets, _ = sharding.scattered(docs, scratch, bucket_bytes=3000, least=2)
+    home = {(r.key, r.copy): r.bucket for r in rows.collect()}
+    content = {b: Counter(tuple(r.record) for r in rs) for b, rs in groupby(sorted(rows.collect(), key=lambda r: r.bucket), key=lambda r: r.bucket)}
+    assert buckets > 5 and sum(map(Counter.total, content.values())) == len(ROWS)
+    assert {r.bucket: r.n for r in counts.collect()} == {b: c.total() for b, c in content.items()}
+    starts, at = {}, 0
+    for b in sorted(content):
+        starts[b], at = at, at + content[b].total()
+    assert {r.bucket: r.offset for r in sharding.offsets(counts, group=3).collect()} == starts
+    assert max(c[(7, "hot", 2)] for c in content.values()) < 300  # copies are spread
+    made = sorted(sharding.shuffled(docs, scratch, 5, bucket_bytes=3000).collect(), key=lambda r: r.slot * 5 + r.shard)
+    order = [tuple(r.record) for r in made]
+    assert Counter(order) == Counter(ROWS) and order != sorted(order, key=str) and len(home) > 100
 
 
-def test_a_hot_record_and_a_long_text(spark):
+def test_a_hot_record_and_a_long_text(spark, tmp_path):
     rows = [(1, "same", 0)] * 25_000 + [(2, "x" * 2_000_000, 0)] + [(i, f"t{i}", 0) for i in range(3, 1000)]
-    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, bucket int"), shards=7)
-    counts = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
-    assert sum(counts.values()) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
-    assert [r["size"] for r in got.where("doc_id = 2").collect()] == [2_000_001]
-    hot = {r.shard: r["count"] for r in got.where("doc_id = 1").groupBy("shard").count().collect()}
+    got = placed(spark, spark.createDataFrame(rows, "doc_id long, text string, bucket int"), tmp_path / "out", shards=7, bucket_bytes=1 << 16)
+    sizes = {r.shard: r["count"] for r in got.groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert [r["size"] for r in sharding.digest(got).where("doc_id = 2").collect()] == [2_000_001]
+    hot = {r.shard: r["count"] for r in got.where("record.doc_id = 1").groupBy("shard").count().collect()}
     assert min(hot.values()) > 0.8 * 25_000 / 7
 
 
-def test_empty(spark):
-    assert sharding.assign(frame(spark).limit(0)).count() == 0
+def test_clashing_names_and_empty(spark, tmp_path):
+    rows = [(i, f"t{i}", i, "a", 1, 2, 3, 4) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int, record string, slot int, key long, copy long, bucket long")
+    got = placed(spark, docs, tmp_path / "out").collect()
+    assert sorted(tuple(r.record) for r in got) == rows
+    assert placed(spark, docs.limit(0), tmp_path / "none").count() == 0

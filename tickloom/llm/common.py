@@ -43,22 +43,41 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written intermediate tables. They cut lineage, so a lost executor costs at most one step's tasks."""
+    """Written intermediate tables. They cut lineage, so a lost executor costs at most one step's tasks.
+
+    What isn't dropped before is deleted when the application ends: results read from it until then.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
+    def _at(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def folder(self) -> str:
+        """A path below the scratch folder that doesn't exist yet."""
+        if not self.n:
+            files, base = self._at(self.base)
+            files.mkdirs(base)
+            files.deleteOnExit(base)
         self.n += 1
+        return f"{self.base}/{self.n - 1}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        files, path = self._at(df.scratch_path)
+        files.delete(path, True)
+
+    def clear(self) -> None:
+        files, base = self._at(self.base)
+        files.delete(base, True)
 
 
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

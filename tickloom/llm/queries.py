@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, langid, licenses, sharding, simhash, spwfst, sql, suffixdedup, toxicity, warc
-from .common import table
+from .common import Scratch, table
 
 #: A public BPE model with byte fallback; read where it lies, by the driver.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,7 +39,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.digest(sharding.assign(table(spark, sf_dir, "documents")))
+    docs, path = table(spark, sf_dir, "documents"), Scratch(spark, "op5").folder()
+    sharding.write(docs, path)
+    return sharding.digest(sharding.read(spark, path, docs.schema))
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
