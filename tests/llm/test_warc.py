@@ -1,6 +1,12 @@
 import gzip
+import re
+import time
 from html.parser import HTMLParser
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tickloom.llm import warc
 
 PAGE = """<!DOCTYPE html><html><head><title> A &amp; B
@@ -67,3 +73,44 @@ def test_files_round_trip(spark, tmp_path):
     assert back == {bytes(r.block) + str(sorted(map(tuple, r.headers))).encode() for r in want}
     members = b"".join(gzip.compress(warc.serialised(r.headers, bytes(r.block))) for r in want[:5])
     assert [b for _, b in warc.parse(members)] == [bytes(r.block) for r in want[:5]]
+
+
+GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+PARTS = ["<a ", "<a", "<br>", "<br/", "</p", ">", "<!", "<!--", "-->", "<!x", '"', "'", " href=", "href='", 'href="x"', "x", " ", "<script>", "</script >", "<STYLE ", "</style>", "<title>", "<TITLE ", "</title>", "</ title", "\n", "<", "=", "<b ", "&amp;"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
+def test_scanning_equals_the_expressions(page):
+    assert warc._gone(page) == GONE.sub("", page)
+    found = TITLE.search(page)
+    assert warc._title(page) == (found[1] if found else None)
+    assert warc._links(page) == [a or b or c for a, b, c in LINK.findall(page)]
+    broken = warc._BREAK.sub("|", page)
+    assert warc._without(page, re.compile(warc._BREAK_HEAD, re.I), "|") == broken
+    assert warc._without(page, re.compile(warc._TAG_HEAD + "|<!"), "") == warc._TAG.sub("", page)
+
+
+@pytest.mark.parametrize("part", ["<a x ", "<a", "<title>", "<title", "<!", "<!--", "<script ", "<script>", "<br x=\"", "<a href='", "<a href=", "href ", "<p \"'", "</p", "<a 'x' \"y\" "])
+def test_malformed_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    began = time.perf_counter()
+    warc.derive_one("i", "u", "d", page.encode(), None, None)
+    assert time.perf_counter() - began < 4
+
+
+def test_what_is_no_record_is_kept_and_passed_over(spark, tmp_path):
+    good = [warc.serialised([{"name": "A", "value": str(i)}, {"name": "Content-Length", "value": "3"}], b"abc") for i in range(3)]
+    data = good[0] + b"junk\r\n" + good[1] + b"WARC/1.1\r\nContent-Length: many\r\n\r\nx\n" + good[2] + b"WARC/1.1\r\ncut"
+    rows = list(warc.parse(data))
+    assert [h[0]["value"] for h, _ in rows if h] == ["0", "1", "2"]
+    assert [b for h, b in rows if h is None] == [b"junk\r\n", b"WARC/1.1\r\nContent-Length: many\r\n\r\nx\n", b"WARC/1.1\r\ncut"]
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data)[:40])
+    back = warc.read(spark, str(tmp_path)).collect()
+    assert sorted(r.headers is None for r in back) == [False] * 3 + [True] * 4
+    empty = spark.createDataFrame([([("Content-Length", "0")], None)], "headers array<struct<name:string,value:string>>, block binary")
+    warc.write(empty, str(tmp_path / "out"))
+    assert [bytes(r.block) for r in warc.read(spark, str(tmp_path / "out/*.txt")).collect()] == [b""]

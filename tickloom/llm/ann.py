@@ -319,7 +319,7 @@ def _best(scores: DataFrame, k: int) -> DataFrame:
 def _top(score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the ``most`` highest scores of each row, with all that tie with the last of them."""
     edge = np.partition(score, -most, axis=1)[:, -most] if score.shape[1] > most else score.min(axis=1, initial=np.inf)
-    return np.nonzero(score >= (edge - 1e-9 * np.abs(edge))[:, None])
+    return np.divmod(np.flatnonzero(score >= (edge - 1e-9 * np.abs(edge))[:, None]), max(score.shape[1], 1))
 
 
 def _exact(points: DataFrame, queries: DataFrame, dim: int, most: int, block: int, scratch: Scratch, query_bytes: int = 4 << 20) -> DataFrame:

@@ -12,8 +12,8 @@ HTTP header's, else UTF-8; undecodable bytes become U+FFFD.
 
 Defined cases: a null block counts as empty; a payload that is neither HTML nor text gives no conversion; a
 missing URI, date or digest leaves its header out (digests are computed); a malformed HTTP head counts as
-payload without headers; truncated tags and references are kept as text or dropped as browsers do; repeated rows give
-equal records; a null record id gives records without WARC-Refers-To; extra columns are not looked at.
+payload without headers; tags that never end are kept as text, references are decoded as browsers do; repeated rows
+give equal records; a null record id gives records without WARC-Refers-To; extra columns are not looked at.
 
 Everything is map-only: one row in, at most two rows out.
 """
@@ -25,6 +25,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,21 +36,121 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructType
 
 from .common import lean
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 # HTML elements that begin and end a line.
 _BLOCKS = "address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr li main nav ol option p pre section table td tfoot th thead title tr ul"
-_BREAK = re.compile(rf"</?(?:{_BLOCKS.replace(' ', '|')})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.I)
-_TAG = re.compile(r"<[/!?]?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<![^>]*>")
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
+_BREAK_HEAD, _TAG_HEAD = rf"</?(?:{_BLOCKS.replace(' ', '|')})(?=[\s/>])", r"<[/!?]?[a-zA-Z]"
+_BREAK = re.compile(_BREAK_HEAD + _REST, re.I)
+_TAG = re.compile(_TAG_HEAD + _REST + "|<![^>]*>")
 _LINES = re.compile(r"\s*\n\s*")
 _SPACES = re.compile(r"[^\S\n]+")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_GONE_HEAD = re.compile(r"<!--|<(script|style|template|noscript)\b", re.I)
+_GONE_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "template", "noscript")}
+_TITLE_HEAD, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+_LINK_HEAD = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_STOPS = re.compile("[\"'>]")
+
+
+def _ends(page: str):
+    """A function that gives the place behind the tag that is open at a place, or -1: quoted parts are skipped.
+
+    Places are to be asked for in order. Every quote and bracket is looked at once, however many tags never end.
+    """
+    known: dict[int, int] = {}
+    near = (0, -1)  # where the text was last searched from, and the first stop from there
+
+    def end(at: int) -> int:
+        nonlocal near
+        if at > near[1] or at < near[0]:
+            stop = _STOPS.search(page, at)
+            near = at, stop.start() if stop else len(page)
+        at, passed = near[1], []
+        while at not in known and at < len(page):
+            passed.append(at)
+            if page[at] == ">":
+                known[at] = at + 1
+                break
+            close = page.find(page[at], at + 1)
+            stop = _STOPS.search(page, close + 1) if close >= 0 else None
+            at = stop.start() if stop else len(page)
+        found = known.get(at, -1)
+        known.update((x, found) for x in passed)
+        return found
+
+    return end
+
+
+def _without(page: str, head: re.Pattern, by: str) -> str:
+    """The page with ``by`` for every tag that begins with ``head``; <! may also go up to the next bracket."""
+    end, out, at, kept, last = _ends(page), [], 0, 0, page.rfind(">")
+    while (m := head.search(page, at)) and m.start() < last:
+        stop = end(m.end()) if m[0] != "<!" else -1
+        if stop < 0 and m[0].startswith("<!"):
+            stop = page.find(">", m.start()) + 1
+        at = m.start() + 1
+        if stop > 0:
+            out += [page[kept : m.start()], by]
+            at = kept = stop
+    return "".join([*out, page[kept:]])
+
+
+def _gone(page: str) -> str:
+    """The page without comments, scripts, styles and templates."""
+    out, at, kept = [], 0, 0
+    while m := _GONE_HEAD.search(page, at):
+        if m[1] is None:
+            stop = page.find("-->", m.end())
+            stop = stop + 3 if stop >= 0 else len(page)
+        else:
+            begin = page.find(">", m.end())
+            if begin < 0:  # no tag ends from here, only comments go
+                at = page.find("<!--", m.end())
+                if at < 0:
+                    break
+                continue
+            close = _GONE_END[m[1].lower()].search(page, begin + 1)
+            stop = close.end() if close else len(page)
+        out.append(page[kept : m.start()])
+        at = kept = stop
+    return "".join([*out, page[kept:]])
+
+
+def _title(page: str) -> str | None:
+    """What stands in the first title element that ends."""
+    head = _TITLE_HEAD.search(page)
+    begin = page.find(">", head.end()) if head else -1
+    close = _TITLE_END.search(page, begin + 1) if begin >= 0 else None
+    return page[begin + 1 : close.start()] if close else None
+
+
+def _links(page: str) -> list[str]:
+    """The href of every link, in order."""
+    out, at, bracket = [], 0, -1
+    href = _HREF.search(page)
+    while href and (head := _LINK_HEAD.search(page, at)):
+        if href.start() < head.end():
+            href = _HREF.search(page, head.end())
+            continue
+        if bracket < head.end() and bracket < len(page):
+            bracket = page.find(">", head.end())
+            bracket = len(page) if bracket < 0 else bracket
+        if href.start() < bracket:
+            out.append(href[1] or href[2] or href[3] or "")
+            at = href.end()
+        else:
+            at = head.end()
+    return out
 
 
 def text_of(page: str) -> str:
-    """Plain text of an HTML page."""
-    page = _BREAK.sub("\n", _SPACES.sub(" ", _GONE.sub("", page).replace("\n", " ")))
-    text = html.unescape(_TAG.sub("", page)).replace("\xa0", " ")
+    """Plain text of an HTML page, in time that is linear in the page's length."""
+    page = _SPACES.sub(" ", _gone(page).replace("\n", " "))
+    if page.count("<") * len(page) <= 1 << 24:  # the same by two expressions: what they may look at again is bounded
+        page = _TAG.sub("", _BREAK.sub("\n", page))
+    else:
+        page = _without(_without(page, re.compile(_BREAK_HEAD, re.I), "\n"), re.compile(_TAG_HEAD + "|<!"), "")
+    text = html.unescape(page).replace("\xa0", " ")
     return _LINES.sub("\n", _SPACES.sub(" ", text)).strip()
 
 
@@ -87,9 +188,8 @@ def derive_one(source: str | None, uri: str | None, date: str | None, block: byt
     fields = [("source-record-id", source), ("source-date", date), ("source-block-digest", own["block"]), ("source-payload-digest", own["payload"]), ("http-status", status)]
     fields += [(f"http-header-{k.lower()}", v) for k, v in headers]
     if is_html:
-        title = _TITLE.search(body)
-        fields.append(("title", " ".join(html.unescape(title[1]).split()) if title else None))
-        fields += [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in _LINK.findall(_GONE.sub("", body))]
+        fields.append(("title", " ".join(html.unescape(_title(body) or "").split())))
+        fields += [("outlink", " ".join(html.unescape(x).split())) for x in _links(_gone(body))]
     metadata = "".join(f"{k}: {v}\r\n" for k, v in fields if v).encode()
     out = [("metadata", "application/warc-fields", metadata)]
     if is_html or media.startswith("text/"):
@@ -160,33 +260,48 @@ def serialised(headers: list, block: bytes) -> bytes:
 def write(records: DataFrame, path: str, records_per_file: int = 100_000) -> None:
     """WARC files under a folder, by Spark's text writer: the two line ends behind a record are its separator.
 
-    Blocks are text (derived records are); files are bounded by their number of records and not compressed.
+    Blocks are text (derived records are), a null one is empty; files are bounded by their number of records and not
+    compressed.
     """
     head = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"], F.lit("\r\n"))), "")
-    line = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), F.col("block").cast("string"))
+    line = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), F.coalesce(F.col("block").cast("string"), F.lit("")))
     records.select(line.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[list[dict], bytes]]:
-    """Headers and block of every record in a file's bytes, plain or in gzip members."""
+def parse(data: bytes) -> Iterator[tuple[list[dict] | None, bytes]]:
+    """Headers and block of every record in a file's bytes, plain or in gzip members.
+
+    Bytes that are no record, up to the next one that begins a line, come as a block without headers (None).
+    """
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        try:
+            data = gzip.decompress(data)
+        except (OSError, EOFError, zlib.error):
+            yield None, data
+            return
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
+        end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if end >= 0 else []
         headers = [{"name": k.strip(), "value": v.strip()} for k, _, v in (x.partition(":") for x in lines)]
-        size = next((int(h["value"]) for h in headers if h["name"].lower() == "content-length"), 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        size = next((h["value"] for h in headers if h["name"].lower() == "content-length"), "0")
+        if end < 0 or not re.fullmatch("[0-9]{1,18}", size) or end + 4 + int(size) > len(data):
+            stop = data.find(b"\nWARC/", at)
+            stop = len(data) if stop < 0 else stop + 1
+            yield None, data[at:stop]
+            at = stop
+            continue
+        at = end + 4 + int(size)
+        yield headers, data[end + 4 : at]
         while data[at : at + 2] == b"\r\n":
             at += 2
 
 
 def read(spark, path: str) -> DataFrame:
-    """Records (headers, block) of the WARC files under a path; a file is one task's, so files are to be bounded."""
+    """Records (headers, block) of the WARC files under a path; a file is one task's, so files are to be bounded.
+
+    What is no record in a file is a row with null headers; the records around it are read all the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
