@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -76,7 +77,16 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.classes(docs).collect())
     assert got == [(-1, 3), (-1, 3), (-1, 9), (3, 3), (3, 3), (9, 9)]
     assert simhash.classes(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [3, 3, 9]
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == [3, 9]
+    lone = spark.createDataFrame([(None, "a b c d e", 1), (None, "f g h i j", 2), (4, "k l m", 3), (4, "n o p", 4)], "doc_id long, text string, rid int")
+    assert sorted(r.rid for r in simhash.representatives(lone).collect()) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("points", [10, 10**6, 10**8, 10**10])
+def test_first_grid_follows_the_number_of_points(points):
+    groups = simhash.groups_for(points, 4)
+    assert 6 <= groups <= 12 and len(simhash._grids(0, 4, points)) == math.comb(groups, 4)
+    assert groups == 12 or points / (8 / 3) ** (32 * (groups - 4) / groups) <= 32
 
 
 def test_long_text_in_blocks():

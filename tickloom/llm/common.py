@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: A-Z to a-z over UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -80,6 +82,22 @@ class Scratch:
         files.delete(base, True)
 
 
+def numbered(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """rid (unique long, in the order of doc_id), doc_id, text, and the row's other columns as a struct.
+
+    A unique integer id is its own number; otherwise rows are numbered in the order of id (null ids last) and of the
+    text's hash. Rows equal in both are dealt to as many ranges as they fill.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
+    if rows.schema["doc_id"].dataType == LongType():
+        ids = docs.select(F.col(doc_id).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+        if not ids.where("n > 1 or i is null").limit(1).count():
+            return rows.withColumn("rid", F.col("doc_id"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("turn")]
+    ranged = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return scratch.keep(ranged.drop("turn").withColumn("rid", F.monotonically_increasing_id()))
+
+
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column whose texts hold about ``limit`` bytes together (one row at least)."""
     ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64))

@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from . import ann, decontam, langid, licenses, sharding, simhash, spwfst, sql, suffixdedup, toxicity, warc
 from .common import Scratch, table
 
-#: A public BPE model with byte fallback; read where it lies, by the driver.
+#: A public BPE model with byte fallback, unless the session's setting spark.tickloom.tokenizer names another file.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def tokenizer(spark: SparkSession) -> bytes:
+    """The model file's bytes, read where it lies, by the driver."""
+    with open(spark.conf.get("spark.tickloom.tokenizer", TOKENIZER), "rb") as f:
+        return f.read()
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses_of(table(spark, sf_dir, "pages")), keep=["page_id"])
     names = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "refers_to_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "target_uri": "WARC-Target-URI", "content_type": "Content-Type", "content_length": "Content-Length", "block_digest": "WARC-Block-Digest"}
@@ -22,8 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(TOKENIZER, "rb") as f:
-        return spwfst.encode(table(spark, sf_dir, "documents"), f.read(), round_trip=True)
+    return spwfst.encode(table(spark, sf_dir, "documents"), tokenizer(spark), round_trip=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

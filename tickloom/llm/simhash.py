@@ -6,13 +6,15 @@ Join at ``bits`` or fewer differing bits, without all pairs and without losing a
 1. Embedding. The 64 bits are cut into 32 segments of two; a fingerprint is mapped to its 32 bit counts. The
    Manhattan distance of two such points is a lower bound of the Hamming distance. Counts are kept in unary
    (00, 01, 11), so the Manhattan distance is a popcount of an exclusive or.
-2. Grid. The 32 coordinates lie in eight groups of four. Points within Manhattan distance t differ in at most t
-   groups, so they share a cell of at least one grid over 8 - t of the groups; each point enters one cell of
-   each of these C(8, t) grids, which is the range join with radius t.
+2. Grid. The 32 coordinates lie in G groups. Points within Manhattan distance t differ in at most t groups, so they
+   share a cell of at least one grid over G - t of the groups; each point enters one cell of each of these
+   C(G, t) grids, which is the range join with radius t. G follows from the number of points, so that a cell holds
+   few of them: 6 groups (15 cells a point) up to some 10**6 points, 7 (35 cells) up to 10**7, and so on.
 3. In a cell, the Manhattan bound filters and the exact Hamming distance decides. What leaves a cell is a link
    from each point to the smallest of its component in the cell: at most one row per point, never all pairs.
 4. A cell of over ``cell_rows`` points isn't gathered: its points go to a finer grid over the bits themselves
-   (segments of one bit, whose count is the bit), and so on to the finest, exactly as complete as the first.
+   (segments of one bit, whose count is the bit), and so on to the finest, exactly as complete as the first. A cell
+   of the finest leaves at most 24 bits open for 4 differing bits, so it holds 2**24 distinct points (128 MB) at most.
 
 Copies of one text share a fingerprint and are one point. Components are joined in ``components``.
 """
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from .common import LOWER, Scratch, lean, raw
+from .common import LOWER, Scratch, lean, numbered, raw
 from .components import components
 
 _FIVES = 0x5555555555555555
@@ -141,9 +143,20 @@ def _join(bits: int, cell_rows: int):
     return run
 
 
-def _grids(level: int, bits: int) -> list[int]:
+def groups_for(points: int, bits: int, per_cell: int = 32) -> int:
+    """Groups of the first grid: the fewest whose cells hold about ``per_cell`` points if fingerprints are random.
+
+    The count of a two-bit segment is worth log2(8 / 3) bits: two of them agree with odds of 3 / 8.
+    """
+    groups = bits + 2
+    while groups < bits + 8 and points / (8 / 3) ** (32 * (groups - bits) / groups) > per_cell:
+        groups += 1
+    return groups
+
+
+def _grids(level: int, bits: int, points: int) -> list[int]:
     """Masks whose cells hold every pair within ``bits``: the unary counts at level 0, then the bits themselves."""
-    groups = max([8, 7, 11][level], bits + 1 + level)
+    groups = groups_for(points, bits) if level == 0 else max([7, 11][level - 1], bits + 1 + level)
     width = [64 * i // groups for i in range(groups + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(width, width[1:], strict=False)]
     return [sum(x) for x in combinations(masks, groups - bits)]
@@ -155,11 +168,11 @@ def links(points: DataFrame, scratch: Scratch, bits: int = 4, cell_rows: int = 4
     low = F.col("fp").bitwiseAND(F.lit(_FIVES))
     high = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(_FIVES))
     unary = low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    out, parts = None, int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    out, parts, n = None, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), points.count()
     for level in range(3):
         points = points.repartition(parts, "fp")
         point = unary if level == 0 else F.col("fp")
-        cells = [F.xxhash64(F.lit(i), point.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(_grids(level, bits))]
+        cells = [F.xxhash64(F.lit(i), point.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(_grids(level, bits, n))]
         keyed = points.select(F.explode(F.array(*cells)).alias("key"), "fp")
         keyed = keyed.repartition("key").sortWithinPartitions("key")
         last = level == 2
@@ -193,10 +206,17 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, bits: int = 4, seed: int = 42) -> DataFrame:
-    """The documents whose id names their component, with all columns: one per group. Rows that repeat that id stay."""
-    chosen = classes(docs, doc_id, text, words, bits, seed).select("doc_id", "component_id").where("doc_id <=> component_id")
-    chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(chosen.hint("merge"), docs[doc_id].eqNullSafe(chosen["__id"]), "left_semi")
+    """One row of every group of linked fingerprints, with all columns: the one with the least id.
+
+    Rows are told apart by their number in the order of ids (null ids last), so of rows that share an id, or have none,
+    one of each group stays.
+    """
+    scratch = Scratch(docs.sparkSession, "representatives")
+    rows = numbered(docs, doc_id, text, scratch)
+    found = classes(rows.select("rid", "text"), "rid", "text", words, bits, seed)
+    chosen = scratch.keep(found.where("doc_id = component_id").select(F.col("doc_id").alias("rid")))
+    kept = rows.join(chosen.hint("merge"), "rid", "left_semi")
+    return kept.select(*[F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def brute_force(texts: dict, words: int = 4, bits: int = 4, seed: int = 42) -> dict:

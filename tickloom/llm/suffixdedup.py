@@ -37,28 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import Scratch, lean, raw, slices
+from .common import Scratch, lean, numbered, raw, slices
 from .wordhash import grams, mix, sliding, spans, words
 
 GRAM = 8
 
 
-def numbered(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
-    """rid (unique long, in the order of doc_id), doc_id, text, and the row's other columns as a struct.
-
-    A unique integer id is its own number; otherwise rows are numbered in the order of id and text. Rows equal in both
-    are dealt to as many ranges as they fill.
-    """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
-    if rows.schema["doc_id"].dataType == LongType():
-        ids = docs.select(F.col(doc_id).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
-        if not ids.where("n > 1 or i is null").limit(1).count():
-            return rows.withColumn("rid", F.col("doc_id"))
-    order = ["doc_id", F.xxhash64("text"), "turn"]
-    ranged = rows.withColumn("turn", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
-    return scratch.keep(ranged.drop("turn").withColumn("rid", F.monotonically_increasing_id()))
-
-
 def blocks(hashes: np.ndarray, owner: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the windows of ``min_words`` that lie in one document: their words, first windows and window counts."""
     window = min_words // 2
