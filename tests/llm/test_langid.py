@@ -49,6 +49,27 @@ def test_copies_are_drawn_once(spark):
     assert langid.fit(docs, sample_rows=10).languages == ["de", "en"]
 
 
+def test_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    rows = [(f"{EN} {i % 700}{'x' * (i % 700)}", "en") for i in range(6000)] + [(EN, "en")] * 3000 + [(DE + "z" * i, "de") for i in range(900)]
+    docs, seen = spark.createDataFrame(rows, "text string, lang string"), []
+    plain = langid.normalise
+    monkeypatch.setattr(langid, "normalise", lambda t: seen.append(t) or plain(t))
+    assert langid.fit(docs, sample_rows=50).languages == ["de", "en"]
+    assert 60 < len(seen) <= 100
+
+
+def test_eight_scripts_are_told_apart(spark):
+    """Texts of words that the sample doesn't hold, letters of which it does."""
+    draw = random.Random(6)
+    scripts = {"ar": 0x627, "el": 0x3B1, "en": 0x61, "he": 0x5D0, "hi": 0x905, "ko": 0xAC00, "ru": 0x430, "zh": 0x4E00}
+    word = lambda k: "".join(chr(scripts[k] + draw.randrange(600 if k in ("ko", "zh") else 22)) for _ in range(draw.randrange(2, 6)))
+    rows = [(i, " ".join(word(k) for _ in range(200)), k) for k in scripts for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(k, " ".join(word(k) for _ in range(60))) for k in scripts for _ in range(5)]
+    got = langid.predict(spark.createDataFrame(asked, "doc_id string, text string"), model).collect()
+    assert all(r.doc_id == r.lang_pred for r in got) and len(got) == 40
+
+
 def test_languages_and_edges(spark):
     rows = [(i, t, l, "x") for i, (t, l) in enumerate([(EN * 3, "en"), (DE * 3, "de"), (None, "en"), ("abc", None)])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")

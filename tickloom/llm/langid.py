@@ -14,7 +14,7 @@ sorts first; labelled rows with null text or null language teach nothing; with n
 text is ``und``; extra columns are not looked at. Repeated rows are each scored.
 
 The fit takes a bounded sample: up to ``chars`` normalised characters of each language, up to ``piece`` of them
-from each of about ``sample_rows`` distinct texts drawn by hash, for every labelled language. Scoring is map-only
+from each of at most ``sample_rows`` distinct texts drawn by hash, for every labelled language. Scoring is map-only
 over all rows, with the automata broadcast: 8 bytes for each of at most ``3 * chars`` moves of a language, beside
 the gaps between them, and 4 at most for each code point.
 """
@@ -29,7 +29,7 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -177,6 +177,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", chars: int
     samples: dict[str, list[str]] = {x.l: [] for x in counted}
     if drawn:
         near = rows.where(reduce(or_, drawn)).groupBy("l", "h").agg(F.min("t").alias("t"))
+        nth = F.row_number().over(Window.partitionBy("l").orderBy(share, "h"))
+        near = near.withColumn("n", nth).where(F.col("n") <= sample_rows).drop("n")
         for r in sorted(near.collect(), key=lambda r: (r.l, r.h)):
             part = normalise(r.t)[:piece]
             if part and sum(map(len, samples[r.l])) < chars:
