@@ -150,12 +150,60 @@ def instance(**change):
     return Instance(**(base | change))
 
 
-@pytest.mark.parametrize("change", [{"name": ""}, {"own_lookback_ms": -1}, {"own_lookback_ms": True}, {"own_lookforward_ms": 3}, {"params": {"own_lookback_ms": 2}}, {"ml_policy": {"odd": 1}}, {"template": template("x", required=frozenset({"need"}))}, {"template": template("x", causal=False, target=True)}])
+@pytest.mark.parametrize("change", [{"name": ""}, {"own_lookback_ms": -1}, {"name": " "}, {"own_lookforward_ms": 3}, {"params": {"own_lookback_ms": 2}}, {"ml_policy": {"odd": 1}}, {"ml_policy": {}}, {"ml_policy": {"onehot": True}}, {"ml_policy": {"special_value": 0.0, "onehot": True, "odd": 1}}, {"template": template("x", required=frozenset({"need"}))}, {"template": template("x", causal=False, target=True)}])
 def test_invalid_instances(change):
     with pytest.raises(ValueError):
         instance(**change)
 
 
+@pytest.mark.parametrize("change", [{"own_lookback_ms": True}, {"own_lookback_ms": 1.0}, {"own_lookforward_ms": "1"}, {"ml_policy": {"special_value": None, "onehot": 1}}])
+def test_instances_of_wrong_type(change):
+    with pytest.raises(TypeError):
+        instance(**change)
+
+
+def test_horizons_of_parents_count():
+    ahead = Instance("aim", template("aim", causal=False, target=True), 0, 4000, {})
+    back = instance(name="past", own_lookback_ms=5)
+    with pytest.raises(ValueError, match="forward"):
+        instance(parents=(ahead,))
+    with pytest.raises(ValueError, match="forward"):
+        instance(name="grandchild", parents=(instance(name="child", template=template("child", causal=False), parents=(ahead,)),))
+    with pytest.raises(ValueError, match="back"):
+        Instance("late", template("late", causal=False, target=True), 0, 1, {}, (back,))
+    with pytest.raises(ValueError, match="itself"):
+        instance(parents=(instance(),))
+    assert instance(parents=(back,)).summary_lookback_ms == 6
+
+
+def test_leakage_checks(spark):
+    draw = random.Random(8)
+    rows = [("A", draw.randrange(4000), i, draw.random(), draw.randrange(9), draw.choice(["buy", "sell"])) for i in range(200)]
+    tape = spark.createDataFrame(rows, "symbol string, ms long, trade_id long, price double, quantity long, side string")
+    names = [*features.ROLLING, "price_momentum", "price_momentum_for_balance", "volume_balance"]
+    made = registry.bundle(registry.with_horizons(registry.standard().select(include=names), 700))
+    for feature in made.instances:
+        assert contract.looks_ahead(feature.rows(tape)) == [], feature.name
+    for name in ("cvd_buy", "price_momentum", "volume_balance", "trade_spread_signed"):
+        assert contract.leaks(made[name], tape, 2000).count() == 0
+    aims = registry.bundle(registry.with_horizons(registry.standard().select(targets=True), ahead_ms=700))
+    for target in aims.instances:
+        assert contract.looks_ahead(target.rows(tape))
+    assert contract.leaks(aims["sell_rise"], tape, 2000).count() > 0
+
+
+def test_column_names_are_parameters(spark):
+    rows = [("A", datetime.fromtimestamp(i / 10, UTC), i, float(i), 1 + i % 3, "buy" if i % 2 else "sell") for i in range(50)]
+    kind = "{} string, {} timestamp, {} long, {} double, {} long, {} string"
+    theirs = spark.createDataFrame(rows, kind.format("pair", "at", "id", "paid", "volume", "taker"))
+    ours = spark.createDataFrame([(s, int(t.timestamp() * 1000), *more) for s, t, *more in rows], "symbol string, ms long, trade_id long, price double, quantity long, side string")
+    names = {"symbol_column": "pair", "time_column": "at", "id_column": "id", "price_column": "paid", "quantity_column": "volume", "side_column": "taker"}
+    picked = registry.with_horizons(registry.standard().select(include=["cvd_buy"]), 700)
+    want = registry.bundle(picked)["cvd_buy"].rows(ours).select("trade_id", "cvd_buy").collect()
+    got = registry.bundle(picked, registry.Factory(shared=names))["cvd_buy"].rows(theirs).select("trade_id", "cvd_buy").collect()
+    assert sorted(got) == sorted(want)
+
+
 def test_templates_and_copies():
     with pytest.raises(ValueError):
         template("x", causal=True, target=True)
@@ -167,8 +215,8 @@ def test_guard_gives_the_same_values_for_any_batch(spark):
     draw = random.Random(6)
     rows = [("A", draw.randrange(5000), i, draw.random(), draw.randrange(9), draw.choice(["buy", "sell"])) for i in range(300)]
     tape = spark.createDataFrame(rows, "symbol string, ms long, trade_id long, price double, quantity long, side string")
-    factory = registry.Factory(horizons={n: (700, 0) for n in features.ROLLING})
-    feature = registry.bundle(registry.standard().select(include=["cvd_buy"]), factory)["cvd_buy"]
+    feature = registry.bundle(registry.with_horizons(registry.standard().select(include=["cvd_buy"]), 700))["cvd_buy"]
+    assert feature.own_lookback_ms == feature.params["own_lookback_ms"] == 700
     whole = {r.trade_id: r.cvd_buy for r in feature.rows(tape).collect()}
     parts = {r.trade_id: r.cvd_buy for a in range(0, 5000, 1000) for r in contract.guarded(feature, tape, a, a + 1000).collect()}
     assert parts == whole
@@ -176,14 +224,40 @@ def test_guard_gives_the_same_values_for_any_batch(spark):
         contract.guarded(feature, tape, 5, 5)
 
 
+def snapshot(**change):
+    base = {"name": "cvd", "version": 1, "start": datetime(2024, 1, 1, tzinfo=UTC), "end": datetime(2024, 2, 1), "kind": "time_based", "own_lookback_ms": 1800}
+    return Snapshot(**(base | change))
+
+
 def test_snapshots():
-    made = Snapshot("s", "1", ("a", "b"), {"a": "zero", "b": "null"}, datetime(2024, 1, 1, tzinfo=UTC))
-    assert made.as_json() == '{"columns":["a","b"],"created_at":"2024-01-01T00:00:00.000Z","fill":{"a":"zero","b":"null"},"name":"s","version":"1"}'
-    assert len(made.hash) == 64 and made.hash == Snapshot("s", "1", ("a", "b"), {"b": "null", "a": "zero"}, datetime(2025, 1, 1)).hash
-    for change in ({"name": ""}, {"columns": ()}, {"columns": ("a", "a")}, {"fill": {"a": "zero"}}, {"fill": {"a": "zero", "b": "odd"}}):
-        with pytest.raises(ValueError):
-            Snapshot(**({"name": "s", "version": "1", "columns": ("a", "b"), "fill": {"a": "zero", "b": "null"}, "created_at": datetime(2024, 1, 1)} | change))
-    job = contract.Backfill(made, "A", datetime(2024, 1, 1), datetime(2024, 1, 2), 10)
-    assert len(job.hash) == 64
+    filled = contract.Backfill("trades_ms", "rolling", "zero", 0.0, "1d", {"max_threads": 4})
+    made = snapshot(parents=(contract.Parent("trades_ms", 2), contract.Parent("b")), backfill=filled).as_dict()
+    assert made["parent_contracts"] == [{"feature_name": "trades_ms", "feature_version": 2}, {"feature_name": "b"}]
+    assert made["defined_start_ts"] == "2024-01-01T00:00:00.000Z" and made["feature_type"] == "time_based" and made["own_lookforward_ms"] == 0
+    assert made["backfill"] == {"compute_backend": "spark_batch", "source_table": "trades_ms", "template": "rolling", "fill_policy": "zero", "resource_settings": {"max_threads": 4}, "fill_value": 0.0, "chunk_span": "1d"}
+    assert "backfill" not in snapshot().as_dict() and snapshot(extra={"k": 1}).as_dict()["extra"] == {"k": 1}
+    assert snapshot().as_json().startswith('{"defined_end_ts":"2024-02-01T00:00:00.000Z","defined_start_ts"')
+    hashes = {snapshot(backfill=b).hash for b in (None, contract.Backfill("a", "t"), contract.Backfill("b", "t"))} | {snapshot(version=2).hash}
+    assert len(hashes) == 4 and all(len(h) == 64 for h in hashes)
+    aim = snapshot(kind="target", target=True, causal=False, own_lookback_ms=0, own_lookforward_ms=180_000)
+    assert (aim.own_lookback_ms, aim.own_lookforward_ms) == (0, 180_000)
+    bound = registry.target_feature("price_delta")
+    assert Snapshot.of(bound, 1, datetime(2024, 1, 1), datetime(2024, 1, 1)).as_dict()["own_lookforward_ms"] == 4000
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"name": ""}, {"version": 0}, {"end": datetime(2023, 1, 1)}, {"kind": "odd"}, {"kind": "target"}, {"target": True}, {"own_lookback_ms": -1},
+        {"own_lookforward_ms": 1}, {"kind": "target", "target": True, "own_lookback_ms": 5}, {"kind": "time_point", "target": True},
+    ],
+)
+def test_invalid_snapshots(change):
+    with pytest.raises(ValueError):
+        snapshot(**change)
+
+
+@pytest.mark.parametrize("change", [{"source_table": ""}, {"template": " "}, {"fill_policy": "guess"}, {"backend": "other"}])
+def test_invalid_backfills(change):
     with pytest.raises(ValueError):
-        contract.Backfill(made, "A", datetime(2024, 1, 2), datetime(2024, 1, 2), 10)
+        contract.Backfill(**({"source_table": "t", "template": "x"} | change))

@@ -1,4 +1,4 @@
-"""Feature declarations: templates, instances, their validation, and snapshots of what was agreed.
+"""Feature declarations: templates, instances, their validation, leakage checks, and snapshots of what was agreed.
 
 A template is a Python function from a frame of trades and parameters to a column; nothing is rendered as text,
 so there is nothing to escape.
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
@@ -16,20 +17,30 @@ from types import MappingProxyType
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+# Fill policies and kinds of features.
 POLICIES = ("zero", "causal_ffill", "null", "derived")
+KINDS = ("time_based", "event_based", "time_point", "target")
 _HORIZONS = ("own_lookback_ms", "own_lookforward_ms")
+#: The names of a tape's columns, which parameters of the same name replace.
+COLUMNS = MappingProxyType({"time_column": "ms", "id_column": "trade_id", "symbol_column": "symbol", "price_column": "price", "quantity_column": "quantity", "side_column": "side"})
+NO_POLICY = MappingProxyType({"special_value": None, "onehot": False})
 
 
 @dataclass(frozen=True)
 class Template:
-    """How a feature is computed: ``build(trades, params)`` gives the rows with a column named after the feature."""
+    """How a feature is computed: ``build(trades, params)`` gives the rows with a column named after the feature.
+
+    ``defaults`` are parameters that an instance need not give.
+    """
 
     name: str
     build: Callable[[DataFrame, dict], DataFrame]
     required: frozenset[str] = frozenset()
     causal: bool = True
     target: bool = False
+    defaults: MappingProxyType = MappingProxyType({})
 
     def __post_init__(self):
         if not self.name:
@@ -50,7 +61,7 @@ class Declaration:
     own_lookforward_ms: int = 0
     parents: tuple[str, ...] = ()
     params: dict[str, Any] = field(default_factory=dict)
-    ml_policy: dict[str, Any] = field(default_factory=dict)
+    ml_policy: dict[str, Any] = field(default_factory=lambda: dict(NO_POLICY))
     enabled: bool = True
 
 
@@ -65,29 +76,37 @@ class Instance:
     params: MappingProxyType
     parents: tuple[Instance, ...] = ()
     parent_names: tuple[str, ...] = ()
-    ml_policy: MappingProxyType = MappingProxyType({})
+    ml_policy: MappingProxyType = NO_POLICY
 
     def __post_init__(self):
-        if not self.name:
+        if not self.name.strip():
             raise ValueError("a feature needs a name")
+        object.__setattr__(self, "params", MappingProxyType({**self.template.defaults, **self.params}))
         missing = self.template.required - set(self.params)
         if missing:
             raise ValueError(f"{self.name}: parameters missing: {sorted(missing)}")
         for key in _HORIZONS:
             value = getattr(self, key)
-            if isinstance(value, bool) or not isinstance(value, int) or value < 0:
-                raise ValueError(f"{self.name}: {key} must be an integer from 0")
-            if key in self.params and self.params[key] != value:
+            if isinstance(value, bool) or not isinstance(value, int):
+                raise TypeError(f"{self.name}: {key} must be an integer")
+            if value < 0:
+                raise ValueError(f"{self.name}: {key} must not be negative")
+            if self.params.get(key, value) != value:
                 raise ValueError(f"{self.name}: {key} differs from its parameter")
-        if self.template.causal and self.own_lookforward_ms:
-            raise ValueError(f"{self.name}: a causal feature can't look forward")
-        if self.template.target and self.own_lookback_ms:
-            raise ValueError(f"{self.name}: a target can't look back")
-        unknown = set(self.ml_policy) - {"special_value", "onehot"}
-        if unknown:
-            raise ValueError(f"{self.name}: unknown policies: {sorted(unknown)}")
-        if len({p.name for p in self.parents}) != len(self.parents):
+        names = [p.name for p in self.parents]
+        if self.name in names:
+            raise ValueError(f"{self.name} depends on itself")
+        if len(set(names)) != len(names):
             raise ValueError(f"{self.name}: a parent is given twice")
+        # What a parent sees, its child sees as well.
+        if self.template.causal and self.summary_lookforward_ms:
+            raise ValueError(f"{self.name}: a causal feature can't look forward, nor can its parents")
+        if self.template.target and self.summary_lookback_ms:
+            raise ValueError(f"{self.name}: a target can't look back, nor can its parents")
+        if set(self.ml_policy) != set(NO_POLICY):
+            raise ValueError(f"{self.name}: a policy has special_value and onehot, and nothing else")
+        if not isinstance(self.ml_policy["onehot"], bool):
+            raise TypeError(f"{self.name}: onehot is a truth value")
 
     @cached_property
     def summary_lookback_ms(self) -> int:
@@ -109,7 +128,39 @@ class Instance:
         return replace(self, parents=parents)
 
     def rows(self, trades: DataFrame) -> DataFrame:
-        return self.template.build(trades, dict(self.params))
+        return self.template.build(named(trades, self.params), dict(self.params))
+
+
+def named(trades: DataFrame, params: dict) -> DataFrame:
+    """The tape with the engine's own column names, from those that the parameters name. A timestamp becomes ms."""
+    given = {own: params[key] for key, own in COLUMNS.items() if params.get(key, own) != own}
+    out = trades
+    for own, theirs in given.items():
+        at = F.col(f"`{theirs}`")
+        out = out.withColumn(own, F.unix_millis(at.cast("timestamp")) if own == "ms" and trades.schema[theirs].dataType.typeName().startswith("timestamp") else at)
+    return out
+
+
+def frames_of(rows: DataFrame) -> list[tuple[str, str, str]]:
+    """Kind, lower and upper bound of every window frame of a plan."""
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    return re.findall(r"specifiedwindowframe\((\w+)Frame, ([^,]+), ([^)]+\)?)\)", plan)
+
+
+def looks_ahead(rows: DataFrame) -> list[tuple[str, str, str]]:
+    """Frames along the time axis that hold the row's own instant or later ones."""
+    return [f for f in frames_of(rows) if f[0] == "Range" and not re.match(r"-\d|unboundedpreceding", f[2])]
+
+
+def leaks(feature: Instance, trades: DataFrame, cut_ms: int) -> DataFrame:
+    """Rows up to ``cut_ms`` whose value changes if the trades from ``cut_ms`` on are others: none for a causal feature."""
+    later = F.col("ms") >= cut_ms
+    changed = trades.withColumns({
+        "price": F.when(later, F.col("price") * 3 + 7).otherwise(F.col("price")), "quantity": F.when(later, F.col("quantity") + 5).otherwise(F.col("quantity")),
+        "side": F.when(later, F.when(F.upper("side") == "BUY", "sell").otherwise("buy")).otherwise(F.col("side")),
+    })
+    before, after = (feature.rows(t).where(F.col("ms") <= cut_ms).select("symbol", "ms", "trade_id", F.col(feature.name).alias(n)) for t, n in ((trades, "before"), (changed, "after")))
+    return before.join(after, ["symbol", "ms", "trade_id"]).where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def guarded(feature: Instance, trades: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
@@ -132,55 +183,101 @@ def iso(ts: datetime) -> str:
 
 
 @dataclass(frozen=True)
-class Snapshot:
-    """What a feature set was when it was built: a name, a version, its columns and fill policies."""
+class Parent:
+    """A parent of an agreed feature, of one version or of any."""
 
     name: str
-    version: str
-    columns: tuple[str, ...]
-    fill: MappingProxyType
-    created_at: datetime
+    version: int | None = None
+
+    def as_dict(self) -> dict[str, Any]:
+        return {"feature_name": self.name} | ({} if self.version is None else {"feature_version": self.version})
+
+
+@dataclass(frozen=True)
+class Backfill:
+    """How a feature's past is computed: from which table, by which template, and what fills its gaps."""
+
+    source_table: str
+    template: str
+    fill_policy: str = "null"
+    fill_value: Any = None
+    chunk_span: str | None = None
+    settings: dict[str, Any] = field(default_factory=dict)
+    backend: str = "spark_batch"
 
     def __post_init__(self):
-        if not self.name or not self.version:
-            raise ValueError("a snapshot needs a name and a version")
-        if not self.columns or len(set(self.columns)) != len(self.columns):
-            raise ValueError("a snapshot needs columns, each once")
-        if set(self.fill) != set(self.columns):
-            raise ValueError("every column needs a fill policy, and only columns have one")
-        wrong = set(self.fill.values()) - set(POLICIES)
-        if wrong:
-            raise ValueError(f"unknown fill policies: {sorted(wrong)}")
+        if not self.source_table:
+            raise ValueError("a backfill needs a source table")
+        if not self.template.strip():
+            raise ValueError("a backfill needs a template")
+        if self.backend != "spark_batch":
+            raise ValueError(f"unknown backend: {self.backend!r}")
+        if self.fill_policy not in POLICIES:
+            raise ValueError(f"unknown fill policy: {self.fill_policy!r}")
+
+    def as_dict(self) -> dict[str, Any]:
+        out = {"compute_backend": self.backend, "source_table": self.source_table, "template": self.template, "fill_policy": self.fill_policy, "resource_settings": self.settings}
+        return out | {k: v for k, v in (("fill_value", self.fill_value), ("chunk_span", self.chunk_span)) if v is not None}
 
     def as_json(self) -> str:
-        return canonical({"name": self.name, "version": self.version, "columns": list(self.columns), "fill": dict(self.fill), "created_at": iso(self.created_at)})
-
-    @property
-    def hash(self) -> str:
-        """SHA-256 of the agreement itself, without the instant it was made."""
-        body = canonical({"name": self.name, "version": self.version, "columns": list(self.columns), "fill": dict(self.fill)})
-        return hashlib.sha256(body.encode()).hexdigest()
+        return canonical(self.as_dict())
 
 
 @dataclass(frozen=True)
-class Backfill:
-    """A batch over [start, end) under a snapshot."""
+class Snapshot:
+    """What was agreed about a feature: version, defined range, kind, horizons, parents, and how its past is filled."""
 
-    snapshot: Snapshot
-    symbol: str
+    name: str
+    version: int
     start: datetime
     end: datetime
-    batch_rows: int
+    kind: str
+    target: bool = False
+    causal: bool = True
+    own_lookback_ms: int = 0
+    own_lookforward_ms: int = 0
+    parents: tuple[Parent, ...] = ()
+    backfill: Backfill | None = None
+    extra: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self):
-        if not self.symbol:
-            raise ValueError("a backfill needs a symbol")
-        if self.start >= self.end:
-            raise ValueError("a backfill needs a start before its end")
-        if self.batch_rows <= 0:
-            raise ValueError("a batch holds one row at least")
+        if not self.name:
+            raise ValueError("a snapshot needs a name")
+        if self.version < 1:
+            raise ValueError("versions count from 1")
+        if iso(self.start) > iso(self.end):
+            raise ValueError("a snapshot's range ends before it starts")
+        if self.kind not in KINDS:
+            raise ValueError(f"unknown kind: {self.kind!r}")
+        if self.target != (self.kind == "target"):
+            raise ValueError("targets, and only targets, are of the kind target")
+        for key in _HORIZONS:
+            if not isinstance(getattr(self, key), int):
+                raise TypeError(f"{key} must be an integer")
+            if getattr(self, key) < 0:
+                raise ValueError(f"{key} must not be negative")
+        if self.own_lookforward_ms and not self.target:
+            raise ValueError("only a target looks forward")
+        if self.own_lookback_ms and self.target:
+            raise ValueError("a target doesn't look back")
+
+    @classmethod
+    def of(cls, feature: Instance, version: int, start: datetime, end: datetime, kind: str = "time_based", **more) -> Snapshot:
+        """The snapshot of a bound feature."""
+        own = feature.template
+        return cls(feature.name, version, start, end, "target" if own.target else kind, own.target, own.causal, feature.own_lookback_ms, feature.own_lookforward_ms, tuple(Parent(p.name) for p in feature.parents), **more)
+
+    def as_dict(self) -> dict[str, Any]:
+        out = {
+            "feature_name": self.name, "feature_version": self.version, "defined_start_ts": iso(self.start), "defined_end_ts": iso(self.end),
+            "feature_type": self.kind, "is_target": self.target, "is_causal": self.causal, "own_lookback_ms": self.own_lookback_ms,
+            "own_lookforward_ms": self.own_lookforward_ms, "parent_contracts": [p.as_dict() for p in self.parents],
+        }
+        return out | ({"backfill": self.backfill.as_dict()} if self.backfill else {}) | ({"extra": self.extra} if self.extra else {})
+
+    def as_json(self) -> str:
+        return canonical(self.as_dict())
 
     @property
     def hash(self) -> str:
-        body = canonical({"snapshot": self.snapshot.hash, "symbol": self.symbol, "start": iso(self.start), "end": iso(self.end), "batch_rows": self.batch_rows})
-        return hashlib.sha256(body.encode()).hexdigest()
+        return hashlib.sha256(self.as_json().encode()).hexdigest()

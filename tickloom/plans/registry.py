@@ -9,7 +9,7 @@ from types import MappingProxyType
 from pyspark.sql import DataFrame
 
 from ..operators import features, targets
-from .contract import Declaration, Instance, Template
+from .contract import COLUMNS, Declaration, Instance, Template
 
 
 def check(declarations: Iterable[Declaration]) -> None:
@@ -67,17 +67,25 @@ class Registry:
 @dataclass(frozen=True)
 class Factory:
     """Binds declarations: their own parameters give way to shared ones, these to ones for a feature by name;
-    horizons are always the declaration's, unless ``horizons`` names others."""
+    horizons are always the declaration's (``with_horizons`` declares others)."""
 
     shared: dict = field(default_factory=dict)
     by_feature: dict = field(default_factory=dict)
-    horizons: dict = field(default_factory=dict)
 
     def bind(self, d: Declaration) -> Instance:
         params = {**d.params, **self.shared, **self.by_feature.get(d.name, {})}
-        back, ahead = self.horizons.get(d.name, (d.own_lookback_ms, d.own_lookforward_ms))
-        params |= {"own_lookback_ms": back, "own_lookforward_ms": ahead}
-        return Instance(d.name, d.template, back, ahead, MappingProxyType(params), (), d.parents, MappingProxyType(d.ml_policy))
+        params |= {"own_lookback_ms": d.own_lookback_ms, "own_lookforward_ms": d.own_lookforward_ms}
+        return Instance(d.name, d.template, d.own_lookback_ms, d.own_lookforward_ms, MappingProxyType(params), (), d.parents, MappingProxyType(d.ml_policy))
+
+
+def with_horizons(declarations: Iterable[Declaration], back_ms: int | None = None, ahead_ms: int | None = None) -> list[Declaration]:
+    """The declarations with another look-back for those that look back, and another look-forward for targets."""
+    out = []
+    for d in declarations:
+        change = {"own_lookback_ms": back_ms} if back_ms is not None and d.own_lookback_ms else {}
+        change |= {"own_lookforward_ms": ahead_ms} if ahead_ms is not None and d.own_lookforward_ms else {}
+        out.append(replace(d, **change))
+    return out
 
 
 @dataclass(frozen=True)
@@ -109,7 +117,7 @@ def _rolling(name: str) -> Template:
         made = features.rolling(trades, params["own_lookback_ms"], momentum=name.startswith("price_momentum"))
         return made.withColumnRenamed("price_momentum", name)
 
-    return Template(name, build, frozenset({"own_lookback_ms"}))
+    return Template(name, build, frozenset({"own_lookback_ms"}), defaults=COLUMNS)
 
 
 def _target(name: str, **scale: str) -> Template:
@@ -117,7 +125,7 @@ def _target(name: str, **scale: str) -> Template:
         given = {to: params[key] for key, to in scale.items() if key in params}
         return targets.forward(trades, missing=params.get("missing", "null"), **given)
 
-    return Template(name, build, frozenset({"own_lookforward_ms"}), causal=False, target=True)
+    return Template(name, build, frozenset({"own_lookforward_ms"}), causal=False, target=True, defaults=COLUMNS)
 
 
 def _binned(trades: DataFrame, params: dict) -> DataFrame:
@@ -135,7 +143,7 @@ def standard() -> Registry:
         Declaration("price_delta", _target("price_delta", own_lookforward_ms="delta_ms", deadband="deadband"), own_lookforward_ms=targets.DELTA_MS),
         Declaration("price_direction", _target("price_direction", own_lookforward_ms="delta_ms", direction="direction"), own_lookforward_ms=targets.DELTA_MS),
         Declaration("sell_rise", _target("sell_rise", own_lookforward_ms="rise_ms", rise="rise"), own_lookforward_ms=targets.RISE_MS),
-        Declaration("price_delta_binned", Template("price_delta_binned", _binned, causal=False, target=True), own_lookforward_ms=targets.DELTA_MS, enabled=False),
+        Declaration("price_delta_binned", Template("price_delta_binned", _binned, causal=False, target=True, defaults=COLUMNS), own_lookforward_ms=targets.DELTA_MS, enabled=False),
     ]
     return Registry(tuple(out))
 
