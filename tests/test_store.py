@@ -1,6 +1,7 @@
 """Archives, the key-value store, tables, fills, text helpers."""
 
 import gzip
+import hashlib
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -28,8 +29,9 @@ def test_archives(spark, tmp_path):
     assert trades.read_archives(spark, [a], start_ms=1000).count() == 3
     bounds = trades.file_bounds(spark, [a]).first()
     assert (bounds.n_rows, bounds.min_ms, bounds.max_ms) == (4, 999, 5000)
-    assert trades.archives(str(tmp_path), only=["SYM"]) == [a]
-    assert len(trades.archives(str(tmp_path), done={"SYM-2024-05.csv.gz": {}})) == 1
+    assert (bounds.first, bounds.last) == ("1970-01-01T00:00:00.999Z", "1970-01-01T00:00:05.000Z")
+    assert trades.archives(spark, str(tmp_path), only=["SYM"]) == [a]
+    assert len(trades.archives(spark, str(tmp_path), done={"SYM-2024-05.csv.gz": {}})) == 1
     assert trades.read_archives(spark, []).schema == schema.TRADES
     with pytest.raises(ValueError):
         trades.symbol_of("trades.csv.gz")
@@ -38,11 +40,27 @@ def test_archives(spark, tmp_path):
         trades.read_archives(spark, [bad]).collect()
 
 
-def test_manifest(tmp_path):
-    path = str(tmp_path / "manifest.json")
-    assert trades.load_manifest(path) == {}
-    trades.save_manifest(path, {"a": {"first": "x"}})
-    assert trades.load_manifest(path) == {"a": {"first": "x"}}
+def test_manifest(spark, tmp_path):
+    path = f"file://{tmp_path}/manifest.json"
+    assert trades.load_manifest(spark, path) == {}
+    for done in ({"a": {"first": "x"}}, {"a": {"first": "é\n"}, "b": {}}):
+        trades.save_manifest(spark, path, done)
+        assert trades.load_manifest(spark, path) == done
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["manifest.json"]
+
+
+def test_only_new_archives_are_loaded(spark, tmp_path):
+    for month in ("04", "05"):
+        archive(tmp_path, f"SYM-2024-{month}.csv.gz", f"{month},5000,1.5,2.0,sell", f"x{month},7000,1,1,buy")
+    folder, manifest = f"file://{tmp_path}", f"file://{tmp_path}/manifest.json"
+    rows, done = trades.load_new(spark, folder, manifest, start_ms=6000)
+    assert {r.trade_id for r in rows.collect()} == {"x04", "x05"}
+    assert done["SYM-2024-04.csv.gz"] == {"first": "1970-01-01T00:00:05.000Z", "last": "1970-01-01T00:00:07.000Z", "rows": 2}
+    trades.save_manifest(spark, manifest, {k: v for k, v in done.items() if "04" in k})
+    rows, again = trades.load_new(spark, folder, manifest)
+    assert {r.trade_id for r in rows.collect()} == {"05", "x05"} and again == done
+    trades.save_manifest(spark, manifest, done)
+    assert trades.load_new(spark, folder, manifest)[0].count() == 0 and trades.load_new(spark, folder, manifest, force=True)[0].count() == 4
 
 
 def at(s):
@@ -55,6 +73,11 @@ def test_ranges(spark):
     assert df.where(trades.in_range("A", at(1), at(3), end_inclusive=True)).count() == 3
     assert df.where(trades.in_range("A'; DROP TABLE x --")).count() == 0
     assert trades.bounds(df.limit(0)).first().first_ts is None
+    assert [x.replace(tzinfo=UTC) for x in trades.range_bounds(df, "A", at(1), at(3))] == [at(1), at(3)]
+    with pytest.raises(ValueError, match="no rows"):
+        trades.range_bounds(df, "A", at(9), at(10))
+    with pytest.raises(ValueError, match="no rows"):
+        trades.range_bounds(df, "B", at(0), at(10))
 
 
 def test_matrix_keeps_repeats(spark):
@@ -101,6 +124,62 @@ def test_replace_range(spark, tmp_path):
     assert kv.read(spark, path, "b").count() == 1
 
 
+MONTH = 31 * 86400
+
+
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_replacing_keeps_columns_and_other_folders(spark, tmp_path):
+    path = tmp_path / "store"
+    rows = [(1, "signal x {a,b}", 1.0), (2 * MONTH, "signal x {a,b}", 2.0), (4 * MONTH, "signal x {a,b}", 3.0), (1, "007", 4.0), (2 * MONTH, "007", 5.0)]
+    kv.write(feature_rows(spark, rows), str(path), extra={"feature_version": "1", "contract_hash": "h"})
+    kv.write(feature_rows(spark, [(2 * MONTH, "007", 6.0)]).withColumn("symbol", F.lit("B")), str(path), extra={"feature_version": "1", "contract_hash": "h"})
+    before = files(path)
+    fresh = feature_rows(spark, [(2 * MONTH + 1, "signal x {a,b}", 7.0), (9 * MONTH, "new", 8.0), (1, "007", 10.0)])
+    kv.replace_range(spark, str(path), fresh, "A", at(2 * MONTH), at(2 * MONTH + 60), extra={"feature_version": "2"})
+    got = {(r.symbol, r.feature_name, r.feature_value): (r.feature_version, r.contract_hash) for r in kv.read(spark, str(path)).collect()}
+    old, new = ("1", "h"), ("2", None)
+    assert got == {
+        ("A", "signal x {a,b}", 1.0): old, ("A", "signal x {a,b}", 3.0): old, ("A", "007", 4.0): old, ("B", "007", 6.0): old,
+        ("A", "signal x {a,b}", 7.0): new, ("A", "new", 8.0): new, ("A", "007", 10.0): new,
+    }
+    same = {f for f in files(path) if before.get(f) == files(path)[f]}
+    assert len(same) == 2 and all("signal" in f for f in same)  # the two months of it that the range doesn't touch
+    kv.replace_range(spark, str(path), fresh.limit(0), "A", at(0), at(99 * MONTH))
+    assert [(r.symbol, r.feature_value) for r in kv.read(spark, str(path)).collect()] == [("B", 6.0)]
+    kv.replace_range(spark, str(path), fresh.limit(0), "B", at(0), at(99 * MONTH), ["007"])
+    assert kv.read(spark, str(path)).count() == 0
+
+
+def test_a_broken_replacement_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    kv.write(feature_rows(spark, [(1, "a", 1.0), (2, "a", 2.0)]), path)
+    finish = kv.finish
+    monkeypatch.setattr(kv, "finish", lambda *_: None)
+    kv.replace_range(spark, path, feature_rows(spark, [(2, "a", 9.0)]), "A", at(2), at(3), ["a"])
+    assert kv.fetch(kv.read(spark, path, ordered=True))["feature_value"] == [1.0, 2.0]
+    monkeypatch.setattr(kv, "finish", finish)
+    kv.replace_range(spark, path, feature_rows(spark, [(5, "b", 5.0)]), "A", at(5), at(6))
+    assert kv.fetch(kv.read(spark, path, ordered=True))["feature_value"] == [1.0, 9.0, 5.0]
+    (tmp_path / "store__staged" / "rows").mkdir(parents=True)  # one that was broken off while it was staged counts for nothing
+    kv.finish(spark, path)
+    assert kv.read(spark, path).count() == 3
+
+
+def test_scan_of_the_store(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert kv.read(spark, path).columns == schema.FEATURES.names
+    kv.write(feature_rows(spark, [(9 - i, "a", float(i)) for i in range(9)] + [(3 * MONTH, "a", 1.0), (3, "b", 1.0)]), path)
+    found = kv.read(spark, path, "a", "A", at(3), at(7), ordered=True)
+    assert kv.fetch(found)["feature_value"] == [6.0, 5.0, 4.0, 3.0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan or "month" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "feature_name" in plan.split("PartitionFilters:")[1].split("]")[0] and "GreaterThanOrEqual(exchange_ts" in plan
+    assert kv.read(spark, path, ["a", "b"], "B").count() == 0
+
+
 def test_signals_keep_nan(spark, tmp_path):
     kv.write(feature_rows(spark, [(1, "s", float("nan"))]), str(tmp_path / "s"), finite_only=False)
     assert kv.read(spark, str(tmp_path / "s")).count() == 1
@@ -116,7 +195,10 @@ def test_tables(spark, tmp_path):
     assert spark.table("tick.trades").first().month == "1970-01"
     assert tables.empty(spark, "features").schema == schema.FEATURES
     tables.append(chunks.manual(spark, "A", "trades", "note", 0, 1, 2).withColumn("odd", F.lit(1)), "tick.manual_chunks", "manual_chunks")
-    assert spark.table("tick.manual_chunks").first().chunk_description == "note"
+    marked = spark.table("tick.manual_chunks").first()
+    assert marked.chunk_description == "note"
+    assert marked.chunk_hash == hashlib.sha256(b"A|note|trades|1970-01-01T00:00:00.000Z|1970-01-01T00:00:00.000Z").hexdigest()
+    assert spark.table("tick.bars").schema.names == schema.BARS.names
     spark.sql("DROP DATABASE tick CASCADE")
 
 

@@ -185,13 +185,13 @@ def session(signed: DataFrame) -> DataFrame:
 
 
 def manual(spark, symbol: str, table: str, note: str, start_us: int, end_us: int, created_us: int) -> DataFrame:
-    """A chunk marked by hand."""
+    """A chunk marked by hand; its hash tells symbol, note, table and range, not when it was marked."""
     row = spark.range(1).select(
         F.lit(symbol).alias("symbol"), F.lit(table).alias("source_table"), F.lit(note).alias("chunk_description"),
         F.timestamp_micros(F.lit(start_us)).alias("chunk_effective_start"), F.timestamp_micros(F.lit(end_us)).alias("chunk_effective_end"),
         F.timestamp_micros(F.lit(created_us)).alias("created_at"),
     )
-    text = F.concat_ws("|", "symbol", "source_table", "chunk_description", iso(F.lit(start_us)), iso(F.lit(end_us)), iso(F.lit(created_us)))
+    text = F.concat_ws("|", "symbol", "chunk_description", "source_table", iso(F.lit(start_us)), iso(F.lit(end_us)))
     return row.withColumn("chunk_hash", F.sha2(text, 256))
 
 

@@ -46,5 +46,5 @@ BARS = _table(
 )
 ALL = {
     "trades": TRADES, "book_messages": BOOK_MESSAGES, "features": FEATURES, "chunks": CHUNKS,
-    "chunk_sessions": CHUNK_SESSIONS, "manual_chunks": MANUAL_CHUNKS,
+    "chunk_sessions": CHUNK_SESSIONS, "manual_chunks": MANUAL_CHUNKS, "bars": BARS,
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterable
 from datetime import datetime
@@ -12,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.timeaxis import iso_ms
 from ..functions.values import normal_side
+from .scratch import file_system
 
 #: Names of archives: SYMBOL-2024-05.csv.gz or SYMBOL_2024-05-31.csv.gz.
 _NAME = r"([^/]+?)(?:-\d{4}-\d{2}|_\d{4}-\d{2}-\d{2})\.csv\.gz$"
@@ -25,11 +26,13 @@ def symbol_of(path: str) -> str:
     return found[1]
 
 
-def archives(folder: str, only: Iterable[str] = (), done: dict | None = None) -> list[str]:
-    """Archives of a folder in name order, of some symbols if given, without those the manifest holds."""
+def archives(spark: SparkSession, folder: str, only: Iterable[str] = (), done: dict | None = None) -> list[str]:
+    """Archives of a folder on any file system, in name order, of some symbols if given, without those the manifest holds."""
+    files, at = file_system(spark, folder)
     only, done = set(only), done or {}
-    names = sorted(n for n in os.listdir(folder) if n.endswith(".csv.gz") and n not in done)
-    return [os.path.join(folder, n) for n in names if not only or symbol_of(n) in only]
+    names = sorted(x.getPath().getName() for x in files.listStatus(at) if x.isFile())
+    names = [n for n in names if n.endswith(".csv.gz") and n not in done]
+    return [f"{folder.rstrip('/')}/{n}" for n in names if not only or symbol_of(n) in only]
 
 
 def read_archives(spark: SparkSession, paths: list[str], start_ms: int | None = None, keep_file: bool = False) -> DataFrame:
@@ -55,25 +58,39 @@ def read_archives(spark: SparkSession, paths: list[str], start_ms: int | None =
 
 
 def file_bounds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Rows and first and last millisecond of each archive."""
+    """Rows, first and last millisecond and their text of each archive."""
     ms = F.unix_millis("exchange_ts")
     trades = read_archives(spark, paths, keep_file=True)
-    return trades.groupBy("file").agg(F.count("*").alias("n_rows"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+    out = trades.groupBy("file").agg(F.count("*").alias("n_rows"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"))
+    return out.withColumns({name: iso_ms(F.timestamp_millis(c)) for name, c in (("first", "min_ms"), ("last", "max_ms"))})
 
 
-def load_manifest(path: str) -> dict:
+def load_manifest(spark: SparkSession, path: str) -> dict:
     """Which archives are loaded, by name; empty if there is no manifest yet."""
-    if not os.path.exists(path):
+    files, at = file_system(spark, path)
+    if not files.exists(at):
         return {}
-    with open(path) as f:
-        return json.load(f)
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
-def save_manifest(path: str, done: dict) -> None:
-    """Replaces the manifest in one step."""
-    with open(f"{path}.tmp", "w") as f:
-        json.dump(done, f, indent=2, sort_keys=True)
-    os.replace(f"{path}.tmp", path)
+def save_manifest(spark: SparkSession, path: str, done: dict) -> None:
+    """Replaces the manifest in one step, where the file system can: the new one is written beside it and renamed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files, fresh = file_system(spark, f"{path}.tmp")
+    out = files.create(fresh, True)
+    out.write(json.dumps(done, indent=2, sort_keys=True).encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, jvm.org.apache.hadoop.fs.Path(path), options)
+
+
+def load_new(spark: SparkSession, folder: str, manifest: str, only: Iterable[str] = (), force: bool = False, start_ms: int | None = None) -> tuple[DataFrame, dict]:
+    """Trades of the archives that the manifest doesn't hold (or of all), and the manifest with them."""
+    done = load_manifest(spark, manifest)
+    paths = archives(spark, folder, only, None if force else done)
+    found = {r.file: {"first": r.first, "last": r.last, "rows": r.n_rows} for r in file_bounds(spark, paths).select("file", "first", "last", "n_rows").toLocalIterator()} if paths else {}
+    return read_archives(spark, paths, start_ms), done | found
 
 
 def in_range(symbol: str | None = None, start: datetime | None = None, end: datetime | None = None, ts: str = "exchange_ts", end_inclusive: bool = False) -> Column:
@@ -103,6 +120,14 @@ def bounds(trades: DataFrame, ts: str = "exchange_ts") -> DataFrame:
     return trades.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n_rows"))
 
 
+def range_bounds(trades: DataFrame, symbol: str, start: datetime, end: datetime, ts: str = "exchange_ts") -> tuple[datetime, datetime]:
+    """First and last instant of a symbol within [start, end]; an empty range is an error. The range reaches the scan."""
+    found = bounds(trades.where(in_range(symbol, start, end, ts, end_inclusive=True)), ts).first()
+    if not found.n_rows:
+        raise ValueError(f"no rows of {symbol} from {start} to {end}")
+    return found.first_ts, found.last_ts
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a tape: one real minute is one second, two symbols, quantities from the event's properties."""
     return trades_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
