@@ -1,6 +1,7 @@
 """Timelines, splits, horizons, batches, hashes: hand-computed fixtures and properties."""
 
 import hashlib
+import json
 import random
 
 import pytest
@@ -165,3 +166,46 @@ def test_bars(spark):
     assert (got[0].trade_count, got[0].trade_count_buy, got[0].trade_count_sell) == (3, 1, 1)
     assert (got[0].price_first, got[0].price_last, got[0].volume_total, got[0].notional_buy) == (10.0, 12.0, 4.0, 20.0)
     assert got[1].price_std is None and got[1].volume_sell == 0.0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_row_batches_match_the_loop(spark, seed):
+    draw = random.Random(seed)
+    tape = {k: sorted(draw.randrange(draw.choice([50, 40_000_000])) for _ in range(draw.randrange(1, 400))) for k in "AB"}
+    rows = spark.createDataFrame([(k, x) for k, xs in tape.items() for x in xs], "symbol string, ms long")
+    for most in (1, 2, 7, 90, 1000):
+        want = []
+        for k, xs in tape.items():
+            batch, i = 0, 0
+            while i < len(xs):
+                stop = min(i + most, len(xs)) - 1
+                while stop + 1 < len(xs) and xs[stop + 1] == xs[stop]:
+                    stop += 1
+                want.append((k, batch, xs[i], xs[stop + 1] if stop + 1 < len(xs) else xs[-1] + 1000, stop + 1 - i))
+                batch, i = batch + 1, stop + 1
+        assert sorted(map(tuple, horizons.row_batches(rows, most, ["symbol"]).collect())) == want
+
+
+def test_batches_are_run_in_order(spark):
+    seen, said = [], []
+    n = horizons.run_batches(ms(spark, [1, 2, 3, 3, 4]), 2, seen.append, log=said.append)
+    assert n == 3 and [(b.index, b.start, b.end, b.rows, b.last) for b in seen] == [(0, 1, 3, 2, False), (1, 3, 4, 2, False), (2, 4, 1004, 1, True)]
+    assert said[0] == "batch 0: 2 rows in [1, 3)"
+    assert horizons.run_batches(ms(spark, []), 2, seen.append) == 0 and len(seen) == 3
+
+
+def test_trimmed_as_json(spark):
+    df = spark.createDataFrame([(0, 60 * S)], "a long, b long")
+    get = lambda us, what: json.loads(df.select(horizons.trimmed(F.col("a"), F.col("b"), us, what)).first()[0])
+    whole = {"original_start": "1970-01-01T00:00:00.000Z", "original_end": "1970-01-01T00:01:00.000Z", "extra_gap_seconds": 1.0}
+    assert get(5 * S, "embargo") == whole | {"start": "1970-01-01T00:00:06.000Z", "end": "1970-01-01T00:01:00.000Z", "applied_horizon_seconds": 5.0, "operation": "embargo", "is_empty": False}
+    assert get(7 * S, "purge")["end"] == "1970-01-01T00:00:52.000Z" and get(90 * S, "purge")["is_empty"]
+    with pytest.raises(ValueError):
+        get(1, "cut")
+
+
+def test_a_split_that_cannot_be_is_an_error(spark):
+    assert horizons.require_split(ms(spark, range(10))).n_train == 7
+    for bad in ([], [1], [5] * 9):
+        with pytest.raises(ValueError):
+            horizons.require_split(ms(spark, bad))

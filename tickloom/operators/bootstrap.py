@@ -23,12 +23,14 @@ def summary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def samples(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Summaries of n resamples with replacement of each pair's chunks; pairs with one chunk are left out.
 
-    A pair's chunks (a few dozen) become one array; each draw picks from it by a hash of pair, sample and draw, so a
-    task that runs again draws the same.
+    A pair's chunks (a few dozen) become one array; each draw picks from it by an MD5 of seed, pair, sample and draw, so
+    a task that runs again draws the same.
     """
     grouped = rows.groupBy("feature", "target").agg(F.sort_array(F.collect_list(F.struct("chunk", "corr"))).alias("all")).where(F.size("all") > 1)
     drawn = grouped.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample"))
-    pick = F.transform("all", lambda _, i: F.element_at("all", (F.pmod(F.xxhash64(F.lit(seed), "feature", "target", "sample", i), F.size("all")) + 1).cast("int"))["corr"])
+    text = lambda i: F.concat_ws("|", F.lit(str(seed)), "feature", "target", F.col("sample").cast("string"), i.cast("string"))
+    number = lambda i: F.conv(F.substring(F.md5(text(i).cast("binary")), 1, 8), 16, 10).cast("long")
+    pick = F.transform("all", lambda _, i: F.element_at("all", (number(i) % F.size("all") + 1).cast("int"))["corr"])
     return summary(drawn.select("feature", "target", "sample", F.explode(pick).alias("corr")), ["feature", "target", "sample"])
 
 

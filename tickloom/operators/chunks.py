@@ -43,13 +43,12 @@ def segments(instants: DataFrame, gap_us: int | None, keys: list[str] | None = N
     rows = rows.withColumn("__prev", F.lag("us").over(within)).join(ends, [*keys, "__b"])
     rows = rows.withColumn("seg_start", F.coalesce("__prev", "__before")).where("seg_start is not null")
     real = F.col("us") - F.col("seg_start")
-    rows = kept(rows, "segments")
     rows = rows.withColumn("real_us", real).withColumn("eff_us", real if gap_us is None else F.when(real > gap_us, 0).otherwise(real))
     totals = rows.groupBy(*keys, "__b").agg(F.sum("eff_us").alias("__t"))
     before = over_buckets.rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__sum"))
     rows = rows.withColumn("__in", F.sum("eff_us").over(within.rowsBetween(Window.unboundedPreceding, 0))).join(totals, [*keys, "__b"])
-    return kept(rows.select(*keys, "seg_start", F.col("us").alias("seg_end"), "real_us", "eff_us", (F.col("__sum") + F.col("__in")).alias("cum_us")), "segments")
+    return rows.select(*keys, "seg_start", F.col("us").alias("seg_end"), "real_us", "eff_us", (F.col("__sum") + F.col("__in")).alias("cum_us"))
 
 
 def span(segs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -62,9 +61,9 @@ def boundaries(segs: DataFrame, n: int, keys: list[str] | None = None) -> DataFr
     """The n - 1 instants that part the effective clock into equal shares: (keys, idx, boundary_us).
 
     Share i ends at total * i div n on the clock, inside the one segment that holds it. Every segment works out
-    which shares end in it, so nothing is compared with everything.
+    which shares end in it, so nothing is compared with everything. The segments are written once.
     """
-    keys = keys or []
+    keys, segs = keys or [], segs if hasattr(segs, "scratch_path") else kept(segs, "segments")
     totals = segs.groupBy(*keys).agg(F.sum("eff_us").alias("total"))
     rows = segs.where("eff_us > 0").withColumn("prev", F.col("cum_us") - F.col("eff_us"))
     rows = rows.join(totals, keys) if keys else rows.withColumn("total", F.lit(totals.first()[0]).cast("long"))
@@ -87,7 +86,9 @@ def closed(points: DataFrame, keys: list[str] | None = None, gap_us: int = SECON
     return rows.select(*(keys or []), F.col("idx").cast("int").alias("chunk_idx"), F.col("point_us").alias("start_us"), "end_us", (F.col("end_us") < F.col("point_us")).alias("collapsed"))
 
 
-def _points(instants: DataFrame, edges: DataFrame, n: int, keys: list[str]) -> DataFrame:
+def points(instants: DataFrame, edges: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
+    """The n + 1 points that bound the chunks: first instant, boundaries, last instant."""
+    keys = keys or []
     ends = instants.groupBy(*keys).agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
     outer = ends.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.col("lo").alias("point_us")), F.struct(F.lit(n).alias("idx"), F.col("hi").alias("point_us")))).alias("p")).select(*keys, "p.*")
     return outer.unionByName(edges.select(*keys, "idx", F.col("boundary_us").alias("point_us")))
@@ -96,7 +97,7 @@ def _points(instants: DataFrame, edges: DataFrame, n: int, keys: list[str]) -> D
 def global_chunks(instants: DataFrame, n: int, gap_us: int | None, keys: list[str] | None = None) -> DataFrame:
     """n closed chunks of equal effective time."""
     keys = keys or []
-    return closed(_points(instants, boundaries(segments(instants, gap_us, keys), n, keys), n, keys), keys)
+    return closed(points(instants, boundaries(segments(instants, gap_us, keys), n, keys), n, keys), keys)
 
 
 def wall_chunks(start_us: int, end_us: int, n: int, spark) -> DataFrame:
@@ -130,9 +131,10 @@ def effective_thirds(instants: DataFrame, chunks: DataFrame, gap_us: int | None)
     """Train, validation and test of each chunk by its own effective clock, all chunks in one job.
 
     A chunk's clock starts at its first instant; its last part ends with the chunk, its first starts with it.
+    The chunks, as many as were asked for, become a local table.
     """
-    chunks = kept(chunks, "chunks")
-    inside = kept(in_chunks(instants, chunks).select("chunk_idx", "us"), "chunks")
+    chunks = instants.sparkSession.createDataFrame(chunks.collect(), chunks.schema)
+    inside = in_chunks(instants, chunks).select("chunk_idx", "us")
     edges = boundaries(segments(inside, gap_us, ["chunk_idx"]), 3, ["chunk_idx"])
     outer = chunks.select("chunk_idx", F.explode(F.array(F.struct(F.lit(0).alias("idx"), F.col("start_us").alias("point_us")), F.struct(F.lit(3).alias("idx"), F.col("end_us").alias("point_us")))).alias("p")).select("chunk_idx", "p.*")
     parts = closed(

@@ -37,10 +37,9 @@ def signals(
         ready = ready & is_finite(F.col(x))
     rows = rows.withColumn("__ready", ready).withColumn("__train", (ready & is_finite(F.col(target))).cast("long"))
     bucket = F.floor(F.col(order[0]) / bucket_ms)
-    rows = kept(rows, "ridge")  # read three times: by the counts, the block sums and the predictions
+    rows = kept(rows, "ridge")  # read by the counts, the block sums and the predictions
     rows = running_total(rows, F.col("__train"), order, "__k", bucket, keys)
     rows = rows.withColumn("blocks_done", F.expr(f"(__k - __train) div {block}").cast("long"))
-    rows = kept(rows, "ridge")
     weights = coefficients(rows, inputs, target, keys, alpha, block)
     joined = rows.join(weights, [*keys, "blocks_done"], "left")
     score = sum((F.col(x) * F.col("__w")[i] for i, x in enumerate(inputs)), F.lit(0.0))

@@ -32,7 +32,8 @@ NO_POLICY = MappingProxyType({"special_value": None, "onehot": False})
 class Template:
     """How a feature is computed: ``build(trades, params)`` gives the rows with a column named after the feature.
 
-    ``defaults`` are parameters that an instance need not give.
+    ``defaults`` are parameters that an instance need not give. Templates of one ``group`` compute each other's columns
+    as well, given the same parameters.
     """
 
     name: str
@@ -41,6 +42,7 @@ class Template:
     causal: bool = True
     target: bool = False
     defaults: MappingProxyType = MappingProxyType({})
+    group: str = ""
 
     def __post_init__(self):
         if not self.name:

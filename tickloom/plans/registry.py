@@ -117,7 +117,8 @@ def _rolling(name: str) -> Template:
         made = features.rolling(trades, params["own_lookback_ms"], momentum=name.startswith("price_momentum"))
         return made.withColumnRenamed("price_momentum", name)
 
-    return Template(name, build, frozenset({"own_lookback_ms"}), defaults=COLUMNS)
+    group = "rolling" if name in features.ROLLING or name == "volume_balance" else ""
+    return Template(name, build, frozenset({"own_lookback_ms"}), defaults=COLUMNS, group=group)
 
 
 def _target(name: str, **scale: str) -> Template:
