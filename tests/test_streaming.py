@@ -58,10 +58,19 @@ def test_rolling_state_reaches_over_batches(spark, tmp_path):
     assert got == want
 
 
-def test_book(spark, tmp_path):
+def test_late_rows_are_marked(spark, tmp_path):
+    rows = sorted({r[1]: r for r in trades(5)}.values(), key=lambda r: r[1])
+    late = [("A", 3, 9001, 1.0, 1, "buy"), ("B", 4, 9002, 1.0, 1, "sell")]
+    got = run(tape.rolling(stream(spark, tmp_path, [*rows, *late], TRADES, 2), 900), tmp_path, "append")
+    assert {r.trade_id for r in got if r.late} >= {9001, 9002} and len(got) == len(rows) + 2
+    assert all(r.trade_count_buy is None and r.cvd_buy is None for r in got if r.late)
+
+
+@pytest.mark.parametrize("seed", [9, 10, 11])
+def test_book(spark, tmp_path, seed):
     from tests.test_models import EVENT, random_events
 
-    events = random_events(9, 240)
+    events = random_events(seed, 240)
     got = run(tape.book(stream(spark, tmp_path, events, EVENT, 3)), tmp_path, "update")
     last = {}
     for r in got:

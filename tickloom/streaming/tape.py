@@ -1,8 +1,8 @@
 """Streams of trades and order events: bars by event time, rolling features, books.
 
-Late rows: a row behind the watermark is dropped by the windowed bars; the keyed processors take a micro-batch's
-rows in event order and refuse rows older than what a key has already emitted. Keyed processors need the RocksDB
-state store (``STATE_STORE``).
+Late rows: a row behind the watermark is dropped by the windowed bars (the query's progress counts them); the rolling
+features take a micro-batch's rows in event order, and a row older than what its key has already emitted comes out
+marked as late, without features. Keyed processors need the RocksDB state store (``STATE_STORE``).
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ STATE_STORE = {
 }
 _FEATURES = (
     "symbol string, ms long, trade_id long, trade_count_buy long, trade_count_sell long, cvd_buy double, cvd_sell double, "
-    "mean_price_buy double, mean_price_sell double, mean_volume_buy double, mean_volume_sell double, trade_spread_signed double"
+    "mean_price_buy double, mean_price_sell double, mean_volume_buy double, mean_volume_sell double, trade_spread_signed double, late boolean"
 )
 _TOPS = "symbol string, seq long, best_bid double, best_ask double"
 
@@ -66,23 +66,30 @@ class Rolling(StatefulProcessor):
         self.held = handle.getListState("held", "ms long, price double, quantity double, side string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ms", "trade_id"], kind="stable")
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["ms", "trade_id"], kind="stable")
         old = pd.DataFrame([tuple(r) for r in self.held.get()], columns=["ms", "price", "quantity", "side"])
-        if len(old):
-            new = new[new["ms"] >= old["ms"].max()]
-        names = ["ms", "price", "quantity", "side"]
-        both = pd.concat([old, new[names]], ignore_index=True) if len(old) else new[names].reset_index(drop=True)
+        tardy = new[new["ms"] < old["ms"].max()] if len(old) else new[:0]
+        new = new.drop(tardy.index)
+        if len(tardy):
+            yield self._rows(key, tardy, {}, True)
         if not len(new):
             return
+        names = ["ms", "price", "quantity", "side"]
+        both = pd.concat([old, new[names]], ignore_index=True) if len(old) else new[names].reset_index(drop=True)
         side = both["side"].str.upper()
         made = rolling_rows(both["ms"].to_numpy(np.int64), both["price"].to_numpy(float), both["quantity"].to_numpy(float), (side == "BUY").to_numpy(), (side == "SELL").to_numpy(), self.back_ms)
-        out = pd.DataFrame({k: v[len(old) :] for k, v in made.items()})
-        out.insert(0, "trade_id", new["trade_id"].to_numpy())
-        out.insert(0, "ms", new["ms"].to_numpy())
-        out.insert(0, "symbol", key[0])
         kept = both[both["ms"] >= both["ms"].max() - self.back_ms]
         self.held.put([tuple(r) for r in kept.itertuples(index=False, name=None)])
-        yield out.astype(object).where(out.notna(), None).astype({"ms": "int64", "trade_id": "int64", "trade_count_buy": "int64", "trade_count_sell": "int64"})
+        yield self._rows(key, new, {k: v[len(old) :] for k, v in made.items()}, False)
+
+    @staticmethod
+    def _rows(key, rows: pd.DataFrame, made: dict[str, np.ndarray], late: bool) -> pd.DataFrame:
+        out = pd.DataFrame({"symbol": key[0], "ms": rows["ms"].to_numpy(), "trade_id": rows["trade_id"].to_numpy()})
+        for c in _FEATURES.split(", ")[3:-1]:
+            name, kind = c.split()
+            values = pd.Series(made.get(name, np.full(len(out), np.nan)))
+            out[name] = values.astype("Int64") if kind == "long" else values.astype(object).where(values.notna(), None)
+        return out.assign(late=late)
 
     def close(self) -> None:
         pass
@@ -95,27 +102,52 @@ def rolling(trades: DataFrame, back_ms: int = 300_000) -> DataFrame:
 
 
 class Book(StatefulProcessor):
-    """Living orders by uid; after each batch the best prices."""
+    """Living orders by uid, the number of orders of each level, and the best levels; after each batch the best prices.
+
+    A side's levels are looked through only when its best level has gone.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.orders = handle.getMapState("orders", "uid long", "side string, price double, size double")
+        self.levels = handle.getMapState("levels", "side string, price double", "orders long")
+        self.best = handle.getValueState("best", "bid double, ask double")
+
+    def _count(self, level: tuple[str, float], change: int) -> int:
+        n = (self.levels.getValue(level)[0] if self.levels.containsKey(level) else 0) + change
+        if n:
+            self.levels.updateValue(level, (n,))
+        elif self.levels.containsKey(level):
+            self.levels.removeKey(level)
+        return n
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        best = dict(zip(("bid", "ask"), self.best.get() if self.best.exists() else (None, None), strict=True))
+        better = {"bid": max, "ask": min}
+        gone = set()  # sides whose best level is to be looked for
         for r in events.itertuples(index=False):
             uid = (int(r.uid),)
-            if r.size == 0:
-                if self.orders.containsKey(uid):
-                    self.orders.removeKey(uid)
-            elif self.orders.containsKey(uid):
-                side, price, _ = self.orders.getValue(uid)
-                self.orders.updateValue(uid, (side, price, float(r.size)))
-            else:
+            known = self.orders.getValue(uid) if self.orders.containsKey(uid) else None
+            if known and r.size == 0:
+                self.orders.removeKey(uid)
+                if not self._count(known[:2], -1) and known[1] == best[known[0]]:
+                    gone.add(known[0])
+            elif known:
+                self.orders.updateValue(uid, (*known[:2], float(r.size)))
+            elif r.size != 0:
                 self.orders.updateValue(uid, (r.side, float(r.price), float(r.size)))
-        best: dict[str, list[float]] = {"bid": [], "ask": []}
-        for side, price, _ in self.orders.values():
-            best[side].append(price)
-        yield pd.DataFrame({"symbol": [key[0]], "seq": [int(events["seq"].max())], "best_bid": [max(best["bid"], default=None)], "best_ask": [min(best["ask"], default=None)]})
+                self._count((r.side, float(r.price)), 1)
+                if best[r.side] is None or better[r.side](best[r.side], float(r.price)) != best[r.side]:
+                    best[r.side] = float(r.price)
+                    gone.discard(r.side)
+                elif best[r.side] == float(r.price):
+                    gone.discard(r.side)
+        if gone:
+            prices = [level for level in self.levels.keys()]
+            for side in gone:
+                best[side] = better[side]((p for s, p in prices if s == side), default=None)
+        self.best.update((best["bid"], best["ask"]))
+        yield pd.DataFrame({"symbol": [key[0]], "seq": [int(events["seq"].max())], "best_bid": [best["bid"]], "best_ask": [best["ask"]]})
 
     def close(self) -> None:
         pass
