@@ -4,7 +4,8 @@ import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from tickloom.llm import decontam, langid, queries, simhash, suffixdedup
+from tests.llm.test_nearcopies import groups
+from tickloom.llm import decontam, langid, queries, suffixdedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,8 +19,8 @@ def test_matches_brute_force(spark):
         if clean:
             assert model.phrases([clean])[0].tolist() == counts
             texts[r.doc_id] = r.text
-    groups = simhash.brute_force(texts)
-    texts = {i: t for i, t in texts.items() if groups[i][1] == i}
+    first = groups(texts)
+    texts = {i: t for i, t in texts.items() if first[i] == i}
     inside = {i: set(p) for i, p in suffixdedup.brute_force(texts).items()}
     left = {}
     for i, t in texts.items():
