@@ -202,6 +202,23 @@ def test_tables(spark, tmp_path):
     spark.sql("DROP DATABASE tick CASCADE")
 
 
+def test_writing_in_halves(spark, tmp_path):
+    rows, path, tried = spark.range(1000).withColumn("x", F.lit("a")), str(tmp_path / "out"), []
+
+    def write(part):
+        tried.append(part.count())
+        if tried[-1] > 300:
+            raise RuntimeError("Memory limit exceeded")
+        part.write.mode("append").parquet(path)
+
+    assert tables.in_halves(rows, write) == 4 and tried[0] == 1000 and len(tried) == 7
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(1000))
+    with pytest.raises(RuntimeError, match="Memory"):
+        tables.in_halves(rows, write, depth=1)
+    with pytest.raises(ValueError):
+        tables.in_halves(rows, lambda part: int("x"))
+
+
 def test_text_helpers(spark):
     assert timeaxis.parse_duration("7d") == timedelta(days=7) and timeaxis.parse_duration("12h") == timedelta(hours=12)
     assert timeaxis.parse_duration("off") is None and timeaxis.format_duration(timedelta(minutes=90)) == "90m"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,5 +40,30 @@ def append(rows: DataFrame, table: str, name: str) -> None:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.ALL[name]]).write.mode("append").insertInto(table)
 
 
+#: What errors of a sink that is short of memory, time or connections say.
+RETRIABLE = ("memory", "timeout", "timed out", "too many", "connection")
+
+
+def retriable(error: Exception) -> bool:
+    """Whether less at a time may help."""
+    return any(x in str(error).lower() for x in RETRIABLE)
+
+
+def in_halves(rows: DataFrame, write: Callable[[DataFrame], None], depth: int = 8, again: Callable[[Exception], bool] = retriable) -> int:
+    """Writes the rows; if that fails for want of means, each half of them by itself, and so on. Gives the writes made.
+
+    Halves follow from a hash of the whole row, so they are the same at every try. A failed Spark write leaves nothing
+    behind; for other sinks ``write`` has to see to that.
+    """
+    try:
+        write(rows)
+        return 1
+    except Exception as error:
+        if depth == 0 or not again(error):
+            raise
+    side = F.expr(f"shiftright(xxhash64({', '.join(f'`{c}`' for c in rows.columns)}), {depth}) & 1L")
+    return sum(in_halves(rows.where(side == k), write, depth - 1, again) for k in (0, 1))
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], schema.ALL[name])
