@@ -116,7 +116,7 @@ def _scan(block: Broadcast | None, window: int, schema: pa.Schema, spans: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, owners = _automaton(key, block, window) if block else (None, [])
         for whole in batches:
-            for a, b in slices(whole.column("__text"), 1 << 22):
+            for a, b in slices(whole.column("__text")):
                 batch = whole.slice(a, b - a)
                 texts = raw(batch.column("__text"))
                 given = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts) for c in ("__runs", "__items")]
