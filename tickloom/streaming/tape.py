@@ -101,53 +101,99 @@ def rolling(trades: DataFrame, back_ms: int = 300_000) -> DataFrame:
     return trades.groupBy("symbol").transformWithStateInPandas(processor, _FEATURES, "Append", "None")
 
 
+#: Living orders as they are held: side 0 is bid, 1 ask, anything else no side.
+_ORDER = np.dtype([("uid", "<i8"), ("price", "<f8"), ("size", "<f8"), ("side", "i1")])
+
+
+def last_lives(seq: np.ndarray, uid: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What some events leave of each order that they name, by uid: the order as it would be added by the first event
+    after its last removal, whether it was removed among them, and whether it lives after them."""
+    order = np.lexsort((seq, uid))
+    uid, size = uid[order], size[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(len(uid), 1), bool), uid[1:] != uid[:-1])))
+    end = np.append(start[1:], len(uid))
+    removal = np.maximum.reduceat(np.where(size == 0, np.arange(len(uid)), -1), start) if len(uid) else start
+    removed = removal >= start
+    first = np.where(removed, removal + 1, start)
+    lives = first < end
+    added = order[np.minimum(first, end - 1)]
+    made = np.empty(len(start), _ORDER)
+    made["uid"], made["side"], made["price"], made["size"] = uid[start], side[added], price[added], size[end - 1]
+    return made, removed, lives
+
+
+def outlived(old: np.ndarray, made: np.ndarray, removed: np.ndarray, lives: np.ndarray) -> np.ndarray:
+    """Orders (sorted by uid) after the events of ``last_lives``: one that wasn't removed keeps its side and price."""
+    at = np.searchsorted(old["uid"], made["uid"])
+    known = np.zeros(len(made), bool)
+    inside = at < len(old)
+    known[inside] = old["uid"][at[inside]] == made["uid"][inside]
+    kept = known & ~removed
+    made = made.copy()
+    for c in ("side", "price"):
+        made[c][kept] = old[c][at[kept]]
+    rest = np.ones(len(old), bool)
+    rest[at[known]] = False
+    out = np.concatenate((old[rest], made[lives]))
+    return out[np.argsort(out["uid"], kind="stable")]
+
+
 class Book(StatefulProcessor):
-    """Living orders by uid, the number of orders of each level, and the best levels; after each batch the best prices.
+    """Living orders in buckets by uid, and each bucket's best prices; after each batch the best prices of all.
 
-    A side's levels are looked through only when its best level has gone.
+    A batch's events are summed up for each order at once (orders don't depend on each other); only buckets that hold
+    one of its orders are read and written. The number of buckets doubles with the book, so that one stays some
+    ``fill`` orders.
     """
 
+    fill, least = 64, 64
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.orders = handle.getMapState("orders", "uid long", "side string, price double, size double")
-        self.levels = handle.getMapState("levels", "side string, price double", "orders long")
-        self.best = handle.getValueState("best", "bid double, ask double")
-
-    def _count(self, level: tuple[str, float], change: int) -> int:
-        n = (self.levels.getValue(level)[0] if self.levels.containsKey(level) else 0) + change
-        if n:
-            self.levels.updateValue(level, (n,))
-        elif self.levels.containsKey(level):
-            self.levels.removeKey(level)
-        return n
+        self.orders = handle.getMapState("orders", "bucket int", "rows binary")
+        self.best = handle.getValueState("best", "orders long, prices binary")
+
+    @staticmethod
+    def _bucket(uid: np.ndarray, buckets: int) -> np.ndarray:
+        mixed = uid.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+    def _held(self, buckets: np.ndarray) -> np.ndarray:
+        found = [self.orders.getValue((int(b),)) for b in buckets if self.orders.containsKey((int(b),))]
+        rows = np.concatenate([np.zeros(0, _ORDER), *[np.frombuffer(bytes(f[0]), _ORDER) for f in found]])
+        return rows[np.argsort(rows["uid"], kind="stable")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        best = dict(zip(("bid", "ask"), self.best.get() if self.best.exists() else (None, None), strict=True))
-        better = {"bid": max, "ask": min}
-        gone = set()  # sides whose best level is to be looked for
-        for r in events.itertuples(index=False):
-            uid = (int(r.uid),)
-            known = self.orders.getValue(uid) if self.orders.containsKey(uid) else None
-            if known and r.size == 0:
-                self.orders.removeKey(uid)
-                if not self._count(known[:2], -1) and known[1] == best[known[0]]:
-                    gone.add(known[0])
-            elif known:
-                self.orders.updateValue(uid, (*known[:2], float(r.size)))
-            elif r.size != 0:
-                self.orders.updateValue(uid, (r.side, float(r.price), float(r.size)))
-                self._count((r.side, float(r.price)), 1)
-                if best[r.side] is None or better[r.side](best[r.side], float(r.price)) != best[r.side]:
-                    best[r.side] = float(r.price)
-                    gone.discard(r.side)
-                elif best[r.side] == float(r.price):
-                    gone.discard(r.side)
-        if gone:
-            prices = [level for level in self.levels.keys()]
-            for side in gone:
-                best[side] = better[side]((p for s, p in prices if s == side), default=None)
-        self.best.update((best["bid"], best["ask"]))
-        yield pd.DataFrame({"symbol": [key[0]], "seq": [int(events["seq"].max())], "best_bid": [best["bid"]], "best_ask": [best["ask"]]})
+        kinds = {"seq": "int64", "uid": "int64", "side": "int8", "price": "float64", "size": "float64"}
+        parts = [[r[c].astype(kind).to_numpy() for c, kind in kinds.items()] for r in rows]
+        seq, *others = (np.concatenate(p) for p in zip(*parts, strict=True))
+        del parts
+        made, removed, lives = last_lives(seq, *others)
+        n, prices = self.best.get() if self.best.exists() else (0, np.full((2, self.least), np.nan).tobytes())
+        best = np.frombuffer(bytes(prices), np.float64).reshape(2, -1).copy()
+        buckets = had = best.shape[1]
+        while n + len(made) > 2 * self.fill * buckets:
+            buckets *= 2
+        touched = np.unique(self._bucket(made["uid"], had)) if buckets == had else np.arange(had)
+        old = self._held(touched)
+        left = outlived(old, made, removed, lives)
+        if buckets != had:
+            best, touched = np.full((2, buckets), np.nan), np.arange(buckets)
+        home = self._bucket(left["uid"], buckets)
+        order = np.argsort(home, kind="stable")
+        left, home = left[order], home[order]
+        ends = np.searchsorted(home, touched, side="right")
+        for b, i, j in zip(touched.tolist(), np.searchsorted(home, touched).tolist(), ends.tolist(), strict=True):
+            if j > i:
+                self.orders.updateValue((b,), (left[i:j].tobytes(),))
+            elif self.orders.containsKey((b,)):
+                self.orders.removeKey((b,))
+        best[:, touched] = np.nan
+        for side, better in enumerate((np.fmax, np.fmin)):
+            here = left["side"] == side
+            better.at(best[side], home[here], left["price"][here])
+        self.best.update((n + len(left) - len(old), best.tobytes()))
+        bid, ask = (None if np.isnan(p) else float(p) for p in (np.fmax.reduce(best[0]), np.fmin.reduce(best[1])))
+        yield pd.DataFrame({"symbol": [key[0]], "seq": [int(seq.max())], "best_bid": [bid], "best_ask": [ask]})
 
     def close(self) -> None:
         pass
@@ -155,4 +201,6 @@ class Book(StatefulProcessor):
 
 def book(events: DataFrame) -> DataFrame:
     """Best bid and ask of each symbol after each micro-batch of order events."""
-    return events.groupBy("symbol").transformWithStateInPandas(Book(), _TOPS, "Update", "None")
+    side = F.when(F.col("side") == "bid", 0).when(F.col("side") == "ask", 1).otherwise(2).cast("byte").alias("side")
+    rows = events.select("symbol", "seq", "uid", side, "price", "size")
+    return rows.groupBy("symbol").transformWithStateInPandas(Book(), _TOPS, "Update", "None")
