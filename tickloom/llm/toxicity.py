@@ -107,33 +107,53 @@ class Network:
             out[:, WORD_DIM + k] = sums / text.tri_size
         return out
 
+    def _gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
+        """Projected inputs [gate, word] of both directions, those of the two sigmoid gates halved."""
+        out = {d: np.ascontiguousarray((x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"]).T) for d in "fb"}
+        for g in out.values():
+            g[: 2 * UNITS] *= 0.5
+        return out
+
     def _read(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray | None, d: str) -> np.ndarray:
-        """States [step, unit, lane] of one direction; gates [gate, word] are the projected inputs, ``at`` [step, lane] or slices."""
+        """States [step, unit, lane] of one direction; gates are those of ``_gates``, ``at`` [step, lane] or slices.
+
+        Sigmoids are 0.5 + 0.5 * tanh(x / 2); all their halves but one stand in the weights, and every step works in
+        the same few arrays.
+        """
         steps, lanes = len(at), at[0].stop - at[0].start if isinstance(at[0], slice) else at.shape[1]
-        u, h = np.ascontiguousarray(self.w[f"rec_{d}"].T), np.zeros((UNITS, lanes), np.float32)
+        u = np.ascontiguousarray(self.w[f"rec_{d}"].T) * np.float32(0.5)
         out = np.empty((steps, UNITS, lanes), np.float32)
+        r, zr, new = (np.empty((k * UNITS, lanes), np.float32) for k in (3, 2, 1))
+        h, z, reset, rn = None, zr[:UNITS], zr[UNITS:], r[2 * UNITS :]
         for t in range(steps) if d == "f" else reversed(range(steps)):
-            x, r = gates[:, at[t]], u @ h
-            zr = x[: 2 * UNITS] + r[: 2 * UNITS]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr *= 0.5
-            zr += 0.5
-            new = r[2 * UNITS :]
-            new *= zr[UNITS:]
-            new += x[2 * UNITS :]
-            np.tanh(new, out=new)
-            h = new + zr[:UNITS] * (h - new)
+            x, left = gates[:, at[t]], out[t]
+            if h is None:  # before the first word the state is zero
+                np.tanh(x[:UNITS], out=z)
+                np.tanh(x[2 * UNITS :], out=new)
+                np.negative(new, out=left)
+            else:
+                np.matmul(u, h, out=r)
+                np.add(x[: 2 * UNITS], r[: 2 * UNITS], out=zr)
+                np.tanh(zr, out=zr)
+                np.multiply(rn, reset, out=new)
+                new += rn
+                new += x[2 * UNITS :]
+                np.tanh(new, out=new)
+                np.subtract(h, new, out=left)
+            z += 1
+            z *= 0.5
+            left *= z
+            left += new
             if mask is not None:
-                h *= mask[t]
-            out[t] = h
+                left *= mask[t]
+            h = left
         return out
 
     def logits(self, text: Text, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word and log-odds of the windows to train on."""
         doc, first, size = text.windows()
         x = self.inputs(text, self.rows(text))
-        gates = {d: np.ascontiguousarray((x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"]).T) for d in "fb"}
+        gates = self._gates(x)
         out = np.empty(len(doc), dtype=np.float32)
         whole = size == WINDOW
         for group in (np.flatnonzero(whole), np.flatnonzero(~whole)):
@@ -150,11 +170,11 @@ class Network:
                 out[part] = (e * value).sum(axis=0) / e.sum(axis=0) + self.w["bias"][0]
         return doc, first, out
 
-    def highest(self, text: Text, docs: int, lanes: int = 1024) -> np.ndarray:
+    def highest(self, text: Text, docs: int, lanes: int = 2048) -> np.ndarray:
         """The highest log-odds of all overlapping windows of each document; -inf without words."""
         out, n = np.full(docs, -np.inf), np.diff(text.begin)
         x = self.inputs(text, self.rows(text))
-        gates = {d: np.ascontiguousarray((x @ self.w[f"in_{d}"] + self.w[f"bias_{d}"]).T) for d in "fb"}
+        gates = self._gates(x)
         heads = {d: np.stack((self.w["attend"][i : i + UNITS], self.w["out"][i : i + UNITS])) for d, i in (("f", 0), ("b", UNITS))}
         size = np.repeat(n, n)  # of the document of each word
         left = np.repeat(text.begin[1:], n) - np.arange(len(size))
@@ -178,7 +198,9 @@ class Network:
                 e = e if mask is None else np.where(mask > 0, e, -1e9)
                 e = np.exp(e - e.max(axis=0))
                 odds = (e * value).sum(axis=0) / e.sum(axis=0) + self.w["bias"][0]
-                np.maximum.at(out, owner[part], odds if at is part else odds[part - low])
+                odds, own = odds if at is part else odds[part - low], owner[part]
+                new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+                out[own[new]] = np.maximum(out[own[new]], np.maximum.reduceat(odds, new))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
